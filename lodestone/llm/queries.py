@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, sharding, url_filter
+from lodestone.llm import chat, decontaminate, quality, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,22 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+    return scored.select("doc_id", (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP3_SQL = r"""
 with p as (
   select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
@@ -75,7 +91,7 @@ from e group by conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_url_filter": op3_url_filter, "op7_sharding": op7_sharding, "op9_chat": op9_chat}
+    return {"op1_toxicity": op1_toxicity, "op3_url_filter": op3_url_filter, "op7_sharding": op7_sharding, "op9_chat": op9_chat, "op5_decontaminate": op5_decontaminate, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
