@@ -10,7 +10,7 @@ In the rendering a turn is `<turn ROLE>TEXT</turn>` and a line end. Roles and te
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, SHUT, END = "<turn ", ">", "</turn>\n"
@@ -51,15 +51,14 @@ def render(messages: DataFrame) -> DataFrame:
     loss_spans are the (start, length) in characters of formatted that hold the assistant's texts, from 0. Turns are in the order of turn, then role and text, so
     repeated rows stay and ties are settled; null turns come first; null roles and texts are empty; null conv_ids form one conversation. Other columns are ignored.
     """
-    message = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    folded = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("m"))
-    part = F.transform("m", lambda x: F.struct(x.role.alias("role"), F.concat(F.lit(OPEN), escape(x.role), F.lit(SHUT)).alias("head"), escape(x.text).alias("body")))
-    folded = folded.select("conv_id", part.alias("m"))
-    sizes = F.transform("m", lambda x: (F.length(x["head"]) + F.length(x.body) + len(END)).cast("long"))
-    # A running sum: each step appends the place where the next turn begins.
-    places = F.aggregate(F.zip_with("m", sizes, lambda x, n: F.struct((x.role == "assistant").alias("learn"), F.length(x["head"]).cast("long").alias("head"), F.length(x.body).cast("long").alias("body"), n.alias("n"))), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")), lambda acc, x: F.struct((acc.at + x.n).alias("at"), F.when(x.learn, F.array_append(acc.spans, F.struct((acc.at + x["head"]).alias("start"), x.body.alias("length")))).otherwise(acc.spans).alias("spans")))
-    formatted = F.array_join(F.transform("m", lambda x: F.concat(x["head"], x.body, F.lit(END))), "")
-    return folded.select("conv_id", formatted.alias("formatted"), places.getField("spans").alias("loss_spans"))
+    rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("*", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(SHUT)).alias("head"), escape(F.col("text")).alias("body"))
+    size = (F.length("head") + F.length("body") + len(END)).cast("long")
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")).alias("at"))
+    span = F.struct((F.col("at") + F.length("head")).alias("start"), F.length("body").cast("long").alias("length"))
+    folded = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", F.concat("head", "body", F.lit(END)).alias("turn")))).alias("m"), F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", span))).alias("loss_spans"))
+    return folded.select("conv_id", F.array_join(F.transform("m", lambda x: x.turn), "").alias("formatted"), "loss_spans")
 
 
 def parse(formatted: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontaminate, quality, sharding, toxicity, url_filter
+from lodestone.llm import chat, decontaminate, pieces, quality, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = pieces.decode(pieces.encode(docs))
+    return out.select("doc_id", "ids", F.size("ids").alias("n_tokens"), "n_chunks", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
@@ -91,7 +97,7 @@ from e group by conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op3_url_filter": op3_url_filter, "op7_sharding": op7_sharding, "op9_chat": op9_chat, "op5_decontaminate": op5_decontaminate, "op10_quality": op10_quality}
+    return {"op1_toxicity": op1_toxicity, "op2_pieces": op2_pieces, "op3_url_filter": op3_url_filter, "op7_sharding": op7_sharding, "op9_chat": op9_chat, "op5_decontaminate": op5_decontaminate, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
