@@ -77,19 +77,133 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def pack(records: np.ndarray) -> bytes:
-    """Columns of 64-bit values (k x n), one column after another."""
-    return np.ascontiguousarray(records).tobytes()
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays one after another, each with its length in bytes before it."""
+    parts = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    return b"".join(x for p in parts for x in (len(p).to_bytes(8, "little"), p))
 
 
-def unpack(blob, k: int) -> np.ndarray:
-    return np.frombuffer(blob, np.int64).reshape(k, -1)
+def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in kinds:
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(np.frombuffer(blob, kind, n // np.dtype(kind).itemsize, at + 8))
+        at += 8 + n
+    return out
 
 
-def split_runs(records: np.ndarray, key: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
-    """Cut records (k x n) into a run for each bucket of their unsigned key."""
-    bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+class Runs:
+    """Gathers records of a task and hands them out as one packed run for each bucket.
+
+    A record has a text (an index into the texts seen so far, each with its doc_id, hash and home bucket) and columns of fixed kinds.
+    A run names only the texts of its own records.
+    """
+
+    def __init__(self, kinds: tuple, limit: int = 48 << 20):
+        self.kinds, self.limit = kinds, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.texts: list[np.ndarray] = []
+        self.n_texts = self.size = 0
+        self.records: list[tuple[np.ndarray, ...]] = []
+
+    def add_texts(self, doc_id: np.ndarray, of: np.ndarray, home: np.ndarray) -> int:
+        """The index of the first of these texts."""
+        self.texts.append(np.stack([doc_id, of, home]))
+        self.n_texts += len(doc_id)
+        return self.n_texts - len(doc_id)
+
+    def add(self, text: np.ndarray, *columns: np.ndarray) -> None:
+        self.records.append((text.astype(np.uint32), *(c.astype(k, copy=False) for c, k in zip(columns, self.kinds, strict=True))))
+        self.size += sum(c.nbytes for c in self.records[-1])
+
+    @property
+    def full(self) -> bool:
+        return self.size + 24 * self.n_texts > self.limit
+
+    def columns(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """All texts (3 x n), and all records by column, the text first."""
+        texts = np.concatenate(self.texts, axis=1) if self.texts else np.zeros((3, 0), np.int64)
+        if not self.records:
+            return texts, [np.zeros(0, k) for k in (np.uint32, *self.kinds)]
+        return texts, [np.concatenate(c) for c in zip(*self.records, strict=True)]
+
+
+def cut_runs(texts: np.ndarray, columns: list[np.ndarray], bucket: np.ndarray) -> list[tuple[int, bytes]]:
+    """A packed run for each bucket."""
     order = np.argsort(bucket, kind="stable")
-    bucket, records = bucket[order], records[:, order]
-    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)] if len(bucket) else []
-    return [(int(bucket[a]), pack(records[:, a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    bucket = bucket[order]
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else []
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        used, text = np.unique(columns[0][order[a:b]], return_inverse=True)
+        out.append((int(bucket[a]), pack(texts[:, used], text.astype(np.uint32), *(c[order[a:b]] for c in columns[1:]))))
+    return out
+
+
+def join_runs(blobs: list[bytes], kinds: tuple) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The texts and records of several runs together."""
+    texts, columns, n = [], [], 0
+    for blob in blobs:
+        head, text, *rest = unpack(blob, np.int64, np.uint32, *kinds)
+        texts.append(head.reshape(3, -1))
+        columns.append([text.astype(np.int64) + n, *rest])
+        n += texts[-1].shape[1]
+    return np.concatenate(texts, axis=1), [np.concatenate(c) for c in zip(*columns, strict=True)]
+
+
+RUN_SCHEMA = "bucket int, kind int, run binary"
+
+
+def run_batch(runs: list[tuple[int, bytes]], kind: int = 0) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in runs], pa.int32()), pa.array([kind] * len(runs), pa.int32()), pa.array([r for _, r in runs], pa.binary())], names=["bucket", "kind", "run"])
+
+
+def with_homes(docs: DataFrame, homes: int) -> DataFrame:
+    """doc_id, text, of (a hash of the text), home (the bucket where the text meets what is found out about it)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("of", F.xxhash64("text"))
+    return rows.withColumn("home", F.pmod(F.xxhash64("doc_id", "of"), F.lit(homes)).cast("int"))
+
+
+def bring_home(texts: DataFrame, runs: DataFrame, homes: int) -> DataFrame:
+    """Rows (bucket, kind, run, doc_id, of, text and what else texts has): the runs of a bucket come first, then its texts (kind 9)."""
+    rest = [c for c in texts.columns if c not in ("home",)]
+    a = texts.select(F.col("home").alias("bucket"), F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("run"), *rest)
+    b = runs.select("bucket", "kind", "run", *[F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in rest])
+    return a.unionByName(b).repartition(homes, "bucket").sortWithinPartitions("bucket", "kind")
+
+
+def homecoming(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, bytes]], pa.RecordBatch]]:
+    """For each batch of texts, the (kind, run) of its bucket. Texts stream; only the runs of one bucket are held."""
+    bucket, runs = None, []
+    for batch in batches:
+        b, kind = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)] if len(b) else []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if b[low] != bucket:
+                bucket, runs = b[low], []
+            first = low + int(np.searchsorted(kind[low:high], 9))
+            runs += [(int(kind[i]), batch.column(2)[i].as_py()) for i in range(low, first)]
+            if first < high:
+                yield runs, batch.slice(first, high - first)
+
+
+class Places:
+    """Records by text: sorted once for a bucket, then looked up."""
+
+    def __init__(self, runs: list[bytes], kinds: tuple):
+        self.columns: list[np.ndarray] = []
+        self.at: dict[tuple[int, int], tuple[int, int]] = {}
+        if not runs:
+            return
+        texts, columns = join_runs(runs, kinds)
+        doc, of = texts[0][columns[0]], texts[1][columns[0]]
+        order = np.lexsort((columns[1], of, doc))
+        doc, of, self.columns = doc[order], of[order], [c[order] for c in columns[1:]]
+        cuts = [0, *(np.flatnonzero((np.diff(doc) != 0) | (np.diff(of) != 0)) + 1).tolist(), len(doc)]
+        self.at = {(int(doc[a]), int(of[a])): (a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a}
+
+    def of(self, doc: int, of: int) -> list[np.ndarray] | None:
+        found = self.at.get((doc, of))
+        return None if found is None else [c[found[0] : found[1]] for c in self.columns]

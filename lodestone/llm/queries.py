@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontaminate, pieces, quality, sharding, toxicity, url_filter
+from lodestone.llm import chat, chunk_dedup, decontaminate, pieces, quality, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.shard_of(F.col("doc_id"), SHARDS + 1).alias("grown_shard"), "bucket")
 
 
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 PROBE = r"\### Assistant: </turn> ok"
 
 
@@ -97,7 +101,7 @@ from e group by conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_pieces": op2_pieces, "op3_url_filter": op3_url_filter, "op7_sharding": op7_sharding, "op9_chat": op9_chat, "op5_decontaminate": op5_decontaminate, "op10_quality": op10_quality}
+    return {"op1_toxicity": op1_toxicity, "op2_pieces": op2_pieces, "op3_url_filter": op3_url_filter, "op7_sharding": op7_sharding, "op8_chunk_dedup": op8_chunk_dedup, "op9_chat": op9_chat, "op5_decontaminate": op5_decontaminate, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
