@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textbytes as tb
-from lodestone.llm.exchange import RUN_SCHEMA, Places, Runs, bring_home, bucket_count, by_bucket, cut_runs, homecoming, join_runs, run_batch, text_bytes, to_buckets, tune, with_homes
+from lodestone.llm.exchange import RUN_SCHEMA, Places, Runs, bring_home, bucket_count, by_bucket, cut_runs, homecoming, join_runs, later_ones, only_kind, run_batch, text_bytes, to_buckets, tune, with_homes
 
 #: Bytes: the shortest and longest chunk, the mean between candidates (a power of two), and the least run of repeats that goes.
 MIN_CHUNK, MAX_CHUNK, MEAN, MIN_BYTES = 16, 256, 32, 64
@@ -67,24 +67,6 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         low = high
 
 
-def later_ones(texts: np.ndarray, columns: list[np.ndarray], n_keys: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sort records (text, keys, place, ...) by key and then doc_id, hash of the text and place. Which are the first of their key, and which come truly later than the first."""
-    doc, of = texts[0][columns[0]], texts[1][columns[0]]
-    keys, place = columns[1 : 1 + n_keys], columns[1 + n_keys]
-    order = np.lexsort((place, of, doc, *keys[::-1]))
-    first = np.ones(len(order), bool)
-    first[1:] = False
-    for k in keys:
-        s = k[order]
-        first[1:] |= s[1:] != s[:-1]
-    head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    h = order[head]
-    later = (doc[order] != doc[h]) | (of[order] != of[h]) | (place[order] != place[h])
-    is_first, is_later = np.empty(len(order), bool), np.empty(len(order), bool)
-    is_first[order], is_later[order] = first, later
-    return is_first, is_later
-
-
 def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """documents (doc_id, text) -> doc_id, text (what stays), n_bytes, n_removed, n_chunks, n_repeats.
 
@@ -160,29 +142,5 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
     made = texts.select("doc_id", "text", "of", "home").mapInArrow(chunk, RUN_SCHEMA)
     # One exchange carries both kinds: digests to the bucket of their hash, what is known already on its way home.
-    met = to_buckets(made, buckets).mapInArrow(_only(compare), RUN_SCHEMA)
+    met = to_buckets(made, buckets).mapInArrow(only_kind(0, compare), RUN_SCHEMA)
     return bring_home(texts.select("doc_id", "text", "of", "home"), met, homes).mapInArrow(strip, "doc_id long, text string, n_bytes long, n_removed long, n_chunks long, n_repeats long")
-
-
-def _only(reduce):
-    """Apply reduce to the rows of kind 0 and let the others through."""
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aside: list[pa.RecordBatch] = []
-
-        def zero() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kind = batch.column(1).to_numpy(zero_copy_only=False)
-                if (kind != 0).any():
-                    aside.append(batch.filter(pa.array(kind != 0)))
-                if (kind == 0).any():
-                    yield batch.filter(pa.array(kind == 0))
-
-        for out in reduce(zero()):
-            while aside:
-                yield aside.pop()
-            yield out
-        while aside:
-            yield aside.pop()
-
-    return both

@@ -207,3 +207,45 @@ class Places:
     def of(self, doc: int, of: int) -> list[np.ndarray] | None:
         found = self.at.get((doc, of))
         return None if found is None else [c[found[0] : found[1]] for c in self.columns]
+
+
+def later_ones(texts: np.ndarray, columns: list[np.ndarray], n_keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sort records (text, keys, place, ...) by key and then doc_id, hash of the text and place. Which are the first of their key, and which come truly later than the first."""
+    doc, of = texts[0][columns[0]], texts[1][columns[0]]
+    keys, place = columns[1 : 1 + n_keys], columns[1 + n_keys]
+    order = np.lexsort((place, of, doc, *keys[::-1]))
+    first = np.ones(len(order), bool)
+    first[1:] = False
+    for k in keys:
+        s = k[order]
+        first[1:] |= s[1:] != s[:-1]
+    head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    h = order[head]
+    later = (doc[order] != doc[h]) | (of[order] != of[h]) | (place[order] != place[h])
+    is_first, is_later = np.empty(len(order), bool), np.empty(len(order), bool)
+    is_first[order], is_later[order] = first, later
+    return is_first, is_later
+
+
+def only_kind(wanted: int, reduce):
+    """Apply reduce to the rows of one kind and let the others through."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aside: list[pa.RecordBatch] = []
+
+        def chosen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                its = batch.column(1).to_numpy(zero_copy_only=False) == wanted
+                if not its.all():
+                    aside.append(batch.filter(pa.array(~its)))
+                if its.any():
+                    yield batch.filter(pa.array(its))
+
+        for out in reduce(chosen()):
+            while aside:
+                yield aside.pop(0)
+            yield out
+        while aside:
+            yield aside.pop(0)
+
+    return both

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, chunk_dedup, decontaminate, pieces, quality, sharding, toxicity, url_filter
+from lodestone.llm import chat, chunk_dedup, decontaminate, pieces, quality, sharding, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,11 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ids", F.size("ids").alias("n_tokens"), "n_chunks", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_suffixes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
@@ -101,7 +106,7 @@ from e group by conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_pieces": op2_pieces, "op3_url_filter": op3_url_filter, "op7_sharding": op7_sharding, "op8_chunk_dedup": op8_chunk_dedup, "op9_chat": op9_chat, "op5_decontaminate": op5_decontaminate, "op10_quality": op10_quality}
+    return {"op1_toxicity": op1_toxicity, "op2_pieces": op2_pieces, "op3_url_filter": op3_url_filter, "op7_sharding": op7_sharding, "op8_chunk_dedup": op8_chunk_dedup, "op9_chat": op9_chat, "op4_suffix_dedup": op4_suffix_dedup, "op5_decontaminate": op5_decontaminate, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

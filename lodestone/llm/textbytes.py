@@ -30,6 +30,17 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+_inverse = np.ones(1, U64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """The inverses of BASE's powers modulo 2**64: with them a hash from the beginning of the data becomes one of a range alone."""
+    global _inverse
+    if len(_inverse) < n:
+        _inverse = np.concatenate(([U64(1)], np.cumprod(np.full(max(n, 4096) - 1, pow(int(BASE), -1, 2**64), U64))))
+    return _inverse[:n]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
