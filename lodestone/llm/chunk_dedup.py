@@ -10,7 +10,7 @@ to their text in the same way.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +67,8 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         low = high
 
 
-def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, text (what stays), n_bytes, n_removed, n_chunks, n_repeats.
+def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: Sequence[str] = ("doc_id", "text")) -> DataFrame:
+    """documents (doc_id, text) -> the columns of `keep`, with text as it stays, then n_bytes, n_removed, n_chunks, n_repeats.
 
     Within a text, too, later repeats go. Cuts never part a character: a range that goes is narrowed to whole characters. Null texts are empty and stay empty; repeated rows (equal
     id and text) count as one text and all get its result; texts that repeat as a whole keep their first copy; an empty table gives no rows; other columns are ignored.
@@ -77,7 +77,8 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     tune(spark)
     size = text_bytes(docs)
     homes, buckets = bucket_count(spark, size), bucket_count(spark, size * 24 / MEAN)
-    texts = with_homes(docs, homes)
+    # Carried columns get names of their own; the text itself is not carried twice.
+    texts = with_homes(docs, homes, keep)
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(DIGEST)
@@ -138,9 +139,13 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
                                 gone[f:t] = True
                     out.append(raw[~gone].tobytes())
                     told[:3, low + i] = len(raw), gone.sum(), b - a
-            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(out, pa.binary()).cast(pa.string()), *(pa.array(t) for t in told)], names=["doc_id", "text", "n_bytes", "n_removed", "n_chunks", "n_repeats"])
+            told_columns = [*(pa.array(t) for t in told)]
+            stays = pa.array(out, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*(stays if c == "text" else batch.column(6 + i) for i, c in enumerate(keep)), *told_columns], names=[*keep, "n_bytes", "n_removed", "n_chunks", "n_repeats"])
 
     made = texts.select("doc_id", "text", "of", "home").mapInArrow(chunk, RUN_SCHEMA)
     # One exchange carries both kinds: digests to the bucket of their hash, what is known already on its way home.
     met = to_buckets(made, buckets).mapInArrow(only_kind(0, compare), RUN_SCHEMA)
-    return bring_home(texts.select("doc_id", "text", "of", "home"), met, homes).mapInArrow(strip, "doc_id long, text string, n_bytes long, n_removed long, n_chunks long, n_repeats long")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
+    return bring_home(texts, met, homes).mapInArrow(strip, f"{schema}, n_bytes long, n_removed long, n_chunks long, n_repeats long")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import textbytes as tb
 from lodestone.llm.exchange import tune, written
+from lodestone.llm.sketch import cell_counts
 
 WINDOW = 10
 #: Cells of the table of counts, and bits of the two bitmaps (2 and 4 MB).
@@ -47,29 +48,8 @@ def _shingles(hashed: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """How often the shingles of each cell come in the whole corpus: one table of CELLS counts, summed over executors."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for _, _, row, hashed in _hash_words(batch.column(0)):
-                cells += np.bincount((_shingles(hashed, row) % tb.U64(CELLS)).astype(np.int64), minlength=CELLS)
-        blocks = cells.reshape(-1, 4096)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "cells"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[b] = sums.get(b, 0) + np.frombuffer(c.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "cells"])
-
-    schema = "block long, cells binary"
-    summed = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
-    out = np.zeros(CELLS, np.int64)
-    for block, cells in summed.toLocalIterator():
-        out[block * 4096 : (block + 1) * 4096] = np.frombuffer(cells, np.int64)
-    return out
+    """How often the shingles of each cell come in the whole corpus."""
+    return cell_counts(docs, lambda column: (_shingles(hashed, row) for _, _, row, hashed in _hash_words(column)), CELLS)
 
 
 def item_windows(benchmark: DataFrame, counts: np.ndarray) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -160,10 +160,12 @@ def run_batch(runs: list[tuple[int, bytes]], kind: int = 0) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in runs], pa.int32()), pa.array([kind] * len(runs), pa.int32()), pa.array([r for _, r in runs], pa.binary())], names=["bucket", "kind", "run"])
 
 
-def with_homes(docs: DataFrame, homes: int) -> DataFrame:
-    """doc_id, text, of (a hash of the text), home (the bucket where the text meets what is found out about it)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("of", F.xxhash64("text"))
-    return rows.withColumn("home", F.pmod(F.xxhash64("doc_id", "of"), F.lit(homes)).cast("int"))
+def with_homes(docs: DataFrame, homes: int, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, of (a hash of the text), home (the bucket where the text meets what is found out about it), and the columns of `keep` as keep0, keep1 ... (the text's is empty)."""
+    kept = [(F.lit(None).cast("string") if c == "text" else F.col(c)).alias(f"keep{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *kept)
+    rows = rows.withColumn("of", F.xxhash64("text")).withColumn("home", F.pmod(F.xxhash64("doc_id", "of"), F.lit(homes)).cast("int"))
+    return rows.select("doc_id", "text", "of", "home", *[f"keep{i}" for i in range(len(keep))])
 
 
 def bring_home(texts: DataFrame, runs: DataFrame, homes: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, chunk_dedup, decontaminate, pieces, quality, sharding, suffix_dedup, toxicity, url_filter
+from lodestone.llm import chat, chunk_dedup, decontaminate, jaccard, pieces, quality, sharding, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -106,7 +110,7 @@ from e group by conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_pieces": op2_pieces, "op3_url_filter": op3_url_filter, "op7_sharding": op7_sharding, "op8_chunk_dedup": op8_chunk_dedup, "op9_chat": op9_chat, "op4_suffix_dedup": op4_suffix_dedup, "op5_decontaminate": op5_decontaminate, "op10_quality": op10_quality}
+    return {"op1_toxicity": op1_toxicity, "op2_pieces": op2_pieces, "op3_url_filter": op3_url_filter, "op6_jaccard": op6_jaccard, "op7_sharding": op7_sharding, "op8_chunk_dedup": op8_chunk_dedup, "op9_chat": op9_chat, "op4_suffix_dedup": op4_suffix_dedup, "op5_decontaminate": op5_decontaminate, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
