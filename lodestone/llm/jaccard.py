@@ -2,10 +2,11 @@
 
 A document is its set of distinct shingles of k words (fewer words: the one of all), in one global order: rarer cells of a corpus-wide count table of fixed size first, then by hash.
 
-1. Documents with equal sets are one node. Two linked nodes share a shingle among the first n - ceil(t n) + 1 of each (the prefix filter), so nodes meet at their prefix shingles; sizes
-   and places rule pairs out early. At each shingle all nodes are first paired with the least only.
+1. Documents with equal sets are one node. Two linked nodes share a shingle among the first n - ceil(t n) + 1 of each (the prefix filter), and mostly many: the more equal their sizes, the more of
+   their prefixes must agree. So nodes meet at their prefix shingles, sizes and places rule pairs out early, and of the rest only those that meet often enough are verified.
+   At each shingle all nodes are first paired with the least only.
 2. Pairs are verified by vertical partitioning: the global order of hashes is cut into fragments; in each fragment a member's part of its set is counted against the part of its partner, and the partial overlaps are summed for each pair.
-3. The links give components. Pairs that met at some shingle and are in different components now are verified in the same way; pairs within one component are connected already and can change nothing. So no link is lost, and a group of near copies costs one pair for each member, not for each two.
+3. The links give components. Pairs that met often enough, at any shingles, and are in different components now are verified in the same way; pairs within one component are connected already and can change nothing. So no link is lost, and a group of near copies costs one pair for each member, not for each two.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from lodestone.llm.sketch import cell_counts
 
 CELLS, FRAGMENTS = 1 << 18, 6
 META, TOKENS, PAIR, MEMBER = 0, 1, 2, 3
-ROW = "bucket int, kind int, run binary, a long, b long, c long, d long"
+ROW = "bucket int, kind int, run binary, a long, b long, c long, d long, e long"
+PAIRS = "a long, b long, n long, m long, times long"
 #: Of the key of a shingle: the bits above hold how common its cell is.
 LEVEL_BITS = 6
 
@@ -71,10 +73,27 @@ def may_link(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1 >= need)
 
 
+def least_meetings(n, m, percent: int):
+    """How many shingles are in the prefixes of both sets at least, if the sets of n and m link.
+
+    Of their o common shingles the j-th stands at most n - o + j - 1 places from the beginning of the one, m - o + j - 1 of the other, and so within both prefixes for small j."""
+    need = -(-percent * (n + m) // (100 + percent))
+    prefix = lambda x: x + percent * x // -100 + 1  # noqa: E731  x - ceil(percent x / 100) + 1
+    return np.maximum(1, np.minimum(prefix(n) - (n - need), prefix(m) - (m - need)))
+
+
+def count_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
+    """Distinct pairs (a, b, n, m) and how often each came."""
+    order = np.lexsort((b, a))
+    a, b, n, m = a[order], b[order], n[order], m[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    return [a[new], b[new], n[new], m[new], np.diff(np.append(new, len(a)))]
+
+
 def _rows(kind: int, bucket: np.ndarray | None, *columns: np.ndarray, runs: list[bytes] | None = None) -> pa.RecordBatch:
     n = len(columns[0]) if columns else len(runs)
-    longs = [pa.array(c.astype(np.int64)) for c in columns] + [pa.nulls(n, pa.int64())] * (4 - len(columns))
-    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n) if bucket is None else bucket, pa.int32(), safe=False), pa.array(np.full(n, kind, np.int32)), pa.array(runs, pa.binary()) if runs is not None else pa.nulls(n, pa.binary()), *longs], names=["bucket", "kind", "run", "a", "b", "c", "d"])
+    longs = [pa.array(c.astype(np.int64)) for c in columns] + [pa.nulls(n, pa.int64())] * (5 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n) if bucket is None else bucket, pa.int32(), safe=False), pa.array(np.full(n, kind, np.int32)), pa.array(runs, pa.binary()) if runs is not None else pa.nulls(n, pa.binary()), *longs], names=["bucket", "kind", "run", "a", "b", "c", "d", "e"])
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,30 +167,30 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
             inside = np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             first = np.repeat(begin, size)
             link = (inside > first) & may_link(n[first], place[first], n[inside], place[inside], percent)
-            pairs = np.unique(np.stack([node[first[link]], node[inside[link]]]), axis=1)
-            yield _rows(PAIR, None, pairs[0], pairs[1])
-            three = np.repeat(size > 2, size)
-            at = inside[three]
-            yield _rows(MEMBER, None, token[at], node[at], n[at], place[at])
+            x, y = first[link], inside[link]
+            yield _rows(PAIR, None, *count_pairs(node[x], node[y], n[x], n[y]))
+            yield _rows(MEMBER, None, token[inside], node[inside], n[inside], place[inside])
 
     def rest_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups (token, node, n, place, component) in order of token and node: the pairs across components, without those of the first node."""
+        """Groups (token, node, n, place, component) in order of token and node: the pairs across components, and how often each came."""
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pairs = np.concatenate(held, axis=1) if held else np.zeros((4, 0), np.int64)
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in count_pairs(*pairs)], names=["a", "b", "n", "m", "times"])
+
         for rows in by_bucket(batches):
             _, node, n, place, part = (rows.column(j).to_numpy() for j in range(5))
             if (part == part[0]).all():
                 continue
-            out, held = [], 0
-            for i in range(1, len(node) - 1):
+            for i in range(len(node) - 1):
                 other = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & may_link(n[i + 1 :], place[i + 1 :], n[i], place[i], percent))
                 if len(other):
-                    out.append(np.stack([np.full(len(other), node[i]), node[other]]))
-                    held += len(other)
-                if held > 1 << 16:
-                    pairs = np.concatenate(out, axis=1)
-                    out, held = [], 0
-                    yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], names=["a", "b"])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(p) for p in np.concatenate(out, axis=1)], names=["a", "b"])
+                    held.append(np.stack([np.full(len(other), node[i]), node[other], np.full(len(other), n[i]), n[other]]))
+            if sum(h.shape[1] for h in held[-1000:]) > 1 << 19 or len(held) > 1 << 16:
+                yield from flush()
+        yield from flush()
 
     def cut_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,8 +199,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
                 row, key, n, node = ordered_sets(row, gram, high - low, level)
                 # Fragments are ranges of the hash part of the order.
                 part = ((key << tb.U64(LEVEL_BITS)) >> tb.U64(40)).astype(np.int64) * FRAGMENTS >> 24
+                # Within a pair of documents 40 more bits of the hash tell its shingles apart.
+                key = ((key << tb.U64(LEVEL_BITS)) >> tb.U64(LEVEL_BITS + 2)) & tb.U64((1 << 40) - 1)
                 order = np.lexsort((key, part, row))
                 row, key, part = row[order], key[order], part[order]
+                packed = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :5])
                 out: list[tuple[int, int, int, int, int, bytes]] = []
                 begin = np.cumsum(n) - n
                 for i in range(high - low):
@@ -192,7 +214,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
                         continue
                     at = begin[i] + np.searchsorted(mine, np.arange(FRAGMENTS + 1))
                     for f in range(FRAGMENTS):
-                        blob = key[at[f] : at[f + 1]].tobytes()
+                        blob = packed[at[f] : at[f + 1]].tobytes()
                         out += [(leader, f, int(leader != me), me, int(n[i]), blob) for leader in leaders]
                 if out:
                     columns = list(zip(*out, strict=True))
@@ -207,7 +229,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
                 if (leaders[i], fs[i], roles[i], nodes[i]) == last:
                     continue
                 last = (leaders[i], fs[i], roles[i], nodes[i])
-                part = np.frombuffer(batch.column(5)[i].as_buffer(), tb.U64)
+                five = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint8).reshape(-1, 5)
+                wide = np.zeros((len(five), 8), np.uint8)
+                wide[:, :5] = five
+                part = wide.view(tb.U64)[:, 0]
                 if roles[i] == 0:
                     now, whole, size = (leaders[i], fs[i]), part, ns[i]
                 elif now == (leaders[i], fs[i]) and len(part) and len(whole):
@@ -231,13 +256,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     met = written(to_buckets(listed, buckets).mapInArrow(meet, ROW), "met")
     meta = met.where(f"kind = {META}").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("node"), (F.col("d") == 1).alias("known"))
     reps = written(meta.where("n > 0 and known").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "reps")
-    pairs = written(met.where(f"kind = {PAIR}").select("a", "b").distinct(), "pairs")
+    # Prefix lengths and least meetings, as least_meetings() has them, in SQL.
+    need = f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
+    prefix = lambda x: f"({x} - (({percent} * {x} + 99) div 100) + 1)"
+    often = f"times >= greatest(1, least({prefix('n')} - (n - {need}), {prefix('m')} - (m - {need})))"
+    summed = lambda rows: rows.groupBy("a", "b", "n", "m").agg(F.sum("times").alias("times")).where(often).select("a", "b")
+    pairs = written(summed(met.where(f"kind = {PAIR}").select("a", "b", F.col("c").alias("n"), F.col("d").alias("m"), F.col("e").alias("times"))), "pairs")
     links = written(verify(pairs, reps), "links")
     found = written(connected_components(links), "components")
     parts = reps.join(found, reps["doc_id"] == found["node"], "left").select(reps["node"], F.coalesce("component", "doc_id").alias("component"))
     members = met.where(f"kind = {MEMBER}").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("c").alias("n"), F.col("d").alias("place")).join(parts, "node")
-    rest = members.select("token", "node", "n", "place", "component").repartition("token").sortWithinPartitions("token", "node").mapInArrow(rest_of_pairs, "a long, b long").distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = members.select("token", "node", "n", "place", "component").repartition("token").sortWithinPartitions("token", "node").mapInArrow(rest_of_pairs, PAIRS)
+    rest = written(summed(rest).join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = written(verify(rest, reps), "links")
         found = written(connected_components(links.unionByName(more)), "components")

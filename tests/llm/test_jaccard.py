@@ -53,3 +53,18 @@ def test_against_brute_force(spark):
     assert all(x.component_id is None for x in got if x.doc_id is None)
     assert any(x.component_id < x.doc_id for x in got if x.doc_id is not None)
     assert jaccard.jaccard_components(frame.limit(0)).count() == 0
+
+
+def test_least_meetings():
+    """Linked sets meet at least so often within their prefixes."""
+    import numpy as np
+
+    r = random.Random(14)
+    for _ in range(3000):
+        n = r.randrange(1, 90)
+        a = set(r.sample(range(300), n))
+        b = (a - set(r.sample(sorted(a), r.randrange(min(n, 9))))) | {300 + r.randrange(90) * (-1) ** r.randrange(2) for _ in range(r.randrange(9))}
+        for percent in (80, 85):
+            if b and 100 * len(a & b) >= percent * len(a | b):
+                first = lambda s: set(sorted(s)[: len(s) - -(-percent * len(s) // 100) + 1])
+                assert len(first(a) & first(b)) >= jaccard.least_meetings(np.int64(len(a)), np.int64(len(b)), percent)
