@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity, urls
+from lodestone.operators import articles as A
 from lodestone.operators import entries as E
 from lodestone.operators import graph as G
 from lodestone.operators import links as L
@@ -465,3 +466,11 @@ def thread_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["thread_title"] = thread_title
 SQL["thread_title"] = r"with c as (select conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from conversations) select conv_id, turn, case when t = '' then 'Thread' when length(t) > 80 then rtrim(substr(t, 1, 80)) || '…' else t end as title from c"
+
+
+def articles(pages: DataFrame) -> DataFrame:
+    return A.article_pages(pages, "2024-01-20T12:00:00+00:00")
+
+
+pages_of(lambda pages: articles(pages).select("page_id", "url", "source_type", "title", "low_confidence", "words", "failed"), "extract_article")
+pages_of(lambda pages: articles(pages).where("not failed").select("page_id", "markdown"), "article_markdown")
