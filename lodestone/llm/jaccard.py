@@ -6,12 +6,16 @@ A document is its set of distinct shingles of k words (fewer words: the one of a
    their prefixes must agree. So nodes meet at their prefix shingles, sizes and places rule pairs out early, and of the rest only those that meet often enough are verified.
    At each shingle all nodes are first paired with the least only.
 2. Pairs are verified by vertical partitioning: the global order of hashes is cut into fragments; in each fragment a member's part of its set is counted against the part of its partner, and the partial overlaps are summed for each pair.
-3. The links give components. Pairs that met often enough, at any shingles, and are in different components now are verified in the same way; pairs within one component are connected already and can change nothing. So no link is lost, and a group of near copies costs one pair for each member, not for each two.
+3. The links give components. Each node joins the family of the least node that it meets at all; in a family, a node is paired with the few of other components whose parity sketches are nearest to its own and with a few more that its hash picks; these pairs are verified
+   likewise. Large families of near copies are one component then, or nearly.
+4. All other pairs that met often enough, are in different components still, and whose sketches differ in no more bits than linked sets have different elements, are verified in the same way; pairs within one component are connected already and can change nothing.
+   So no link is lost, and a family of near copies costs a few pairs for each member, not one for each two.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,10 @@ from lodestone.llm.exchange import bucket_count, by_bucket, pack, text_bytes, to
 from lodestone.llm.sketch import cell_counts
 
 CELLS, FRAGMENTS = 1 << 18, 6
+#: Bits of a set's parity sketch.
+SKETCH = 512
+#: Of step 3: partners by sketch and by hash; rows that are looked at together; groups up to this size are paired all at once.
+NEAREST, PICKED, CHUNK, SMALL = 2, 3, 200_000, 48
 META, TOKENS, PAIR, MEMBER = 0, 1, 2, 3
 ROW = "bucket int, kind int, run binary, a long, b long, c long, d long, e long"
 PAIRS = "a long, b long, n long, m long, times long"
@@ -67,6 +75,13 @@ def ordered_sets(row: np.ndarray, gram: np.ndarray, n_rows: int, level: np.ndarr
     return row, key, n, node
 
 
+def parity_sketches(row: np.ndarray, key: np.ndarray, n_rows: int) -> list[bytes]:
+    """For each set the parity of how many of its keys fall on each of SKETCH bits. Two sketches differ in no more bits than the sets have different elements."""
+    bit = (tb.mix(key ^ tb.U64(SKETCH)) % tb.U64(SKETCH)).astype(np.int64)
+    odd = np.bincount(row * SKETCH + bit, minlength=n_rows * SKETCH).reshape(n_rows, SKETCH) & 1
+    return [r.tobytes() for r in np.packbits(odd.astype(np.uint8), axis=1)]
+
+
 def may_link(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Sets of n and m shingles that share their i-th and j-th: can their overlap be large enough."""
     need = -(-percent * (n + m) // (100 + percent))
@@ -104,6 +119,75 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[two], end[two]
 
 
+def groups_across(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Whole groups of equal tokens with more than one component, many at a time: their columns without the token, and where each begins and ends."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(rows: pa.Table) -> tuple[np.ndarray, ...] | None:
+        token, node, n, place, part = (rows.column(j).to_numpy() for j in range(5))
+        begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        end = np.append(begin[1:], len(token))
+        mixed = np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin)
+        inside = np.flatnonzero(np.repeat(mixed, end - begin))
+        if not len(inside):
+            return None
+        size = (end - begin)[mixed]
+        data = b"".join(rows.column(5).take(pa.array(inside)).to_pylist())
+        return node[inside], n[inside], place[inside], part[inside], np.frombuffer(data, tb.U64).reshape(len(inside), -1), np.cumsum(size) - size, np.cumsum(size)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < CHUNK:
+            continue
+        rows = pa.Table.from_batches(held)
+        token = rows.column(0).to_numpy()
+        whole = int(np.searchsorted(token, token[-1])) if token[0] <= token[-1] else int(np.flatnonzero(token != token[-1])[-1]) + 1
+        held = rows.slice(whole).combine_chunks().to_batches()
+        if whole and (found := cut(rows.slice(0, whole))) is not None:
+            yield found
+    if held and (found := cut(pa.Table.from_batches(held))) is not None:
+        yield found
+
+
+def small_pairs(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within groups of up to SMALL members, some groups at a time."""
+    small = end - begin <= SMALL
+    begin, end = begin[small], end[small]
+    many = np.cumsum((end - begin) * (end - begin - 1) // 2) >> 20
+    for k in np.unique(many):
+        b, e = begin[many == k], end[many == k]
+        size = e - b
+        first = np.repeat(b, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        after = np.repeat(e, size) - first - 1
+        x = np.repeat(first, after)
+        yield x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
+
+
+def large_pairs(begin: np.ndarray, end: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within larger groups, a member at a time. One end of each pair across components is outside the group's largest."""
+    for b, e in zip(begin, end, strict=True):
+        if e - b <= SMALL:
+            continue
+        labels, size = np.unique(part[b:e], return_counts=True)
+        inside = part[b:e] == labels[size.argmax()]
+        for i in np.flatnonzero(~inside):
+            y = b + np.flatnonzero((part[b:e] != part[b + i]) & (inside | (np.arange(e - b) > i)))
+            yield np.full(len(y), b + i), y
+
+
+def some_of_each(x: np.ndarray, y: np.ndarray, apart: np.ndarray, node: np.ndarray, ends: int = 2) -> np.ndarray:
+    """For each end (or each first one) the NEAREST pairs by sketch and PICKED ones by a hash that both ends know."""
+    picked = tb.mix(node[x].view(tb.U64) ^ node[y].view(tb.U64))
+    keep = np.zeros(len(x), bool)
+    for end in (x, y)[:ends]:
+        for score, most in ((apart, NEAREST), (picked, PICKED)):
+            order = np.lexsort((score, end))
+            first = np.concatenate(([True], np.diff(end[order]) != 0))
+            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            keep[order[rank < most]] = True
+    return keep
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_shingles, component_id: the least doc_id that links of Jaccard >= percent / 100 lead to.
 
@@ -140,7 +224,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
             known = np.asarray(batch.column(0).is_valid())
             for low, high, row, gram in shingle_sets(batch.column(1), k):
                 row, key, n, node = ordered_sets(row, gram, high - low, level)
-                yield _rows(META, node % tb.U64(buckets), doc[low:high], n, node.view(np.int64), known[low:high])
+                yield _rows(META, node % tb.U64(buckets), doc[low:high], n, node.view(np.int64), known[low:high], runs=parity_sketches(row, key, high - low))
                 place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 use = (place <= n[row] - -(-percent * n[row] // 100)) & known[low:high][row]
                 # Size and place in one number: both are below 2**31.
@@ -169,28 +253,38 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
             link = (inside > first) & may_link(n[first], place[first], n[inside], place[inside], percent)
             x, y = first[link], inside[link]
             yield _rows(PAIR, None, *count_pairs(node[x], node[y], n[x], n[y]))
-            yield _rows(MEMBER, None, token[inside], node[inside], n[inside], place[inside])
-
-    def rest_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups (token, node, n, place, component) in order of token and node: the pairs across components, and how often each came."""
-        held: list[np.ndarray] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            pairs = np.concatenate(held, axis=1) if held else np.zeros((4, 0), np.int64)
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in count_pairs(*pairs)], names=["a", "b", "n", "m", "times"])
-
-        for rows in by_bucket(batches):
-            _, node, n, place, part = (rows.column(j).to_numpy() for j in range(5))
-            if (part == part[0]).all():
-                continue
-            for i in range(len(node) - 1):
-                other = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & may_link(n[i + 1 :], place[i + 1 :], n[i], place[i], percent))
-                if len(other):
-                    held.append(np.stack([np.full(len(other), node[i]), node[other], np.full(len(other), n[i]), n[other]]))
-            if sum(h.shape[1] for h in held[-1000:]) > 1 << 19 or len(held) > 1 << 16:
-                yield from flush()
-        yield from flush()
+            yield _rows(MEMBER, None, token[inside], node[inside], n[inside], place[inside], node[first])
+
+    def across(few: bool):
+        """From groups (token, node, n, place, component, sketch), in order of token and node: pairs across components that may link, and how often each came. With few, only some for each node."""
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                found = np.concatenate(held, axis=1) if held else np.zeros((4, 0), np.int64)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in count_pairs(*found)], names=["a", "b", "n", "m", "times"])
+
+            for node, n, place, part, sketch, begin, end in groups_across(batches):
+                # Pairs of a small group come together, those of a large one by their first member: only then has each end all its own.
+                for x, y, ends in chain(((x, y, 2) for x, y in small_pairs(begin, end)), ((x, y, 1) for x, y in large_pairs(begin, end, part))):
+                    keep = (part[x] != part[y]) & may_link(n[x], place[x], n[y], place[y], percent)
+                    x, y = x[keep], y[keep]
+                    apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+                    keep = apart <= n[x] + n[y] - 2 * -(-percent * (n[x] + n[y]) // (100 + percent))
+                    x, y, apart = x[keep], y[keep], apart[keep]
+                    if few and len(x):
+                        keep = some_of_each(x, y, apart, node, ends)
+                        x, y = x[keep], y[keep]
+                    swap = node[x] > node[y]
+                    x, y = np.where(swap, y, x), np.where(swap, x, y)
+                    held.append(np.stack([node[x], node[y], n[x], n[y]]))
+                    if sum(h.shape[1] for h in held) > 1 << 19:
+                        yield from flush()
+            yield from flush()
+
+        return pairs
 
     def cut_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,8 +348,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
     listed = docs.mapInArrow(list_prefixes, ROW)
     met = written(to_buckets(listed, buckets).mapInArrow(meet, ROW), "met")
-    meta = met.where(f"kind = {META}").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("node"), (F.col("d") == 1).alias("known"))
-    reps = written(meta.where("n > 0 and known").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "reps")
+    meta = met.where(f"kind = {META}").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("node"), (F.col("d") == 1).alias("known"), F.col("run").alias("sketch"))
+    reps = written(meta.where("n > 0 and known").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "reps")
     # Prefix lengths and least meetings, as least_meetings() has them, in SQL.
     need = f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
     prefix = lambda x: f"({x} - (({percent} * {x} + 99) div 100) + 1)"
@@ -264,13 +358,20 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     pairs = written(summed(met.where(f"kind = {PAIR}").select("a", "b", F.col("c").alias("n"), F.col("d").alias("m"), F.col("e").alias("times"))), "pairs")
     links = written(verify(pairs, reps), "links")
     found = written(connected_components(links), "components")
-    parts = reps.join(found, reps["doc_id"] == found["node"], "left").select(reps["node"], F.coalesce("component", "doc_id").alias("component"))
-    members = met.where(f"kind = {MEMBER}").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("c").alias("n"), F.col("d").alias("place")).join(parts, "node")
-    rest = members.select("token", "node", "n", "place", "component").repartition("token").sortWithinPartitions("token", "node").mapInArrow(rest_of_pairs, PAIRS)
-    rest = written(summed(rest).join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = written(verify(rest, reps), "links")
-        found = written(connected_components(links.unionByName(more)), "components")
+    members = met.where(f"kind = {MEMBER}").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("c").alias("n"), F.col("d").alias("place"), F.col("e").alias("leader"))
+    # A family meets at many shingles, mostly under the same least node; each node is in the family of the least node that it meets at all.
+    families = members.groupBy("node").agg(F.min("leader").alias("token"), F.first("n").alias("n")).where("token <> node").select("token", "node", "n").unionByName(members.where("leader = node").groupBy(F.col("leader").alias("token"), "node").agg(F.first("n").alias("n"))).withColumn("place", F.lit(0).cast("long"))
+    for few in (True, False):
+        parts = reps.join(found, reps["doc_id"] == found["node"], "left").select(reps["node"], F.coalesce("component", "doc_id").alias("component"), "sketch")
+        met_at = families if few else members
+        groups = met_at.join(parts, "node").select("token", "node", "n", "place", "component", "sketch").repartition("token").sortWithinPartitions("token", "node")
+        some = groups.mapInArrow(across(few), PAIRS)
+        some = some.select("a", "b").distinct() if few else summed(some)
+        more = written(some.join(pairs, ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            links = written(links.unionByName(verify(more, reps)), "links")
+            pairs = pairs.unionByName(more)
+            found = written(connected_components(links), "components")
     parts = reps.join(found, reps["doc_id"] == found["node"], "left").select(reps["node"].alias("of"), F.coalesce("component", "doc_id").alias("component"))
     out = meta.join(parts, (F.col("node") == F.col("of")) & F.col("known") & (F.col("n") > 0), "left")
     return out.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("known"), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -68,3 +68,41 @@ def test_least_meetings():
             if b and 100 * len(a & b) >= percent * len(a | b):
                 first = lambda s: set(sorted(s)[: len(s) - -(-percent * len(s) // 100) + 1])
                 assert len(first(a) & first(b)) >= jaccard.least_meetings(np.int64(len(a)), np.int64(len(b)), percent)
+
+
+def test_sketches():
+    import numpy as np
+
+    r = np.random.default_rng(15)
+    sets = [r.integers(0, 2**63, 40).astype(np.uint64)]
+    for i in range(60):
+        sets.append(np.concatenate((sets[0][i // 2 :], r.integers(0, 2**63, i // 3).astype(np.uint64))))
+    row, key = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    found = [np.frombuffer(x, np.uint64) for x in jaccard.parity_sketches(row, key, len(sets))]
+    for s, f in zip(sets, found, strict=True):
+        apart = len(set(s.tolist()) ^ set(sets[0].tolist()))
+        assert int(np.bitwise_count(f ^ found[0]).sum()) <= apart
+        assert apart < 5 or int(np.bitwise_count(f ^ found[0]).sum()) > apart // 2
+
+
+def test_pairs_of_small_and_large_groups(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(16)
+    size = r.integers(2, 30, 40)
+    end = np.cumsum(size)
+    part = r.integers(0, 3, int(size.sum()))
+
+    def pairs():
+        found = [*jaccard.small_pairs(end - size, end), *jaccard.large_pairs(end - size, end, part)]
+        return sorted((min(i, j), max(i, j)) for x, y in found for i, j in zip(x.tolist(), y.tolist(), strict=True) if part[i] != part[j])
+
+    all_small = pairs()
+    assert len(set(all_small)) == len(all_small)
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    assert pairs() == all_small
+    monkeypatch.setattr(jaccard, "SMALL", 12)
+    assert pairs() == all_small
+    x, y = (np.concatenate(c) for c in zip(*jaccard.small_pairs(end - size, end), strict=True))
+    kept = jaccard.some_of_each(x, y, r.integers(0, 50, len(x)), r.integers(0, 2**62, len(part)))
+    assert 0 < kept.sum() < len(x) and set(np.concatenate([x[kept], y[kept]])) == set(np.concatenate([x, y]))
