@@ -93,6 +93,32 @@ m as (
 select p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') as verdict  from p left join m using (page_id)
 """
 
+UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP5_SQL = rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UP}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), {UP}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+i as (select item_id, w, least(len(w), 10) as k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from b where len(w) > 0),
+v as (select distinct item_id, k, array_to_string(w[s:s + k - 1], ' ') as t from i),
+o as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as s from d, (select distinct k from v) where len(w) >= k),
+h as (select o.doc_id, o.s, o.k, v.item_id from o join v on v.k = o.k and v.t = array_to_string(o.w[o.s:o.s + o.k - 1], ' ')),
+c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + k)) as p from h) group by 1),
+t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from h group by 1)
+select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join c using (doc_id) left join t using (doc_id)
+"""
+
+OP6_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UP}), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct doc_id, array_to_string(w[s:s + 3], ' ') as t from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as s from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by 1),
+e as (select x.doc_id as a, y.doc_id as b from g x join g y on x.t = y.t and x.doc_id < y.doc_id join n p on p.doc_id = x.doc_id join n q on q.doc_id = y.doc_id group by all having 100 * count(*) >= 85 * (any_value(p.n) + any_value(q.n) - count(*))),
+u as (select a, b from e union all select b, a from e),
+r as (select doc_id as x, doc_id as y from d union select r.x, u.b from r join u on u.a = r.y),
+c as (select x, min(y) as component_id from r group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from d left join n using (doc_id) join c on c.x = d.doc_id
+"""
+
 OP9_SQL = r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -114,4 +140,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op9_chat": OP9_SQL}
+    return {"op3_url_filter": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_jaccard": OP6_SQL, "op9_chat": OP9_SQL}
