@@ -65,6 +65,11 @@ def video_id(url: Column) -> Column:
     return F.coalesce(*every)
 
 
+def inbox_post(url: Column) -> Column:
+    """The number of a post opened from a newsletter inbox, whose own address is not known from the url."""
+    return F.nullif(F.regexp_extract(url, r"^https?://(?:www\.)?substack\.com/inbox/post/(\d+)", 1), F.lit(""))
+
+
 def image_ext(content_type: Column, url: Column) -> Column:
     """The extension of an image: by its content type, else by a known one in the url's path, else .bin."""
     table = F.create_map(*[F.lit(x) for kv in IMAGE_EXT.items() for x in kv])

@@ -110,3 +110,20 @@ def localize_images(markdown: DataFrame, assets: DataFrame) -> DataFrame:
             yield pd.DataFrame({"entry_id": frame["entry_id"], "markdown": [o[0] for o in out], "changed": [o[1] for o in out], "placeholders": frame["lost"]})
 
     return markdown.join(names, "entry_id").select("entry_id", "slug", "markdown", "names", "lost").mapInPandas(rewrite, LOCAL)
+
+
+def write_assets(assets: DataFrame, folder: str) -> int:
+    """Write (slug, name, content) as assets/SLUG/NAME from the executors, each once; the folder must be one that all of them share. Names are made of contents, so writing again changes nothing."""
+
+    def write(rows):
+        import os
+
+        for r in rows:
+            path = os.path.join(folder, "assets", r.slug, r.name)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(f"{path}.{os.getpid()}.tmp", "wb") as f:
+                f.write(r.content)
+            os.replace(f.name, path)
+            yield 1
+
+    return assets.dropDuplicates(["slug", "name"]).select("slug", "name", "content").rdd.mapPartitions(write).sum()

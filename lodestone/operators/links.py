@@ -69,6 +69,12 @@ def hashtag_connections(vault: Vault, entry_id: int) -> DataFrame:
     return peers.join(vault.entries.select(F.col("id"), "title"), F.col("entry_id") == F.col("id")).select("key", "id", "title").orderBy("key", "title", "id")
 
 
+def connection_total(vault: Vault, entry_id: int) -> DataFrame:
+    """(groups, n): how many tags an entry shares, and how many entries are shown under them in all."""
+    found = hashtag_connections(vault, entry_id)
+    return found.agg(F.count_distinct("key").alias("groups"), F.count(F.lit(1)).alias("n"))
+
+
 def link_candidates(found: DataFrame, linked: DataFrame, entry_id: int, limit: int = 8) -> DataFrame:
     """The best search results (rank, id) that are neither the entry nor linked (id) to it."""
     left = found.where(F.col("id") != entry_id).join(linked.select("id"), "id", "left_anti").orderBy("rank").limit(limit)

@@ -169,3 +169,20 @@ def set_link(vault: Vault, a: int, b: int, on: bool = True) -> Vault:
     none = F.lit(None).cast("string")
     changed = R.update_linked("markdown", other if on else none, none if on else other)
     return vault.with_(markdown=vault.markdown.withColumn("markdown", F.when(other.isNotNull(), changed).otherwise(F.col("markdown"))), known_refs=None)
+
+
+def patch_entry(vault: Vault, entry_id: int, now: str, status: str | None = None, flags: Sequence[str] | None = None, tags: Sequence[str] | None = None, markdown: str | None = None) -> Vault:
+    """Several changes to one entry, in this order; the last version has all, or none if a tag is invalid."""
+    if not vault.entries.where(F.col("id") == entry_id).take(1):
+        raise Missing(str(entry_id))
+    if status is not None:
+        vault = update_status(vault, entry_id, status, now)
+    if flags is not None:
+        vault = update_flags(vault, entry_id, flags)
+    if tags is not None:
+        vault = update_tags(vault, entry_id, tags)
+    if markdown is not None:
+        changed = vault.markdown.withColumn("markdown", F.when(F.col("entry_id") == entry_id, F.lit(markdown)).otherwise(F.col("markdown")))
+        refs = None if vault.known_refs is None else index_refs(vault, changed.where(F.col("entry_id") == entry_id))
+        vault = vault.with_(markdown=changed, known_refs=refs)
+    return vault

@@ -45,6 +45,36 @@ select *, round(scripts / greatest(tags, 1), 6) as ratio from c
 """
 
 
+LEAST_WORDS, SCRIPT_SHARE = 200, 0.4
+
+
+def low_confidence(pages: DataFrame) -> DataFrame:
+    """(page_id, words, low): pages whose text a browser would have to make: under 200 words, or more than 0.4 scripts among the elements."""
+    text = visible(F.col("html"))
+    words = F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " ")))
+    scripts, tags = count_of(F.col("html"), r"(?i)<script\b"), count_of(F.col("html"), r"<[A-Za-z]")
+    return pages.select("page_id", words.alias("words"), ((words < LEAST_WORDS) | (scripts / F.greatest(tags, F.lit(1)) > SCRIPT_SHARE)).alias("low"))
+
+
+LOW_CONFIDENCE_SQL = r"""
+with v as (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as t,
+ len(regexp_extract_all(html, '(?i)<script\b')) as scripts, len(regexp_extract_all(html, '<[A-Za-z]')) as tags from pages)
+select page_id, case when t = '' then 0 else len(string_split(t, ' ')) end as words, (case when t = '' then 0 else len(string_split(t, ' ')) end < 200) or scripts / greatest(tags, 1) > 0.4 as low from v
+"""
+
+
+def frontmatter_property(markdown: Column, name: str) -> Column:
+    """A plain property of the leading frontmatter, without one quote on either side; null without."""
+    head = F.regexp_extract(markdown, r"(?s)^---\r?\n(.*?)\r?\n---\r?\n", 1)
+    found = F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*?)[ \t\r]*$", 1)
+    return F.nullif(F.regexp_replace(found, "^[\"']|[\"']$", ""), F.lit(""))
+
+
+def without_frontmatter(markdown: Column) -> Column:
+    """The text as a reader sees it; line ends of either kind around the frontmatter."""
+    return F.regexp_replace(markdown, r"\A---\r?\n[\s\S]*?\r?\n---\r?\n", "")
+
+
 def remote_images(markdown: DataFrame) -> DataFrame:
     """(entry_id, alt, url): images of other hosts, once for each url in a text, in no order."""
     pattern = r'!\[([^\]]*)\]\(((?:https?:)?//[^\s)]+)(?:\s+"[^"]*")?\)'

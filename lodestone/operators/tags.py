@@ -65,3 +65,9 @@ def tag_suggestions(vault: Vault, typed: str, assigned: DataFrame, limit: int =
     found = tag_counts(vault).where(F.contains(F.lower("name"), F.lit(typed.lower()))).join(assigned.select(F.lower("name").alias("low")), F.lower(F.col("name")) == F.col("low"), "left_anti")
     top = found.withColumn("order", casefold(F.col("name"))).orderBy("order", "key").limit(limit)
     return top.select(F.row_number().over(Window.orderBy("order", "key")).alias("rank"), "name")
+
+
+def tags_of_entry(vault: Vault, entry_id: int) -> DataFrame:
+    """(name, key, n): the lines of the tag list that an entry names, letter for letter."""
+    named = vault.entries.where(F.col("id") == entry_id).select(F.explode("tags").alias("name"))
+    return tag_counts(vault).join(named, "name", "left_semi")

@@ -226,6 +226,21 @@ def hashtag_connections(v: Vault) -> DataFrame:
     return L.hashtag_connections(v, FOCUS)
 
 
+@query(f"select count(distinct m.key) as groups, count(*) as n from v_members m where m.entry_id <> {FOCUS} and m.key in (select key from v_members where entry_id = {FOCUS})")
+def connection_total(v: Vault) -> DataFrame:
+    return L.connection_total(v, FOCUS)
+
+
+@query(f"select t.name, t.normalized as key, count(m.entry_id) as n from v_tags t left join v_members m on m.key = t.normalized where t.name in (select name from v_tag_raw where entry_id = {FOCUS}) group by 1, 2")
+def tags_of_entry(v: Vault) -> DataFrame:
+    return T.tags_of_entry(v, FOCUS)
+
+
+@query(r"select entry_id, nullif(regexp_extract(markdown, '^---\ntitle: \"(.*)\"\n', 1), '') as title, length(regexp_replace(markdown, '^---\n[\s\S]*?\n---\n', '')) as chars from v_markdown")
+def frontmatter_props(v: Vault) -> DataFrame:
+    return v.markdown.select("entry_id", P.frontmatter_property(F.col("markdown"), "title").alias("title"), F.length(P.without_frontmatter(F.col("markdown"))).alias("chars"))
+
+
 @query("select * from v_edges")
 def graph_edges(v: Vault) -> DataFrame:
     return G.graph_edges(v)
@@ -456,6 +471,11 @@ def pages_of(f: Callable[[DataFrame], DataFrame], name: str, sql: str | None = N
 
 
 pages_of(P.link_density, "page_link_density", P.LINK_DENSITY_SQL)
+pages_of(P.low_confidence, "low_confidence", P.LOW_CONFIDENCE_SQL)
+pages_of(A.page_sources, "page_sources", rf"""with u as (select page_id, url, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) as h from pages)
+select page_id, case when h in {urls.YOUTUBE} then 'youtube' when h in {urls.X} then 'x' when h in {urls.SUBSTACK} or h like '%.substack.com' then 'substack' else 'article' end as source_type,
+ coalesce(nullif(regexp_extract(url, 'youtube\.com/watch\?(?:.*&)?v=([^&]+)', 1), ''), nullif(regexp_extract(url, 'youtu\.be/([^?/]+)', 1), ''), nullif(regexp_extract(url, 'youtube\.com/embed/([^?/]+)', 1), '')) as video_id,
+ nullif(regexp_extract(url, '(?i)(?:twitter\.com|x\.com)/(?:[^/?#]+/status(?:es)?|i/web/status)/(\d+)', 1), '') as tweet_id from u""")
 pages_of(P.script_ratio, "page_script_ratio", P.SCRIPT_RATIO_SQL)
 
 

@@ -155,3 +155,34 @@ def test_files(spark, tmp_path):
     assert write_pages(pages, str(tmp_path)) == 2
     got = read_markdown_files(spark, str(tmp_path))
     assert sorted(r.markdown for r in got.collect()) == ["#x\r\n", "é"]
+
+
+def test_upgrade(spark):
+    from lodestone.sources.versions import upgrade
+
+    v = vault(spark, [("A", "", ["Python"]), ("B", "", ["Python", "python"]), ("C", "", ["python", "x"]), ("D", "", ["Python"])])
+    v = v.with_(entries=v.entries.withColumn("status", F.when(F.col("id") == 1, "favorite").otherwise("read")).withColumn("updated_at", F.lit(NOW).cast("timestamp_ntz")))
+    new, done = upgrade(v, spark.createDataFrame([], "name string"))
+    assert rows(T.tag_counts(new)) == [("Python", "python", 4), ("x", "x", 1)]
+    got = {r.id: r for r in new.entries.collect()}
+    assert got[2].tags == ["Python"] and got[3].tags == ["x", "Python"]
+    assert (got[1].status, got[1].flags, got[1].read_at) == ("unread", ["bookmark"], None) and str(got[2].read_at) == NOW
+    assert upgrade(new, done)[0] is new
+
+
+def test_patch(spark):
+    v = vault(spark, [("A", "#old", ["Py"])])
+    new = M.patch_entry(v, 1, NOW, status="read", flags=["gem"], tags=["Go"], markdown="#fresh")
+    assert rows(T.members(new)) == [(1, "fresh"), (1, "go")] and new.entries.first().flags == ["gem"]
+    with pytest.raises(M.Missing):
+        M.patch_entry(v, 2, NOW)
+
+
+def test_frontmatter_properties(spark):
+    from lodestone.operators import pages
+
+    text = "---\r\nauthor: \"Me\"\r\nempty:\r\n---\r\nbody\nauthor: no"
+    frame = spark.createDataFrame([(text,), ("author: x",)], "t string")
+    got = frame.select(pages.frontmatter_property(F.col("t"), "author"), pages.frontmatter_property(F.col("t"), "empty"), pages.without_frontmatter(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("Me", None, "body\nauthor: no"), (None, None, "author: x")]
+    assert spark.createDataFrame([("https://substack.com/inbox/post/12?x",), ("https://a.substack.com/p/x",)], "u string").select(urls.inbox_post(F.col("u"))).collect() == [("12",), (None,)]
