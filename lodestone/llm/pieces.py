@@ -260,6 +260,72 @@ def model_bytes(path: str) -> bytes:
     return out
 
 
+class Words:
+    """Encodes texts by their stretches between safe places, of which each different one is encoded once by the library.
+
+    A stretch begins with the space after a word (at the beginning of a text, with the mark that the model puts there), so it encodes as its bytes without that space do as a text of their own.
+    """
+
+    LIMIT = 1 << 20
+
+    def __init__(self, p: Pieces):
+        self.p = p
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.rank = np.zeros(0, tb.U64), np.zeros(0, np.int64)
+        self.ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        found = [ids if t else self.p.ids([MARK]) for t, ids in zip(texts, self.p.lib.encode([t.decode() for t in texts], num_threads=1), strict=True)]
+        self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], np.int32)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(f) for f in found])])
+        keys, rank = np.concatenate([self.keys, keys]), np.concatenate([self.rank, len(self.rank) + np.arange(len(keys))])
+        order = np.argsort(keys)
+        self.keys, self.rank = keys[order], rank[order]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, and how many each has. The texts hold no mark themselves."""
+        space = data == 0x20
+        first = np.zeros(len(data) + 1, bool)
+        full = offsets[1:] > offsets[:-1]
+        first[offsets[:-1][full]] = True
+        begin = first[:-1].copy()
+        begin[1:] |= space[1:] & ~space[:-1] & ~first[1:-1]
+        start = np.flatnonzero(begin)
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+        end = np.append(start[1:], len(data))
+        inner = start + ~first[start]
+        length = end - inner
+        # The first byte of each stretch that is not its own space has power 0; an empty stretch hashes to its length.
+        power = tb.powers(int(length.max()) + 1)[np.maximum(np.arange(len(data)) - np.repeat(inner, end - start), 0)]
+        power[start[inner > start]] = 0
+        hashed = tb.mix(np.add.reduceat(tb.BYTE[data] * power, start) + length.astype(tb.U64))
+        keys, at, back = np.unique(hashed, return_index=True, return_inverse=True)
+        if (new := ~self.has(keys)).any():
+            if len(self.rank) + int(new.sum()) > self.LIMIT:
+                self.clear()
+                new = np.ones(len(keys), bool)
+            raw = data.tobytes()
+            self.learn(keys[new], [raw[inner[i] : end[i]] for i in at[new]])
+        which = self.rank[np.searchsorted(self.keys, keys)][back]
+        n = (self.start[1:] - self.start[:-1])[which]
+        total = int(n.sum())
+        out = self.ids[np.repeat(self.start[which] - (np.cumsum(n) - n), n) + np.arange(total)]
+        return out, np.bincount(np.searchsorted(offsets, start, "right") - 1, n, minlength=len(offsets) - 1).astype(np.int64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+
+
+@lru_cache(maxsize=2)
+def words_of(model: bytes) -> Words:
+    return Words(pieces(model))
+
+
 def _lists(values: list[list[int]]) -> pa.Array:
     ends = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter((i for v in values for i in v), np.int32, int(ends[-1]))))
@@ -280,11 +346,20 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, id_column: s
     short, giant = rows.where(F.length("text") < chunk), rows.where(F.length("text") >= chunk).withColumn("of", F.xxhash64("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(sent.value)
+        p, by_word = pieces(sent.value), words_of(sent.value)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(p.lib.encode(part.column(1).to_pylist(), num_threads=1)), pa.array(np.ones(part.num_rows, np.int32))], names=["doc_id", "ids", "n_chunks"])
+            data, offsets = tb.column_bytes(batch.column(1))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + tb.PIECE, "right")) - 1)
+                part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+                if MARK.encode() in part.tobytes():
+                    ids = _lists(p.lib.encode(batch.column(1).slice(low, high - low).to_pylist(), num_threads=1))
+                else:
+                    found, n = by_word.encode(part, at)
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(found))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), ids, pa.array(np.ones(high - low, np.int32))], names=["doc_id", "ids", "n_chunks"])
+                low = high
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(sent.value)
@@ -335,9 +410,11 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                ids = part.column(place).to_pylist()
-                out = iter(p.lib.decode([i for i in ids if i is not None], num_threads=1))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if i is None else next(out) for i in ids], pa.string())], names=[*part.schema.names, "decoded"])
+                column = part.column(place)
+                values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+                there = np.flatnonzero(np.asarray(column.is_valid()))
+                found = dict(zip(there.tolist(), p.lib.decode([values[at[i] : at[i + 1]].tolist() for i in there], num_threads=1), strict=True))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([found.get(i) for i in range(part.num_rows)], pa.string())], names=[*part.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(texts, f"{schema}, decoded string")

@@ -44,3 +44,16 @@ def test_encode_and_decode(spark, model):
     plain = {d: t or "" for d, t in rows if d != 9}
     assert all(x.decoded == plain[x.doc_id] for x in got if x.doc_id in plain and "▁" not in plain[x.doc_id])
     assert P.encode(docs.limit(0)).count() == 0
+
+
+def test_words_equal_library(model, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(P.Words, "LIMIT", 40)
+    r = random.Random(8)
+    texts = [t for t in [*TEXTS, *(random_text(r) for _ in range(80)), "a" * 3000, " a", "a ", "  a  b  "] if P.MARK not in t]
+    words = P.Words(model)
+    for low in range(0, len(texts), 7):
+        part = [t.encode() for t in texts[low : low + 7]]
+        ids, n = words.encode(np.frombuffer(b"".join(part), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in part]))))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == model.lib.encode(texts[low : low + 7])
