@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat, chunk_dedup, decontaminate, jaccard, pieces, quality, sharding, suffix_dedup, toxicity, url_filter
@@ -40,11 +40,18 @@ def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROBE = r"\### Assistant: </turn> ok"
 
 
+def as_log(messages: DataFrame) -> DataFrame:
+    """Each row as the two events of a streamed message, its start and its text. Rows that repeat a turn are turns of their own, one after another."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    start = F.struct((2 * F.col("place")).alias("seq"), F.lit("start").alias("kind"), F.col("role").alias("role"), F.lit(None).cast("string").alias("text"))
+    delta = F.struct((2 * F.col("place") + 1).alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.col("text").alias("text"))
+    return messages.withColumn("place", place).select("conv_id", F.col("place").alias("turn"), F.explode(F.array(start, delta)).alias("e")).select("conv_id", "turn", "e.*")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(f"select cast(-7 as bigint) conv_id, cast(t as bigint) turn, r role, r'{PROBE}' text from values (0, 'user'), (1, 'assistant') as v(t, r)")
-    # Every row of the table is one event that opens a turn; rows that repeat a turn stay turns of their own.
-    out = chat.render(messages.unionByName(probe)).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    out = chat.render(chat.fold_events(as_log(messages.unionByName(probe)))).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
