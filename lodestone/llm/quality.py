@@ -2,7 +2,7 @@
 
 Each text gets counts; the base rule rejects texts of too few or too often repeated words. On top of it, each rule of a fixed family (a statistic and a
 cutoff beyond which a text is rejected) is tested on labelled holdout rows: in each stratum (language) the exact Clopper-Pearson bound on the share of good
-texts that the rule rejects must stay below `risk`, at a confidence that is Bonferroni-corrected for all strata and rules. Of each statistic, the strictest cutoff that passes, counted along a fixed
+texts that the rule rejects must stay below its part of `risk` (the statistics share it equally), at a confidence that is Bonferroni-corrected for all strata and rules. Of each statistic, the strictest cutoff that passes, counted along a fixed
 sequence of cutoffs from lax to strict that ends at the first failure, is used.
 The counts for the bounds come from one aggregation over all labelled rows, so no rows are sampled.
 """
@@ -28,7 +28,8 @@ CUTOFFS = {
     "repeat_share": (0.3, 0.25, 0.2, 0.15, 0.1, 0.05, 0.02),
     "chars_per_word": (30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0),
 }
-RISK, CONFIDENCE = 0.01, 0.95
+#: Of the good texts of a stratum at most so many are rejected by all rules together, at this confidence for all strata at once.
+RISK, CONFIDENCE = 0.02, 0.95
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 STATS_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -113,6 +114,7 @@ def select_cutoffs(stats: DataFrame, stratum: str = "stratum", good: str = "good
     sums = [F.sum((statistic(name) > c).cast("long")).alias(f"k{i}") for i, (name, c) in enumerate(tried)]
     rows = stats.where(F.col(good) & ~base_failed()).groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *sums).collect()
     alpha = (1 - confidence) / max(1, len(rows) * len(CUTOFFS))
+    share = risk / len(CUTOFFS)
     chosen: dict[str, dict[str, float]] = {}
     for r in rows:
         rules: dict[str, float] = {}
@@ -121,7 +123,7 @@ def select_cutoffs(stats: DataFrame, stratum: str = "stratum", good: str = "good
                 if other != name:
                     continue
                 k, n = r[f"k{i}"], r["n"]
-                if k / n >= risk or upper_bound(k, n, alpha) > risk:
+                if k / n >= share or upper_bound(k, n, alpha) > share:
                     break
                 rules[name] = cutoff
         chosen[r[stratum]] = rules

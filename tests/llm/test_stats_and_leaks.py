@@ -59,3 +59,21 @@ def test_leaks(spark):
     assert sorted(map(tuple, rows)) == sorted(brute.decontaminated(docs, items))
     none = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string"))
     assert not any(x.contaminated for x in none.collect())
+
+
+def test_cutoffs_hold_their_risk(spark):
+    """Over many drawn holdouts the share of good texts rejected in truth stays within the risk."""
+    import numpy as np
+
+    r = np.random.default_rng(19)
+    over = 0
+    for _ in range(3):
+        n = 4000
+        rows = [("s", 100, int(500 + 40 * a), int(b), 0, int(c)) for a, b, c in zip(r.normal(size=n), r.exponential(1.5, n), r.exponential(3, n), strict=True)]
+        frame = spark.createDataFrame(rows, "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long").selectExpr("*", "true as good")
+        chosen = quality.select_cutoffs(frame)["s"]
+        x = r.exponential(1.5, 200_000), r.exponential(3, 200_000)
+        rejected = (x[0].astype(int) / 100 > chosen.get("symbols_per_word", np.inf)) | (x[1].astype(int) / 100 > chosen.get("repeat_share", np.inf))
+        over += rejected.mean() > quality.RISK
+        assert chosen
+    assert over == 0
