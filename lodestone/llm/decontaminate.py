@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import textbytes as tb
 from lodestone.llm.exchange import tune, written
-from lodestone.llm.sketch import cell_counts
+from lodestone.llm.sketch import cell_counts, set_bits
 
 WINDOW = 10
 #: Cells of the table of counts, and bits of the two bitmaps (2 and 4 MB).
@@ -77,12 +77,8 @@ def item_windows(benchmark: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _bitmap(windows: DataFrame, column: str) -> np.ndarray:
-    """Set bits of the hashes of a column, as FILTER_BITS // 8 bytes; executors find the bits."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    found = windows.select(F.expr(f"`{column}` & {FILTER_BITS - 1}").alias("bit")).distinct()
-    for (bit,) in found.toLocalIterator():
-        bits[bit >> 3] |= 1 << (bit & 7)
-    return bits
+    """Set bits of the hashes of a column, as FILTER_BITS // 8 bytes."""
+    return np.frombuffer(set_bits(windows.select(F.expr(f"`{column}` & {FILTER_BITS - 1}").alias("bit")), FILTER_BITS), np.uint8)
 
 
 def _in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:

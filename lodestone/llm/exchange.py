@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of packed records that one task takes in at a time; with their sort this is a few hundred MB.
-BUCKET_BYTES = 24 << 20
-#: Rows in an Arrow batch: with whole texts, some tens of MB.
-BATCH_ROWS = 4000
+#: Bytes of packed records that one task takes in at a time; with their sort this is some hundred MB.
+BUCKET_BYTES = 12 << 20
+#: Rows in an Arrow batch: with whole texts, some MB.
+BATCH_ROWS = 1000
 
 
 def tune(spark: SparkSession) -> None:
@@ -99,7 +99,7 @@ class Runs:
     A run names only the texts of its own records.
     """
 
-    def __init__(self, kinds: tuple, limit: int = 48 << 20):
+    def __init__(self, kinds: tuple, limit: int = 20 << 20):
         self.kinds, self.limit = kinds, limit
         self.clear()
 

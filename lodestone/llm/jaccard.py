@@ -229,7 +229,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
                 use = (place <= n[row] - -(-percent * n[row] // 100)) & known[low:high][row]
                 # Size and place in one number: both are below 2**31.
                 held.append(np.stack([key[use].view(np.int64), node[row[use]].view(np.int64), n[row[use]] << 32 | place[use]]))
-            if sum(h.nbytes for h in held) > 48 << 20:
+            if sum(h.nbytes for h in held) > 20 << 20:
                 yield from flush()
         yield from flush()
 

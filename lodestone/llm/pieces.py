@@ -331,8 +331,8 @@ def _lists(values: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter((i for v in values for i in v), np.int32, int(ends[-1]))))
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, ids, n_chunks: the library's own encoding of each whole text.
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, id_column: str = "doc_id", text_column: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, ids, n_chunks: the library's own encoding of each whole text; with `decoded`, also the text that the ids give back (in the same pass, by the same worker).
 
     Null texts are taken as empty and give no ids; repeated rows come out as often as they went in; an empty table gives no rows; other columns are ignored.
     """
@@ -358,7 +358,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, id_column: s
                 else:
                     found, n = by_word.encode(part, at)
                     ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(found))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), ids, pa.array(np.ones(high - low, np.int32))], names=["doc_id", "ids", "n_chunks"])
+                columns = [batch.column(0).slice(low, high - low), ids, pa.array(np.ones(high - low, np.int32))] + ([texts_of(p, ids)] if decoded else [])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_chunks", "decoded"][: len(columns)])
                 low = high
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +397,18 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, id_column: s
     traced = chunks.join(chosen, (F.col("of") == F.col("o")) & (F.col("chunk") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "of", "chunk", "context", "low", "high", "enter", F.col("states")[F.col("n") + 1].alias("leave")).mapInArrow(trace, f"{key}, chunk int, ids array<int>")
     joined = traced.groupBy(F.col("doc_id").alias("d"), F.col("of").alias("o")).agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("c"))
     long_ones = giant.select("doc_id", "of").join(joined, (F.col("of") == F.col("o")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", F.flatten(F.transform("c", lambda c: c.ids)).alias("ids"), F.size("c").alias("n_chunks"))
-    return short.mapInArrow(whole, f"doc_id {kind}, ids array<int>, n_chunks int").unionByName(long_ones)
+    schema = f"doc_id {kind}, ids array<int>, n_chunks int"
+    if decoded:
+        return short.mapInArrow(whole, f"{schema}, decoded string").unionByName(decode(long_ones, model))
+    return short.mapInArrow(whole, schema).unionByName(long_ones)
+
+
+def texts_of(p: Pieces, column: pa.Array) -> pa.Array:
+    """The texts of lists of ids; null for null."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    there = np.flatnonzero(np.asarray(column.is_valid()))
+    found = dict(zip(there.tolist(), p.lib.decode([values[at[i] : at[i + 1]].tolist() for i in there], num_threads=1), strict=True))
+    return pa.array([found.get(i) for i in range(len(column))], pa.string())
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -410,11 +422,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                column = part.column(place)
-                values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-                there = np.flatnonzero(np.asarray(column.is_valid()))
-                found = dict(zip(there.tolist(), p.lib.decode([values[at[i] : at[i + 1]].tolist() for i in there], num_threads=1), strict=True))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([found.get(i) for i in range(part.num_rows)], pa.string())], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts_of(p, part.column(place))], names=[*part.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(texts, f"{schema}, decoded string")

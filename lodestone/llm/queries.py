@@ -64,7 +64,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = pieces.decode(pieces.encode(docs))
+    out = pieces.encode(docs, decoded=True)
     return out.select("doc_id", "ids", F.size("ids").alias("n_tokens"), "n_chunks", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

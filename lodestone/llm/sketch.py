@@ -7,8 +7,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK = 4096
+#: Bits in one of Spark's bitmaps.
+PAGE = 32768
+
+
+def set_bits(bits: DataFrame, size: int) -> bytes:
+    """A bitmap of `size` bits from their places (column bit), put together on executors; the driver gets size / 8 bytes at most."""
+    out = bytearray(-(-size // PAGE) * PAGE // 8)
+    pages = bits.groupBy((F.col("bit") / PAGE).cast("long").alias("page")).agg(F.bitmap_construct_agg(F.col("bit") % PAGE).alias("bits"))
+    for page, found in pages.collect():
+        out[page * PAGE // 8 : (page + 1) * PAGE // 8] = found
+    return bytes(out[: size // 8])
 
 
 def cell_counts(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray]], cells: int) -> np.ndarray:
@@ -32,6 +44,7 @@ def cell_counts(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarra
 
     schema = "block long, cells binary"
     out = np.zeros(cells, np.int64)
-    for block, values in docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():
+    # One row for each block: `cells` numbers in all.
+    for block, values in docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():
         out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(values, np.int64)
     return out

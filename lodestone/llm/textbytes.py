@@ -1,6 +1,6 @@
 """Vectorised kernels over the UTF-8 bytes of an Arrow column of texts.
 
-Everything works on byte arrays in pieces of about a megabyte, so that the temporaries stay small however long a text is.
+Everything works on byte arrays in pieces of about half a megabyte, so that the temporaries stay small however long a text is.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 U64 = np.uint64
 _random = np.random.default_rng(20240607)
 #: A random 64-bit value for each byte, and the odd base of the polynomial hashes.

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.exchange import written
+from lodestone.llm.sketch import set_bits
 
 #: Bits of a level for each key in it, probes of a key, and the longest filter that is sent along with a plan.
 BITS, PROBES, MAX_BITS = 16, 4, 1 << 26
@@ -62,12 +63,9 @@ def _probe(key: Column, level: int, i: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits))
 
 
-def _bitmap(keys: DataFrame, level: int, bits: int) -> bytearray:
-    """The filter of the keys: executors compute the set bits, the driver gets the distinct ones (PROBES for each key)."""
-    out = bytearray(bits // 8)
-    for (bit,) in keys.select(F.explode(F.array(*[_probe(F.col("key"), level, i, bits) for i in range(PROBES)]))).distinct().toLocalIterator():
-        out[bit >> 3] |= 1 << (bit & 7)
-    return out
+def _bitmap(keys: DataFrame, level: int, bits: int) -> bytes:
+    """The filter of the keys."""
+    return set_bits(keys.select(F.explode(F.array(*[_probe(F.col("key"), level, i, bits) for i in range(PROBES)])).alias("bit")), bits)
 
 
 def _passes(key: Column, level: int, bitmap: bytes) -> Column:
@@ -93,7 +91,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame, n_listed: int) -> list
         bits = max(64, 1 << (BITS * n - 1).bit_length())
         if bits > MAX_BITS:
             raise ValueError(f"{n} keys need a filter of {bits} bits; split the list by host into lists of at most {MAX_BITS // BITS} keys")
-        level = bytes(_bitmap(inside, len(levels) + 1, bits))
+        level = _bitmap(inside, len(levels) + 1, bits)
         levels.append(level)
         wrong = written(outside.where(_passes(F.col("key"), len(levels), level)).select("key"), "cascade")
         inside, outside, n = wrong, inside, wrong.count()

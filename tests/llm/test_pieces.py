@@ -43,6 +43,8 @@ def test_encode_and_decode(spark, model):
     assert any(x.n_chunks > 1 for x in got)
     plain = {d: t or "" for d, t in rows if d != 9}
     assert all(x.decoded == plain[x.doc_id] for x in got if x.doc_id in plain and "▁" not in plain[x.doc_id])
+    both = P.encode(docs, chunk=64, decoded=True).collect()
+    assert sorted((repr((x.doc_id, x.ids, x.n_chunks, x.decoded)) for x in both)) == sorted((repr((x.doc_id, x.ids, x.n_chunks, x.decoded)) for x in got))
     assert P.encode(docs.limit(0)).count() == 0
 
 
