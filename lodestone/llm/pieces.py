@@ -266,7 +266,7 @@ class Words:
     A stretch begins with the space after a word (at the beginning of a text, with the mark that the model puts there), so it encodes as its bytes without that space do as a text of their own.
     """
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __init__(self, p: Pieces):
         self.p = p
