@@ -1,9 +1,9 @@
 """Quality rules with risk-controlled thresholds.
 
-Each text gets counts; the base rule rejects texts of too few or too often repeated words. On top of it, each rule of a fixed family (a statistic and a
-cutoff beyond which a text is rejected) is tested on labelled holdout rows: in each stratum (language) the exact Clopper-Pearson bound on the share of good
-texts that the rule rejects must stay below its part of `risk` (the statistics share it equally), at a confidence that is Bonferroni-corrected for all strata and rules. Of each statistic, the strictest cutoff that passes, counted along a fixed
-sequence of cutoffs from lax to strict that ends at the first failure, is used.
+Each text gets counts; the base rule rejects texts of too few or too often repeated words. On top of it, one fixed sequence of rules is tested on labelled holdout rows: each step adds a
+cutoff of a statistic (beyond which a text is rejected) to all cutoffs before it, statistic by statistic and from lax to strict. In each stratum (language) the exact Clopper-Pearson bound on
+the share of good texts that the cutoffs so far reject together must stay below the whole `risk`, at a confidence that is Bonferroni-corrected for the strata alone: a sequence that ends at its
+first failure needs no correction for its steps. The last step that passes is used; what comes after a failure is not tried.
 The counts for the bounds come from one aggregation over all labelled rows, so no rows are sampled.
 """
 
@@ -21,12 +21,12 @@ from lodestone.llm import textbytes as tb
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: The statistics of a text and the cutoffs tried, from lax to strict: reject above.
+#: The statistics of a text in the order they are added, and the cutoffs tried, from lax to strict: reject above. The order must not depend on the labels.
 CUTOFFS = {
     "symbols_per_word": (2.0, 1.5, 1.0, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05),
+    "chars_per_word": (30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0),
     "dup_lines_per_word": (0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02, 0.01),
     "repeat_share": (0.3, 0.25, 0.2, 0.15, 0.1, 0.05, 0.02),
-    "chars_per_word": (30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0),
 }
 #: Of the good texts of a stratum at most so many are rejected by all rules together, at this confidence for all strata at once.
 RISK, CONFIDENCE = 0.02, 0.95
@@ -110,23 +110,23 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
 
 def select_cutoffs(stats: DataFrame, stratum: str = "stratum", good: str = "good", risk: float = RISK, confidence: float = CONFIDENCE) -> dict[str, dict[str, float]]:
     """stratum -> statistic -> cutoff, from all labelled rows: one aggregation, one row for each stratum."""
-    tried = [(name, c) for name, cutoffs in CUTOFFS.items() for c in cutoffs]
-    sums = [F.sum((statistic(name) > c).cast("long")).alias(f"k{i}") for i, (name, c) in enumerate(tried)]
-    rows = stats.where(F.col(good) & ~base_failed()).groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *sums).collect()
-    alpha = (1 - confidence) / max(1, len(rows) * len(CUTOFFS))
-    share = risk / len(CUTOFFS)
+    steps: list[dict[str, float]] = []
+    for name, cutoffs in CUTOFFS.items():
+        for c in cutoffs:
+            steps.append({**(steps[-1] if steps else {}), name: c})
+    # Each step rejects what the one before it does and more, so the first step that rejects a text tells of all.
+    first = F.coalesce(*[F.when(statistic(name) > rules[name], F.lit(i)) for i, rules in enumerate(steps) for name in [list(rules)[-1]]], F.lit(len(steps)))
+    sums = [F.sum((F.col("first") <= i).cast("long")).alias(f"k{i}") for i in range(len(steps))]
+    rows = stats.where(F.col(good) & ~base_failed()).select(stratum, first.alias("first")).groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *sums).collect()
+    alpha = (1 - confidence) / max(1, len(rows))
     chosen: dict[str, dict[str, float]] = {}
     for r in rows:
-        rules: dict[str, float] = {}
-        for name in CUTOFFS:
-            for i, (other, cutoff) in enumerate(tried):
-                if other != name:
-                    continue
-                k, n = r[f"k{i}"], r["n"]
-                if k / n >= share or upper_bound(k, n, alpha) > share:
-                    break
-                rules[name] = cutoff
-        chosen[r[stratum]] = rules
+        chosen[r[stratum]] = {}
+        for i, rules in enumerate(steps):
+            k, n = r[f"k{i}"], r["n"]
+            if k / n >= risk or upper_bound(k, n, alpha) > risk:
+                break
+            chosen[r[stratum]] = rules
     return chosen
 
 

@@ -77,3 +77,17 @@ def test_cutoffs_hold_their_risk(spark):
         over += rejected.mean() > quality.RISK
         assert chosen
     assert over == 0
+
+
+def test_cutoffs_of_small_strata(spark):
+    """The whole risk is for all cutoffs together, so 300 good rows are enough for a rule that rejects none of them, and 100 are not."""
+    row = lambda s, n, symbols, dup=0: [(s, 100, 500, symbols, dup, 0)] * n
+    # In "c", symbols above 0.2 and doubled lines above 0.05 reject 1.5% of the good texts each: within the risk alone, but not together.
+    good = [*row("a", 300, 0), *row("b", 100, 0), *row("c", 3940, 0), *row("c", 60, 25), *row("c", 60, 0, 6)]
+    frame = spark.createDataFrame(good, "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long").selectExpr("*", "true as good")
+    chosen = quality.select_cutoffs(frame)
+    assert chosen["a"] == {name: cutoffs[-1] for name, cutoffs in CUTOFFS.items()}
+    assert chosen["b"] == {}
+    assert chosen["c"] == {"symbols_per_word": 0.05, "chars_per_word": 8.0, "dup_lines_per_word": 0.07}
+    junk = spark.createDataFrame([*row("a", 1, 60), *row("b", 1, 60)], frame.drop("good").schema)
+    assert {r.stratum: r.ok for r in junk.withColumn("ok", quality.passes(chosen)).collect()} == {"a": False, "b": True}
