@@ -21,7 +21,8 @@ from lodestone.llm import textbytes as tb
 from lodestone.llm.exchange import RUN_SCHEMA, Places, Runs, bring_home, bucket_count, by_bucket, cut_runs, homecoming, join_runs, later_ones, only_kind, run_batch, text_bytes, to_buckets, tune, with_homes
 
 #: Bytes: the shortest and longest chunk, the mean between candidates (a power of two), and the least run of repeats that goes.
-MIN_CHUNK, MAX_CHUNK, MEAN, MIN_BYTES = 16, 256, 32, 64
+#: A candidate counts if the one before it is MIN_CHUNK away, so chunks are 22 bytes long on average: small beside a passage of 50 words. A line that is repeated many times may have no cut at all; the short MAX_CHUNK is for it.
+MIN_CHUNK, MAX_CHUNK, MEAN, MIN_BYTES = 8, 48, 16, 64
 GEAR = (tb.BYTE >> tb.U64(37)).astype(np.uint16)
 _SHIFT = np.uint16(16 - MEAN.bit_length() + 1)
 _BYTE2 = tb.mix(tb.BYTE)
