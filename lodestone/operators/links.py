@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.identity import ascii_lower, title_key
+from lodestone.operators.search import top
 from lodestone.operators.tags import members
 from lodestone.sources.vault import Vault
 
@@ -76,6 +77,6 @@ def connection_total(vault: Vault, entry_id: int) -> DataFrame:
 
 
 def link_candidates(found: DataFrame, linked: DataFrame, entry_id: int, limit: int = 8) -> DataFrame:
-    """The best search results (rank, id) that are neither the entry nor linked (id) to it."""
-    left = found.where(F.col("id") != entry_id).join(linked.select("id"), "id", "left_anti").orderBy("rank").limit(limit)
-    return left.select(F.row_number().over(Window.orderBy("rank")).alias("rank"), "id")
+    """The best search results (id, score) that are neither the entry nor linked (id) to it, with their rank. All results are filtered; only what is left is cut to the limit."""
+    left = found.where(F.col("id") != entry_id).join(linked.select("id"), "id", "left_anti")
+    return top(left, limit).select("rank", "id")

@@ -346,8 +346,7 @@ def search_filtered(v: Vault) -> DataFrame:
 @query(f"""with f as (select *, row_number() over (order by score, id) as rank from ({FOUND})), o as (select target_id as id from ({OUT}))
 select row_number() over (order by rank) as rank, id from (select * from f where id <> {FOCUS} and id not in (select id from o) order by rank limit 8)""")
 def link_candidates(v: Vault) -> DataFrame:
-    ranked = S.top(found(v), 1000)
-    return L.link_candidates(ranked, L.outgoing_links(v, FOCUS).select(F.col("target_id").alias("id")), FOCUS)
+    return L.link_candidates(found(v), L.outgoing_links(v, FOCUS).select(F.col("target_id").alias("id")), FOCUS)
 
 
 ODD_URLS = ["https://x.com/a/status/123?s=20", "https://twitter.com/i/web/status/9", "https://x.com:443/a", "http://user@youtube.com/watch?v=1", "https://foo.substack.com/p/x", "https://SUBSTACK.com", "https://youtu.be/abc", "https://mobile.twitter.com/u/statuses/77#x", "notaurl", ""]

@@ -186,3 +186,16 @@ def test_frontmatter_properties(spark):
     got = frame.select(pages.frontmatter_property(F.col("t"), "author"), pages.frontmatter_property(F.col("t"), "empty"), pages.without_frontmatter(F.col("t"))).collect()
     assert [tuple(r) for r in got] == [("Me", None, "body\nauthor: no"), (None, None, "author: x")]
     assert spark.createDataFrame([("https://substack.com/inbox/post/12?x",), ("https://a.substack.com/p/x",)], "u string").select(urls.inbox_post(F.col("u"))).collect() == [("12",), (None,)]
+
+
+def test_link_candidates_of_many_results(spark):
+    """An entry that links to its 1,200 best results still gets the 8 that come after them."""
+    from lodestone.plans import vault_queries as Q
+
+    n, focus = 1200, int(Q.FOCUS)
+    page = lambda i: f"{'the ation ' * (3 if i < n else 1)}{'pad ' * (i // n)}"
+    others = [i for i in range(1, n + 40) if i != focus]
+    pages = [(f"p{i}", page(i), []) for i in range(1, n + 40)]
+    pages[focus - 1] = ("me", " ".join(f"[[p{i}]]" for i in others if i < n), [])
+    v = vault(spark, pages)
+    assert rows(Q.link_candidates(v)) == [(k + 1, n + k) for k in range(8)]
