@@ -34,12 +34,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that this process wrote to shared folders and has not deleted.
+_tables: list[str] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    _tables.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: the lineage ends here, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """How many tables there are by now, for clean()."""
+    return len(_tables)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = ()) -> None:
+    """Delete the tables written since mark(), but for those that the frames of `keep` read. Only what is materialised elsewhere may go: a lazy result still needs its tables."""
+    held = [f for df in keep for f in df.inputFiles()]
+    names = [t for t in _tables[since:] if not any(f"/{t.rsplit('/', 1)[1]}/" in f for f in held)]
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _tables.remove(name)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

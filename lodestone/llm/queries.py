@@ -26,11 +26,10 @@ SHARDS = 24
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = sharding.shuffle_into_shards(rows, "doc_id", SHARDS, ["size", "text_crc32"], size="size")
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.shard_of(F.col("doc_id"), SHARDS + 1).alias("grown_shard"), "bucket")
+    size = lambda: (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 8).cast("long")
+    out = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), "doc_id", SHARDS, ["text"], size=size())
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return out.select("doc_id", size().alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", sharding.shard_of(F.col("doc_id"), SHARDS + 1).alias("grown_shard"), "bucket")
 
 
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+import xxhash
 from lodestone.llm import chat, queries, sharding, url_filter
 from pyspark.sql import functions as F
 
@@ -48,29 +49,83 @@ def test_levels(spark):
     assert judged == {f"k{7 * i}" for i in range(500)}
 
 
+def spark_hash(*values, seed=42):
+    """Spark's xxhash64 of longs, ("int", n) and strings; nulls leave the hash as it is."""
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else v[1].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_shards(rows, shards, bucket_bytes, seed=7):
+    """Rows (id, size, text) -> all (id, size, text, shard, bucket, slot), a plain Fisher-Yates for each bucket."""
+    shard = lambda k: max((spark_hash(k, ("int", seed), ("int", i)), i) for i in range(shards))[1]
+    of, copies, weight = [spark_hash(*r) for r in rows], {}, [0] * shards
+    for r in rows:
+        weight[shard(r[0])] += max(r[1], sharding.LEAST_BYTES)
+    buckets = [max(1, -(-w // bucket_bytes)) for w in weight]
+    held = {}
+    for r, h in zip(rows, of, strict=True):
+        s, copy = shard(r[0]), copies.setdefault(r, 0)
+        copies[r] += 1
+        held.setdefault((s, sum(buckets[:s]) + spark_hash(h, copy, ("int", seed + 1)) % buckets[s]), []).append((h, r))
+    out, slot = [], [0] * shards
+    for (s, b), records in sorted(held.items()):
+        records.sort(key=lambda r: r[0])
+        drawn = list(range(len(records)))
+        for i in range(len(records) - 1, 0, -1):
+            j = spark_hash(("int", seed + 2), b, ("int", i)) % (i + 1)
+            drawn[i], drawn[j] = drawn[j], drawn[i]
+        out += [(*r, s, b, slot[s] + place) for (_, r), place in zip(records, drawn, strict=True)]
+        slot[s] += len(records)
+    return out
+
+
+def in_order(rows):
+    return sorted(rows, key=repr)
+
+
+ROWS = [(i, i % 7, None if i % 5 else "x" * (i % 50)) for i in range(3000)] + [(None, 1, "n"), (None, 2, None), (5, 5 % 7, None)] + [(8, 1, "again")] * 300
+
+
 def test_sharding(spark):
-    rows = [(i, i % 7, None if i % 5 else "x" * (i % 50)) for i in range(3000)] + [(None, 1, "n"), (None, 2, None), (5, 5 % 7, None), (5, 5 % 7, None)]
-    frame = spark.createDataFrame(rows, "id long, size long, text string").selectExpr("*", "1 as shard", "'s' as slot", "2 as row")
-    out = sharding.shuffle_into_shards(frame, "id", 5, ["size", "text"], size="size", bucket_bytes=3000)
-    got = out.collect()
-    assert sorted(((r.id is None, r.id or 0, r["size"], r.text or "") for r in got)) == sorted((i is None, i or 0, s, t or "") for i, s, t in rows)
-    for shard in range(5):
-        slots = sorted(r.slot for r in got if r.shard == shard)
+    frame = spark.createDataFrame(ROWS, "id long, size long, text string").selectExpr("*", "1 as shard", "'s' as slot", "2 as bucket", "3 as record")
+    shard = lambda f: sharding.shuffle_into_shards(f, "id", 5, ["size", "text"], size=F.col("size"), bucket_bytes=50_000)
+    got = [(r.id, r["size"], r.text, r.shard, r.bucket, r.slot) for r in shard(frame).collect()]
+    assert in_order(got) == in_order(brute_shards(ROWS, 5, 50_000))
+    assert len({r[4] for r in got}) > 30 and len({r[4] for r in got if r[0] == 8}) > 5
+    for s in range(5):
+        slots = sorted(r[5] for r in got if r[3] == s)
         assert slots == list(range(len(slots)))
-    assert out.select("bucket").distinct().count() > 1
-    by_slot = [r.id for r in sorted((r for r in got if r.shard == 0 and r.id is not None), key=lambda r: r.slot)]
-    assert by_slot != sorted(by_slot)
-    again = {(r.id, r.shard, r.slot) for r in sharding.shuffle_into_shards(frame.repartition(7), "id", 5, ["size", "text"], size="size", bucket_bytes=3000).collect()}
-    assert again == {(r.id, r.shard, r.slot) for r in got}
     moved = frame.select(sharding.shard_of(F.col("id"), 5).alias("a"), sharding.shard_of(F.col("id"), 6).alias("b")).collect()
     assert all(r.a == r.b or r.b == 5 for r in moved) and any(r.b == 5 for r in moved)
-    assert sharding.shuffle_into_shards(frame.limit(0), "id", 5, ["size"]).count() == 0
+    assert shard(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [4, 7, 211])
+def test_slots_do_not_depend_on_partitions(spark, monkeypatch, parts):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = ROWS[::3]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", parts != 7)
+        frame = spark.createDataFrame(rows, "id long, size long, text string").repartition(parts)
+        got = sharding.shuffle_into_shards(frame, "id", 3, ["size", "text"], size=F.col("size"), bucket_bytes=100_000).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert in_order((r.id, r["size"], r.text, r.shard, r.bucket, r.slot) for r in got) == in_order(brute_shards(rows, 3, 100_000))
 
 
 def test_written_shards(spark, tmp_path):
-    frame = spark.range(500).select("id", F.lit(1000).alias("size"))
-    sharding.write_shards(sharding.shuffle_into_shards(frame, "id", 3, ["size"], size="size", bucket_bytes=20000), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 500
+    frame = spark.range(500).select("id", F.lit("é" * 9000).alias("text"))
+    out = sharding.shuffle_into_shards(frame, "id", 3, ["text"], size=F.octet_length("text"), bucket_bytes=200_000, path=str(tmp_path / "out"))
+    assert out.count() == 500 and {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"shard=0", "shard=1", "shard=2"}
+    for f in (tmp_path / "out").glob("shard=*/*.parquet"):
+        slots = [r.slot for r in spark.read.parquet(str(f)).collect()]
+        assert slots == sorted(slots)
 
 
 def test_op7(spark, tmp_path):
