@@ -61,6 +61,18 @@ def test_leaks(spark):
     assert not any(x.contaminated for x in none.collect())
 
 
+def test_leaks_of_odd_rows(spark):
+    """Null ids, texts that share an id, repeated rows, names that clash, one very long text, and empty tables."""
+    leak = "one two three four five six seven eight nine ten eleven"
+    docs = [(None, "nothing here at all"), (None, leak), (1, "zz yy"), (1, f"x {leak}"), (1, f"x {leak}"), (2, None), (3, ""), (4, "pad, " * 200_000 + leak.upper())]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as hash", "2 as n_words", "3 as item_id", "4 as text_hash")
+    items = [(7, leak), (8, leak), (9, leak), (None, "zz")]
+    got = decontaminate.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as k", "2 as words"))
+    told = sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got.collect()), key=str)
+    assert told == sorted([(None, 4, 0, []), (None, 11, 11, [7, 8, 9]), (1, 2, 1, []), (1, 12, 11, [7, 8, 9]), (1, 12, 11, [7, 8, 9]), (2, 0, 0, []), (3, 0, 0, []), (4, 200_011, 11, [7, 8, 9])], key=str)
+    assert decontaminate.decontaminate(frame.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
 def test_cutoffs_hold_their_risk(spark):
     """Over many drawn holdouts the share of good texts rejected in truth stays within the risk."""
     import numpy as np
