@@ -4,7 +4,7 @@ The features of a text are densities of a weighted lexicon (words and beginnings
 words of the second person, rates of capitals, of punctuation and of obfuscation (letters replaced by digits or signs, and lexicon words that only
 show once these are undone). Lexicon, trees and calibration are fitted on separate parts of the labelled rows, so that none judges its own training rows.
 
-Fitting uses at most MAX_LABELLED labelled rows, those with the smallest hashes of their ids (a documented bound); scoring covers every whole text.
+Fitting uses at most MAX_LABELLED labelled rows, those with the smallest hashes of their ids (a documented bound), and the MAX_LEXICON entries with the highest log-odds; scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textbytes as tb
-from lodestone.llm.exchange import tune
+from lodestone.llm.exchange import tune, written
 
 MAX_LABELLED, MAX_LEXICON = 30_000, 20_000
 FOLDS = 5
@@ -239,25 +239,32 @@ def _count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(other)], names=["hash", "toxic", "other"])
 
 
+def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, fold, y, text) of at most max_labelled labelled ids outside part 0, those with the smallest hashes: one text each (of several the one with the least hash), however often its id comes."""
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y")).withColumn("fold", fold_of(F.col("doc_id"))).where("fold != 0")
+    # At most max_labelled rows of three numbers, so it can be sent to all executors.
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", "fold", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    return written(rows.select("doc_id", F.col("fold").cast("long").alias("fold"), F.col("y").cast("long").alias("y"), "first.text"), "labelled")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on labelled rows of parts 1 to 4: the lexicon on 1 and 2, the trees on 3, the calibration on 4.
 
-    Without labels of both kinds the score is the share of toxic labels (0 without any).
+    What counts is the labelled rows that have a document. Where parts 3 or 4 lack one of the two kinds of label (so for an empty table, or labels without documents) the score is the share of toxic ones among them,
+    or among all labels if none has a document (0 without any).
     """
     tune(docs.sparkSession)
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y")).withColumn("fold", fold_of(F.col("doc_id"))).where("fold != 0")
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).cache()
-    # At most max_labelled rows of three numbers, so it can be sent to all executors.
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    sums = known.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).collect()
-    n, positive = sum(r.n for r in sums), sum(r.toxic for r in sums)
-    part = {r.fold: (r.toxic, r.n - r.toxic) for r in sums}
+    rows = labelled(docs, labels, max_labelled)
+    part = {r["fold"]: (r["toxic"], r["n"] - r["toxic"]) for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).collect()}
+    n, positive = sum(map(sum, part.values())), sum(p[0] for p in part.values())
     none = np.zeros(0, tb.U64), np.zeros(0)
     if any(0 in part.get(k, (0, 0)) for k in (3, 4)):
-        known.unpersist()
-        return Model(*none, None, np.zeros(0), np.zeros(0), positive / n if n else 0.0)
+        prior = positive / n if n else labels.where(fold_of(F.col("doc_id")) != 0).agg(F.avg("toxic")).first()[0] or 0.0
+        return Model(*none, None, np.zeros(0), np.zeros(0), float(prior))
     a, b = (part.get(1, (0, 0))[i] + part.get(2, (0, 0))[i] for i in (0, 1))
-    counted = rows.where("fold in (1, 2)").select("text", F.col("y").cast("long")).mapInArrow(_count_entries, "hash long, toxic long, other long").groupBy("hash").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counted = rows.where("fold in (1, 2)").select("text", "y").mapInArrow(_count_entries, "hash long, toxic long, other long").groupBy("hash").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (a + 1)) - F.log((F.col("other") + 0.5) / (b + 1))
     lexicon = counted.where(F.col("toxic") >= MIN_TEXTS).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "hash").limit(MAX_LEXICON).collect()
     table, weights = np.array([r.hash for r in lexicon], np.int64).view(tb.U64), np.array([r.odds for r in lexicon])
@@ -269,9 +276,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             x = features(batch.column(0), table, weights)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "fold", "y", "x"])
 
-    got = rows.where("fold in (3, 4)").select("text", F.col("doc_id").cast("string"), F.col("fold").cast("long"), F.col("y").cast("long")).mapInArrow(measure, "doc_id string, fold long, y long, x binary").collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    known.unpersist()
+    # At most max_labelled rows of 16 numbers.
+    got = rows.where("fold in (3, 4)").select("text", F.col("doc_id").cast("string"), "fold", "y").mapInArrow(measure, "doc_id string, fold long, y long, x binary").collect()
+    got.sort(key=lambda r: r.doc_id)
     x, y, fold = np.array([np.frombuffer(r.x) for r in got]), np.array([r.y for r in got], float), np.array([r.fold for r in got])
     trees = fit_trees(x[fold == 3], y[fold == 3])
     at, share = fit_isotonic(trees.margin(x[fold == 4]), y[fold == 4])
@@ -279,10 +286,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with `score` at their end; texts that are null or empty are scored as texts without words.
+    """All columns of docs with `score` at their end (a column of that name is replaced); texts that are null or empty are scored as texts without words.
 
-    Repeated rows get equal scores; an empty table gives no rows.
+    Texts may be as long as Arrow's strings. Repeated rows and equal texts get equal scores, whatever their ids; an empty table gives no rows.
     """
+    docs = docs.drop("score")
     tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")

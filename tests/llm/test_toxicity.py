@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from lodestone.llm import toxicity as T
+from pyspark.sql import functions as F
 
 R = random.Random(17)
 VOCABULARY = ["".join(R.choice("abcdefghijklmno") for _ in range(R.randrange(2, 8))) for _ in range(800)]
@@ -48,6 +49,26 @@ def test_labels_of_one_kind(spark):
     assert {r.score for r in T.score(frame, T.fit(frame, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"))).collect()} == {1.0}
 
 
+def test_labels_without_documents(spark):
+    """An empty table, labels of other documents, and labels of one kind among those that have a document give the share of toxic labels."""
+    docs, labels = documents()
+    frame, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.fit(frame.limit(0), known)
+    assert T.score(frame.limit(0), model).count() == 0
+    assert all(0.1 < r.score < 0.25 for r in T.score(frame, model).collect())
+    away = frame.withColumn("doc_id", F.col("doc_id") + 100_000)
+    assert all(0.1 < r.score < 0.25 for r in T.score(away, T.fit(away, known)).collect())
+    assert {r.score for r in T.score(frame, T.fit(frame.join(known.where("toxic = 0"), "doc_id").select("doc_id", "text"), known)).collect()} == {0.0}
+
+
+def test_one_text_for_each_labelled_id(spark):
+    docs, labels = documents()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").unionByName(spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 3).alias("text")))
+    rows = T.labelled(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), 200).collect()
+    assert len(rows) == 200 == len({r.doc_id for r in rows})
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == r.fold != 0 for r in rows)
+
+
 def test_features():
     table = np.sort(np.array([T.word_hash("idiot")], np.uint64))
     x = dict(zip(T.FEATURES, T.features(pa.array(["You IDIOT! 1d1ot soooo", None, ""]), table, np.array([4.0])).T, strict=True))
