@@ -1,17 +1,17 @@
-"""URL filtering by a cascade of Bloom filters.
+"""URL filtering by cascades of Bloom filters.
 
-Rules (host and path prefix, allow or block) are the listed keys. Every key that any url of the corpus could fit - each
-suffix of its host with each prefix of its path that has the length of some rule's path - is the universe. Level 1 encodes
+Rules (host and path prefix, allow or block) are the listed keys, with one cascade for each verdict. Every key that any url of the corpus could fit - the suffixes of its host with as many labels as a rule has, each with the
+prefix of its path that is as long as that rule's - is the universe: keys of other shapes equal no rule. Level 1 encodes
 the listed keys; level 2 encodes the keys of the universe that level 1 wrongly passes; level 3 the listed keys that level 2
 wrongly passes, and so on until a level passes nothing wrongly. A key of the universe is listed exactly if the first level
-that rejects it has an even number, so no join with the list is needed. Only the few false positives of a level ever leave
+that rejects it has an even number, so urls are judged by the cascades alone, without the list and without joins. Only the few false positives of a level ever leave
 the executors, and they are bounded by the size of the list: level sizes are chosen so that the expected number of false
 positives halves at least, and the list itself is a parameter on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -50,13 +50,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidates(host: Column, path: Column, path_lengths: Sequence[int]) -> Column:
-    """Structs (size, host_size, key, name) of all keys that the url fits, the longest first. A key is host, \\0 and path."""
-    labels = F.split(host, r"\.", -1)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    lengths = F.filter(F.array(*[F.lit(n) for n in sorted(set(path_lengths))]), lambda n: n <= F.length(path))
-    every = F.flatten(F.transform(hosts, lambda h: F.transform(lengths, lambda n: F.struct((F.length(h) + n).alias("size"), F.length(h).alias("host_size"), F.concat(h, F.lit("\0"), F.substring(path, F.lit(1), n)).alias("key"), F.concat(h, F.substring(path, F.lit(1), n)).alias("name")))))
-    return F.reverse(F.array_sort(every))
+def candidates(host: Column, path: Column, shapes: Collection[tuple[int, int]]) -> Column:
+    """Structs (size, host_size, key, name) of the keys that the url fits, the longest first: one for each shape, which is a number of labels and a length of path. A key is host, \\0 and path."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    every = F.array(*[F.struct(F.lit(n).alias("labels"), F.lit(m).alias("length")) for n, m in sorted(shapes)])
+    fit = F.filter(every, lambda s: (s.labels <= labels) & (s.length <= F.length(path)))
+
+    def key(s: Column) -> Column:
+        h, p = F.call_function("substring_index", host, F.lit("."), -s.labels), F.substring(path, F.lit(1), s.length)
+        return F.struct((F.length(h) + s.length).alias("size"), F.length(h).alias("host_size"), F.concat(h, F.lit("\0"), p).alias("key"), F.concat(h, p).alias("name"))
+
+    return F.reverse(F.array_sort(F.transform(fit, key)))
 
 
 def _probe(key: Column, level: int, i: int, bits: int) -> Column:
@@ -84,16 +88,20 @@ def _passes(key: Column, level: int, bitmap: bytes) -> Column:
 
 
 def build_cascade(universe: DataFrame, listed: DataFrame, n_listed: int) -> list[bytes]:
-    """Levels over the distinct keys of universe (column key) for the listed keys; n_listed bounds the first level."""
+    """Levels over the keys of universe (column key) for the listed keys; n_listed bounds the first level."""
     levels: list[bytes] = []
-    inside, outside, n = listed, universe.join(listed, "key", "left_anti"), n_listed
+    inside, outside, n = listed, universe, n_listed
     while n:
         bits = max(64, 1 << (BITS * n - 1).bit_length())
         if bits > MAX_BITS:
             raise ValueError(f"{n} keys need a filter of {bits} bits; split the list by host into lists of at most {MAX_BITS // BITS} keys")
         level = _bitmap(inside, len(levels) + 1, bits)
         levels.append(level)
-        wrong = written(outside.where(_passes(F.col("key"), len(levels), level)).select("key"), "cascade")
+        wrong = outside.where(_passes(F.col("key"), len(levels), level)).select("key").distinct()
+        if len(levels) == 1:
+            # Few keys get here: of all the universe, only what the first level passes.
+            wrong = wrong.join(listed, "key", "left_anti")
+        wrong = written(wrong, "cascade")
         inside, outside, n = wrong, inside, wrong.count()
     return levels
 
@@ -109,24 +117,26 @@ def is_listed(key: Column, levels: Sequence[bytes]) -> Column:
 
 
 def url_filter(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
-    """Judge every url: the id, host, path, rule (null if none fits), verdict, n_levels of the cascade.
+    """Judge every url: the id, host, path, rule (null if none fits), verdict, n_levels of the cascades.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest host and path wins, of equally long
-    ones the longer host, and of rules with the same key the last. Urls that no rule fits get `default`. A null url or one without :// has an
-    empty host and path and gets the default. Repeated rows and ids stay as they are; an empty table gives no rows; other columns are
+    ones the longer host, and of rules with the same key the last. Urls that no rule fits get `default`. A null or empty url or one without :// has an
+    empty host and path and gets the default; the work grows with a url's length alone, however many labels it has. Repeated rows and ids stay as they are; an empty table gives no rows; other columns are
     ignored, whatever their names.
     """
     spark = pages.sparkSession
-    known = {(r.host, r.path): r for r in rules}
-    lengths = [len(p) for _, p in known]
+    known = {(r.host, r.path): r.verdict for r in rules}
     rows = pages.select(F.col(id_column).alias(id_column), host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"))
     if not known:
         return rows.select(id_column, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(0).alias("n_levels"))
-    listed = spark.createDataFrame([(f"{h}\0{p}",) for h, p in known], "key string")
-    universe = rows.select(F.explode(candidates(F.col("host"), F.col("path"), lengths)).alias("c")).select("c.key").distinct()
-    levels = build_cascade(universe, listed, len(known))
-    keys = F.filter(candidates(F.col("host"), F.col("path"), lengths), lambda c: is_listed(c.getField("key"), levels))
-    best = F.try_element_at(keys, F.lit(1))
-    blocked = F.array(*[F.lit(f"{h}\0{p}") for (h, p), r in known.items() if r.verdict == "block"] or [F.lit(None).cast("string")])
-    verdict = F.when(F.col("best").isNull(), F.lit(default)).when(F.array_contains(blocked, F.col("best.key")), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.withColumn("best", best).select(id_column, "host", "path", F.col("best.name").alias("rule"), verdict.alias("verdict"), F.lit(len(levels)).alias("n_levels"))
+    fits = candidates(F.col("host"), F.col("path"), {(h.count(".") + 1, len(p)) for h, p in known})
+    universe = rows.select(F.explode(fits).alias("c")).select("c.key")
+    cascades: dict[str, list[bytes]] = {}
+    for verdict in sorted(set(known.values())):
+        keys = [(f"{h}\0{p}",) for (h, p), v in known.items() if v == verdict]
+        cascades[verdict] = build_cascade(universe, spark.createDataFrame(keys, "key string"), len(keys))
+    verdict_of = lambda key: F.coalesce(*[F.when(is_listed(key, levels), F.lit(v)) for v, levels in cascades.items()])
+    judged = F.filter(F.transform(fits, lambda c: F.struct(c.getField("name").alias("name"), verdict_of(c.getField("key")).alias("verdict"))), lambda c: c.verdict.isNotNull())
+    best = rows.withColumn("best", F.try_element_at(judged, F.lit(1)))
+    n_levels = sum(map(len, cascades.values()))
+    return best.select(id_column, "host", "path", F.col("best.name").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.lit(n_levels).alias("n_levels"))

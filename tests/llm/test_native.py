@@ -30,6 +30,14 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.url_filter(frame, [], default="block").collect()} == {"block"}
 
 
+def test_long_hosts(spark):
+    """Twenty thousand labels take no longer than their bytes."""
+    urls = [f"http://{'a.' * 20_000}example.org/es/x", "http://" + "." * 30_000, "http://" + "x" * 100_000 + ".com/fr/", "http://org/" + "y" * 100_000]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(frame, queries.URL_RULES).collect()}
+    assert got == {i: judged(u, queries.URL_RULES) for i, u in enumerate(urls)}
+
+
 def test_cascade_is_exact(spark):
     rules = [url_filter.rule("block" if i % 2 else "allow", f"h{i}.net/{'x' * (i % 3)}") for i in range(0, 3000, 3)]
     urls = [f"http://{'s.' * (i % 2)}h{i}.net/{'x' * (i % 5)}" for i in range(3000)]
