@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,6 @@ from lodestone.llm.exchange import RUN_SCHEMA, Places, Runs, bring_home, bucket_
 MIN_CHUNK, MAX_CHUNK, MEAN, MIN_BYTES = 8, 48, 16, 64
 GEAR = (tb.BYTE >> tb.U64(37)).astype(np.uint16)
 _SHIFT = np.uint16(16 - MEAN.bit_length() + 1)
-_BYTE2 = tb.mix(tb.BYTE)
 DIGEST = (np.uint64, np.uint64, np.uint32)
 
 
@@ -52,11 +52,11 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(start):
-        return np.zeros(0, tb.U64), np.zeros(0, tb.U64)
-    length = end - start
-    power = tb.powers(MAX_CHUNK)[np.arange(len(data)) - np.repeat(start, length)]
-    return tuple(tb.mix(np.add.reduceat(table[data] * power, start) + length.astype(tb.U64)) for table in (tb.BYTE, _BYTE2))
+    """The two halves of each chunk's 128-bit hash."""
+    view = memoryview(data)
+    raw = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    both = np.frombuffer(raw, ">u8").astype(tb.U64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -69,10 +69,10 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: Sequence[str] = ("doc_id", "text")) -> DataFrame:
-    """documents (doc_id, text) -> the columns of `keep`, with text as it stays, then n_bytes, n_removed, n_chunks, n_repeats.
+    """documents (doc_id, text) -> the columns of `keep`, with text as it stays, then n_bytes, n_removed, n_chunks, n_repeats (chunks that go as repeats).
 
-    Within a text, too, later repeats go. Cuts never part a character: a range that goes is narrowed to whole characters. Null texts are empty and stay empty; repeated rows (equal
-    id and text) count as one text and all get its result; texts that repeat as a whole keep their first copy; an empty table gives no rows; other columns are ignored.
+    Within a text, too, later repeats go. Cuts never part a character: a range that goes is narrowed to whole characters. Null texts are empty and stay empty, null ids come first; repeated rows (equal
+    id and text) count as one text and all get its result; of different texts with one doc_id the order is that of a hash; texts that repeat as a whole keep their first copy; long texts are looked at whole, their chunks meet others' one by one; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -128,7 +128,6 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: Sequence
                     gone = np.zeros(len(raw), bool)
                     if found is not None:
                         repeat = np.isin(s, found[0])
-                        told[3, low + i] = repeat.sum()
                         edge = np.flatnonzero(np.diff(np.concatenate(([False], repeat, [False]))))
                         for x, y in zip(edge[::2], edge[1::2], strict=True):
                             f, t = int(s[x]), int(e[y - 1])
@@ -138,6 +137,7 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: Sequence
                                 t -= 1
                             if t - f >= min_bytes:
                                 gone[f:t] = True
+                                told[3, low + i] += y - x
                     out.append(raw[~gone].tobytes())
                     told[:3, low + i] = len(raw), gone.sum(), b - a
             told_columns = [*(pa.array(t) for t in told)]
