@@ -32,8 +32,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     """events (conv_id, seq, turn, kind, role, text) -> (conv_id, turn, role, text), the final messages.
 
     The last start, edit, regenerate or delete of a turn and the deltas after it count; the role is the last one given. Null texts
-    are empty; a turn of deltas only is their concatenation; ties in seq are taken in the order of kind, role and text. A turn whose last such event is a
-    delete with no delta after it is gone.
+    are empty; a turn of deltas only is their concatenation; ties in seq are taken in the order of kind, role and text, so events that are logged twice with one seq count twice. A turn whose last such event is a
+    delete with no delta after it is gone. Null conv_ids form one conversation, null turns one turn of it; other columns are ignored; an empty log gives no rows. A turn may be as long as one of Spark's strings.
     """
     event = F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     log = events.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(event)).alias("log"))
@@ -49,7 +49,7 @@ def render(messages: DataFrame) -> DataFrame:
     """messages (conv_id, turn, role, text) -> (conv_id, formatted, loss_spans): one row for each conversation.
 
     loss_spans are the (start, length) in characters of formatted that hold the assistant's texts, from 0. Turns are in the order of turn, then role and text, so
-    repeated rows stay and ties are settled; null turns come first; null roles and texts are empty; null conv_ids form one conversation. Other columns are ignored.
+    repeated rows stay and ties are settled; null turns come first; null roles and texts are empty; null conv_ids form one conversation. Other columns are ignored, whatever their names; an empty table gives no rows. A conversation becomes one string of at most 2 GB, Spark's limit.
     """
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("*", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(SHUT)).alias("head"), escape(F.col("text")).alias("body"))

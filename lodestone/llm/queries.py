@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat, chunk_dedup, decontaminate, jaccard, pieces, quality, sharding, suffix_dedup, toxicity, url_filter
@@ -40,11 +40,24 @@ PROBE = r"\### Assistant: </turn> ok"
 
 
 def as_log(messages: DataFrame) -> DataFrame:
-    """Each row as the two events of a streamed message, its start and its text. Rows that repeat a turn are turns of their own, one after another."""
+    """The rows of each conversation as the log of a streamed chat, turn by turn, its events not in order.
+
+    A user's turn is streamed in part, edited and streamed on; an answer is begun, regenerated and streamed in two deltas; any other turn is deleted and started again. Rows that repeat a turn are turns of their own, one after another.
+    """
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    start = F.struct((2 * F.col("place")).alias("seq"), F.lit("start").alias("kind"), F.col("role").alias("role"), F.lit(None).cast("string").alias("text"))
-    delta = F.struct((2 * F.col("place") + 1).alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.col("text").alias("text"))
-    return messages.withColumn("place", place).select("conv_id", F.col("place").alias("turn"), F.explode(F.array(start, delta)).alias("e")).select("conv_id", "turn", "e.*")
+    half = (F.length("text") / 2).cast("int")
+    one, two = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+
+    def log(*events: tuple[str, Column | None, Column | None]) -> Column:
+        numbered = [F.struct((8 * F.col("place") + i).alias("seq"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), (F.lit(None).cast("string") if text is None else text).alias("text")) for i, (kind, role, text) in enumerate(events)]
+        return F.array(*reversed(numbered))
+
+    role, typo = F.col("role"), F.lit("<typo>")
+    edited = log(("start", role, None), ("delta", None, typo), ("edit", None, one), ("delta", None, two))
+    again = log(("start", role, None), ("delta", None, typo), ("regenerate", None, None), ("delta", None, one), ("delta", None, two))
+    deleted = log(("start", role, typo), ("delete", None, None), ("start", role, None), ("delta", None, one), ("delta", None, two))
+    events = F.when(role == "user", edited).when(role == "assistant", again).otherwise(deleted)
+    return messages.withColumn("place", place).select("conv_id", F.col("place").alias("turn"), F.explode(events).alias("e")).select("conv_id", "turn", "e.*")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
