@@ -9,6 +9,7 @@ The counts for the bounds come from one aggregation over all labelled rows, so n
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textbytes as tb
+from lodestone.llm.exchange import tune, written
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -95,64 +97,88 @@ def statistic(name: str) -> Column:
     return {"symbols_per_word": F.col("n_symbols"), "dup_lines_per_word": F.col("n_dup_lines"), "repeat_share": F.col("n_repeat_words"), "chars_per_word": F.col("word_chars")}[name] / words
 
 
+def _beta(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(1 - x, b, a)
+    tiny, c = 1e-300, 1.0
+    d = 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    out = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return out * math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+
+
+def tail(k: int, n: int, p: float) -> float:
+    """P(X <= k) of n draws with chance p."""
+    return 1.0 if k >= n else _beta(1 - p, n - k, k + 1)
+
+
 def upper_bound(k: int, n: int, alpha: float) -> float:
     """The exact (Clopper-Pearson) upper bound on a share of which k of n were seen: P(X <= k) falls to alpha there."""
     if n == 0 or k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
     low, high = k / n, 1.0
     for _ in range(60):
         p = (low + high) / 2
-        tail = sum(math.exp(c + i * math.log(p) + (n - i) * math.log1p(-p)) for i, c in enumerate(logs)) if p < 1 else 0.0
-        low, high = (p, high) if tail > alpha else (low, p)
+        low, high = (p, high) if tail(k, n, p) > alpha else (low, p)
     return high
 
 
-def select_cutoffs(stats: DataFrame, stratum: str = "stratum", good: str = "good", risk: float = RISK, confidence: float = CONFIDENCE) -> dict[str, dict[str, float]]:
-    """stratum -> statistic -> cutoff, from all labelled rows: one aggregation, one row for each stratum."""
+def select_cutoffs(stats: DataFrame, stratum: str = "stratum", good: str = "good", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """(stratum, n_good, cutoffs: a map from statistics to cutoffs), from all labelled rows: one aggregation, one row for each stratum, judged on executors however many there are."""
     steps: list[dict[str, float]] = []
     for name, cutoffs in CUTOFFS.items():
         for c in cutoffs:
             steps.append({**(steps[-1] if steps else {}), name: c})
     # Each step rejects what the one before it does and more, so the first step that rejects a text tells of all.
     first = F.coalesce(*[F.when(statistic(name) > rules[name], F.lit(i)) for i, rules in enumerate(steps) for name in [list(rules)[-1]]], F.lit(len(steps)))
-    sums = [F.sum((F.col("first") <= i).cast("long")).alias(f"k{i}") for i in range(len(steps))]
-    rows = stats.where(F.col(good) & ~base_failed()).select(stratum, first.alias("first")).groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *sums).collect()
-    alpha = (1 - confidence) / max(1, len(rows))
-    chosen: dict[str, dict[str, float]] = {}
-    for r in rows:
-        chosen[r[stratum]] = {}
-        for i, rules in enumerate(steps):
-            k, n = r[f"k{i}"], r["n"]
-            if k / n >= risk or upper_bound(k, n, alpha) > risk:
-                break
-            chosen[r[stratum]] = rules
-    return chosen
-
-
-def passes(chosen: dict[str, dict[str, float]], stratum: str = "stratum") -> Column:
-    """False where a cutoff chosen for the row's stratum is exceeded; a stratum without cutoffs keeps all."""
-    out = F.lit(True)
-    for name in CUTOFFS:
-        limits = F.lit(float("inf"))
-        for s, rules in chosen.items():
-            if name in rules:
-                limits = F.when(F.col(stratum).eqNullSafe(F.lit(s)), F.lit(rules[name])).otherwise(limits)
-        out = out & (statistic(name) <= limits)
-    return out
+    rejected = F.array(*[F.sum((F.col("first") <= i).cast("long")) for i in range(len(steps))])
+    counts = written(stats.where(F.col(good) & ~base_failed()).select(F.col(stratum).alias("stratum"), first.alias("first")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), rejected.alias("rejected")), "strata")
+    alpha = (1 - confidence) / max(1, counts.count())
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = []
+            for n, failed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                last: dict[str, float] = {}
+                for rules, k in zip(steps, failed, strict=True):
+                    # The bound is above the risk exactly if so few rejections are likelier than alpha at the risk.
+                    if tail(k, n, risk) > alpha:
+                        break
+                    last = rules
+                chosen.append(list(last.items()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.map_(pa.string(), pa.float64()))], names=["stratum", "n_good", "cutoffs"])
+
+    return counts.mapInArrow(judge, "stratum string, n_good long, cutoffs map<string,double>")
+
+
+def with_passed(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """stats (with stratum) and `passed`: false where a cutoff chosen for the row's stratum is exceeded; a stratum without cutoffs keeps all."""
+    limit = lambda name: F.coalesce(F.col("cutoffs").getItem(name), F.lit(float("inf")))
+    passed = functools.reduce(lambda a, b: a & b, [statistic(name) <= limit(name) for name in CUTOFFS])
+    rows = stats.join(cutoffs.select(F.col("stratum").alias("of"), "cutoffs"), F.col("stratum") == F.col("of"), "left")
+    return rows.withColumn("passed", passed).drop("of", "cutoffs")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
     """documents (doc_id, text, lang) and labels (doc_id, quality) -> doc_id, the five counts, base_failed, kept.
 
-    Holdout rows are all labelled ones; quality 1 is good. A null text has no words and fails the base rule; a null lang is a stratum; labels that are null or of no
-    document are ignored; a document labelled twice is good if any label says so; repeated rows are all judged; empty tables give no rows, and without labels only the base rule rejects.
+    Holdout rows are all labelled ones; quality 1 is good. A null or empty text has no words and fails the base rule; texts may be as long as Arrow's strings; a null lang is a stratum, the same as an empty one; labels that are null or of no
+    document are ignored; a document labelled twice is good if any label says so; repeated rows are all judged (and all count, if labelled); other columns are ignored, whatever their names; empty tables give no rows, and without labels
+    only the base rule rejects.
     """
-    from lodestone.llm.exchange import tune, written
-
     tune(docs.sparkSession)
     stats = written(with_stats(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("stratum")), carry=("stratum",)), "quality")
     good = labels.groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
-    chosen = select_cutoffs(stats.join(good, "doc_id").where("good is not null"), risk=risk, confidence=confidence)
-    judged = stats.withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~F.col("base_failed") & passes(chosen)).drop("stratum")
+    # Written: a small table of known size, which Spark broadcasts only as long as it is small.
+    chosen = written(select_cutoffs(stats.join(good, "doc_id").where("good is not null"), risk=risk, confidence=confidence), "cutoffs")
+    judged = with_passed(stats, chosen).withColumn("base_failed", base_failed())
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("passed")).drop("stratum", "passed")

@@ -40,6 +40,11 @@ def test_exact_bound():
     assert upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-9)
     assert upper_bound(5, 5, 0.05) == 1.0 and upper_bound(0, 0, 0.05) == 1.0
     assert all(list(c) == sorted(c, reverse=True) for c in CUTOFFS.values())
+    from math import comb
+
+    for k, n, p in ((0, 7, 0.3), (3, 40, 0.02), (39, 40, 0.9), (20, 900, 0.03)):
+        assert quality.tail(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-9)
+    assert quality.tail(19_000_000, 10**9, 0.02) < 1e-9 < 0.99 < quality.tail(21_000_000, 10**9, 0.02)
 
 
 def test_leaks(spark):
@@ -83,7 +88,7 @@ def test_cutoffs_hold_their_risk(spark):
         n = 4000
         rows = [("s", 100, int(500 + 40 * a), int(b), 0, int(c)) for a, b, c in zip(r.normal(size=n), r.exponential(1.5, n), r.exponential(3, n), strict=True)]
         frame = spark.createDataFrame(rows, "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long").selectExpr("*", "true as good")
-        chosen = quality.select_cutoffs(frame)["s"]
+        chosen = quality.select_cutoffs(frame).first().cutoffs
         x = r.exponential(1.5, 200_000), r.exponential(3, 200_000)
         rejected = (x[0].astype(int) / 100 > chosen.get("symbols_per_word", np.inf)) | (x[1].astype(int) / 100 > chosen.get("repeat_share", np.inf))
         over += rejected.mean() > quality.RISK
@@ -97,9 +102,31 @@ def test_cutoffs_of_small_strata(spark):
     # In "c", symbols above 0.2 and doubled lines above 0.05 reject 1.5% of the good texts each: within the risk alone, but not together.
     good = [*row("a", 300, 0), *row("b", 100, 0), *row("c", 3940, 0), *row("c", 60, 25), *row("c", 60, 0, 6)]
     frame = spark.createDataFrame(good, "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long").selectExpr("*", "true as good")
-    chosen = quality.select_cutoffs(frame)
+    cutoffs = quality.select_cutoffs(frame)
+    chosen = {r.stratum: r.cutoffs for r in cutoffs.collect()}
     assert chosen["a"] == {name: cutoffs[-1] for name, cutoffs in CUTOFFS.items()}
     assert chosen["b"] == {}
     assert chosen["c"] == {"symbols_per_word": 0.05, "chars_per_word": 8.0, "dup_lines_per_word": 0.07}
     junk = spark.createDataFrame([*row("a", 1, 60), *row("b", 1, 60)], frame.drop("good").schema)
-    assert {r.stratum: r.ok for r in junk.withColumn("ok", quality.passes(chosen)).collect()} == {"a": False, "b": True}
+    assert {r.stratum: r.passed for r in quality.with_passed(junk, cutoffs).collect()} == {"a": False, "b": True}
+
+
+def test_verdicts_on_the_real_tables(spark):
+    """At sf0.1 every language gets cutoffs, and they reject badly labelled texts that the base rule lets pass."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    few = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = quality.quality_rules(few, labels).join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id").where("not base_failed")
+    told = {(r.lang, r.quality): (r.n, r.gone) for r in got.groupBy("lang", "quality").agg(F.count("*").alias("n"), F.sum((~F.col("kept")).cast("int")).alias("gone")).collect()}
+    for lang in {k[0] for k in told}:
+        n, gone = told[lang, 1]
+        bad, caught = told[lang, 0]
+        assert gone <= 2 * quality.RISK * n and caught >= 0.9 * bad > 0
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a b " * 30, "en"), (1, "a b " * 30, "en"), (1, "other", None), (None, "x y", "en"), (None, None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as passed", "2 as kept", "3 as cutoffs", "4 as good")
+    got = quality.quality_rules(frame, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()
+    assert len(got) == len(rows) and sorted(r.n_words for r in got) == [0, 1, 2, 60, 60] and not any(r.kept for r in got)
