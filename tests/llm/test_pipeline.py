@@ -1,8 +1,37 @@
+import os
 import random
+from collections import Counter
 
 import brute
 import corpus_pipeline
-from lodestone.llm import pieces
+from lodestone.llm import exchange, pieces
+
+
+def model_of():
+    return pieces.pieces(pieces.model_bytes(pieces.MODEL))
+
+
+def write(spark, path, docs, labels, *items):
+    rows = spark.createDataFrame([(*d, len(d[1] or "")) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.selectExpr("*", "1 as score", "2 as h", "3 as n_removed", "4 as fold").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    write(spark, tmp_path, [], [(1, 1, 0), (2, 1, 1)], "an item")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tables_are_deleted(spark):
+    since = exchange.mark()
+    one, two = (exchange.written(spark.range(5), f"t{i}") for i in range(2))
+    exchange.clean(spark, since, keep=[two])
+    assert one.schema == two.schema
+    paths = [f.split("/part-")[0].removeprefix("file://") for f in two.inputFiles()]
+    assert two.count() == 5 and len(exchange._tables) == since + 1
+    exchange.clean(spark, since)
+    assert len(exchange._tables) == since and not any(map(os.path.exists, paths))
 
 
 def test_stages(spark, tmp_path):
@@ -15,19 +44,22 @@ def test_stages(spark, tmp_path):
         text = prose(80)
         docs.append((i, " ".join(w + (" vileword" if bad and j % 9 == 0 else "") for j, w in enumerate(text.split())), "en", "s"))
         labels.append((i, 1, int(bad)))
-    passage, item = prose(60), prose(30)
+    passage, item, other = prose(60), prose(30), prose(14)
     docs += [(1000, docs[1][1], "en", "s"), (1001, docs[1][1] + " end", "en", "s"), (1002, prose(40) + " " + passage + " " + prose(40), "en", "s"), (1003, prose(40) + " " + passage + " " + prose(40), "en", "s")]
     docs += [(1004, prose(50) + " " + item + " " + prose(20), "en", "s"), (1005, None, None, None), (1006, "", "en", None)]
-    spark.createDataFrame([(*d, len(d[1] or "")) for d in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    # Repeated rows, of which one stays; null ids; two texts of one id, of which one holds an item.
+    docs += [docs[2], docs[2], (None, "no id here", "en", "s"), (None, "no id here", "de", "s"), (None, None, None, None), (1007, f"and {other}", "en", "s"), (1007, "quite another text that is clean", "en", "s")]
+    write(spark, tmp_path, docs, labels, item, other)
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(x.doc_id for x in rows if x.doc_id in (2, None, 1007)) == {2: 1, None: 2, 1007: 1}
+    assert model_of().lib.decode(next(x.ids for x in rows if x.doc_id == 1007)).startswith("quite")
+    got = {x.doc_id: x for x in rows if x.doc_id is not None}
     toxic = {d for d, _, t in labels if t}
     assert not toxic & set(got)
-    assert set(got) >= {d[0] for d in docs if d[0] not in toxic | {1000, 1001, 1004}}
+    assert set(got) >= {d[0] for d in docs if d[0] not in toxic | {None, 1000, 1001, 1004}}
     assert not {1000, 1001, 1004} & set(got)
-    model = pieces.pieces(pieces.model_bytes(pieces.MODEL))
+    model = model_of()
     texts = {d[0]: d[1] or "" for d in docs}
-    assert all(x.ids == model.lib.encode(texts[d]) and x.decoded_sha256 == brute.sha(texts[d]) for d, x in got.items() if d != 1003)
+    assert all(x.ids == model.lib.encode(texts[d]) and x.decoded_sha256 == brute.sha(texts[d]) for d, x in got.items() if d not in (1003, 1007))
     rest = model.lib.decode(got[1003].ids)
     assert rest.startswith(texts[1003][:100]) and len(rest) < len(texts[1003]) - 200
