@@ -10,6 +10,8 @@ A document is its set of distinct shingles of k words (fewer words: the one of a
    likewise. Large families of near copies are one component then, or nearly.
 4. All other pairs that met often enough, are in different components still, and whose sketches differ in no more bits than linked sets have different elements, are verified in the same way; pairs within one component are connected already and can change nothing.
    So no link is lost, and a family of near copies costs a few pairs for each member, not one for each two.
+
+Large groups are dealt to many tasks: a group that meets at one shingle by blocks of its members, of which only those outside its main component visit the others; the members of one leader by a salt of their hashes.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from lodestone.llm.sketch import cell_counts
 CELLS, FRAGMENTS = 1 << 18, 6
 #: Bits of a set's parity sketch.
 SKETCH = 512
-#: Of step 3: partners by sketch and by hash; rows that are looked at together; groups up to this size are paired all at once.
-NEAREST, PICKED, CHUNK, SMALL = 2, 3, 200_000, 48
+#: Of step 3: partners by sketch and by hash; rows that are looked at together; cells up to this size are paired all at once; members of a group in one block; partners of a leader in one task.
+NEAREST, PICKED, CHUNK, SMALL, LARGE, FAMILY = 2, 3, 200_000, 48, 4096, 1000
 META, TOKENS, PAIR, MEMBER = 0, 1, 2, 3
 ROW = "bucket int, kind int, run binary, a long, b long, c long, d long, e long"
 PAIRS = "a long, b long, n long, m long, times long"
@@ -119,34 +121,28 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[two], end[two]
 
 
-def groups_across(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Whole groups of equal tokens with more than one component, many at a time: their columns without the token, and where each begins and ends."""
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int]]:
+    """Rows in the order of token and block, home rows first -> tables of many whole cells (rows of one token and block); or parts of one large cell, each with all its home rows. The number tells how many rows at the
+    beginning have been visitors already. So a task holds some CHUNK rows and the home rows of one cell."""
     held: list[pa.RecordBatch] = []
-
-    def cut(rows: pa.Table) -> tuple[np.ndarray, ...] | None:
-        token, node, n, place, part = (rows.column(j).to_numpy() for j in range(5))
-        begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        end = np.append(begin[1:], len(token))
-        mixed = np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin)
-        inside = np.flatnonzero(np.repeat(mixed, end - begin))
-        if not len(inside):
-            return None
-        size = (end - begin)[mixed]
-        data = b"".join(rows.column(5).take(pa.array(inside)).to_pylist())
-        return node[inside], n[inside], place[inside], part[inside], np.frombuffer(data, tb.U64).reshape(len(inside), -1), np.cumsum(size) - size, np.cumsum(size)
-
+    old = 0
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) < CHUNK:
+        if sum(b.num_rows for b in held) - old < CHUNK:
             continue
         rows = pa.Table.from_batches(held)
-        token = rows.column(0).to_numpy()
-        whole = int(np.searchsorted(token, token[-1])) if token[0] <= token[-1] else int(np.flatnonzero(token != token[-1])[-1]) + 1
-        held = rows.slice(whole).combine_chunks().to_batches()
-        if whole and (found := cut(rows.slice(0, whole))) is not None:
-            yield found
-    if held and (found := cut(pa.Table.from_batches(held))) is not None:
-        yield found
+        token, block = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        changes = np.flatnonzero((token[1:] != token[:-1]) | (block[1:] != block[:-1])) + 1
+        if len(changes):
+            last = int(changes[-1])
+            yield rows.slice(0, last), old
+            held, old = rows.slice(last).combine_chunks().to_batches(), 0
+        else:
+            yield rows, old
+            held = rows.filter(rows.column("home")).combine_chunks().to_batches()
+            old = sum(b.num_rows for b in held)
+    if sum(b.num_rows for b in held) > old:
+        yield pa.Table.from_batches(held), old
 
 
 def small_pairs(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -163,16 +159,14 @@ def small_pairs(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray
         yield x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
 
 
-def large_pairs(begin: np.ndarray, end: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within larger groups, a member at a time. One end of each pair across components is outside the group's largest."""
-    for b, e in zip(begin, end, strict=True):
-        if e - b <= SMALL:
-            continue
-        labels, size = np.unique(part[b:e], return_counts=True)
-        inside = part[b:e] == labels[size.argmax()]
-        for i in np.flatnonzero(~inside):
-            y = b + np.flatnonzero((part[b:e] != part[b + i]) & (inside | (np.arange(e - b) > i)))
-            yield np.full(len(y), b + i), y
+def large_pairs(begin: np.ndarray, end: np.ndarray, part: np.ndarray, node: np.ndarray, outside: np.ndarray, home: np.ndarray, old: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs across components within larger cells, a visitor at a time: a row outside its group's main component meets the home rows, of which those that are outside too only if their node is larger."""
+    for b, e in zip(begin.tolist(), end.tolist(), strict=True):
+        hosts = b + np.flatnonzero(home[b:e])
+        for i in range(max(b, old if b == 0 else b), e):
+            if outside[i]:
+                y = hosts[(part[hosts] != part[i]) & (~outside[hosts] | (node[hosts] > node[i]))]
+                yield np.full(len(y), i), y
 
 
 def some_of_each(x: np.ndarray, y: np.ndarray, apart: np.ndarray, node: np.ndarray, ends: int = 2) -> np.ndarray:
@@ -192,7 +186,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     """documents (doc_id, text) -> doc_id, n_shingles, component_id: the least doc_id that links of Jaccard >= percent / 100 lead to.
 
     Words are what white space ends, with A-Z lowered. Texts that are null or have no words have no shingles and are linked with nothing, nor is a row without doc_id (its component is null). Repeated rows come out as often as they
-    went in; rows of one doc_id with different texts share its component if any is linked; an empty table gives no rows; other columns are ignored.
+    went in; rows of one doc_id with different texts share its component if any is linked; texts may be as long as Arrow's strings; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -224,7 +218,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
             known = np.asarray(batch.column(0).is_valid())
             for low, high, row, gram in shingle_sets(batch.column(1), k):
                 row, key, n, node = ordered_sets(row, gram, high - low, level)
-                yield _rows(META, node % tb.U64(buckets), doc[low:high], n, node.view(np.int64), known[low:high], runs=parity_sketches(row, key, high - low))
+                # Nothing meets these rows, so they spread evenly, copies too.
+                yield _rows(META, np.arange(low, high) % buckets, doc[low:high], n, node.view(np.int64), known[low:high], runs=parity_sketches(row, key, high - low))
                 place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 use = (place <= n[row] - -(-percent * n[row] // 100)) & known[low:high][row]
                 # Size and place in one number: both are below 2**31.
@@ -256,7 +251,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
             yield _rows(MEMBER, None, token[inside], node[inside], n[inside], place[inside], node[first])
 
     def across(few: bool):
-        """From groups (token, node, n, place, component, sketch), in order of token and node: pairs across components that may link, and how often each came. With few, only some for each node."""
+        """From cells (token, block, node, n, place, component, sketch, outside, home): pairs across components that may link, and how often each came. With few, only some for each node."""
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[np.ndarray] = []
@@ -266,9 +261,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
                 held.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in count_pairs(*found)], names=["a", "b", "n", "m", "times"])
 
-            for node, n, place, part, sketch, begin, end in groups_across(batches):
-                # Pairs of a small group come together, those of a large one by their first member: only then has each end all its own.
-                for x, y, ends in chain(((x, y, 2) for x, y in small_pairs(begin, end)), ((x, y, 1) for x, y in large_pairs(begin, end, part))):
+            for rows, old in cells(batches):
+                token, block, node, n, place, part = (rows.column(j).to_numpy() for j in range(6))
+                sketch = np.frombuffer(b"".join(rows.column(6).to_pylist()), tb.U64).reshape(len(node), -1)
+                outside, home = (np.asarray(rows.column(j).combine_chunks()) for j in (7, 8))
+                begin = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (block[1:] != block[:-1]))))
+                end = np.append(begin[1:], len(token))
+                small = (end - begin <= SMALL) & ((begin > 0) | (old == 0))
+                # Pairs of a small cell come together, those of a large one by their visitor: only then has each end all its own.
+                for x, y, ends in chain(((x, y, 2) for x, y in small_pairs(begin[small], end[small])), ((x, y, 1) for x, y in large_pairs(begin[~small], end[~small], part, node, outside, home, old))):
                     keep = (part[x] != part[y]) & may_link(n[x], place[x], n[y], place[y], percent)
                     x, y = x[keep], y[keep]
                     apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
@@ -286,6 +287,19 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
         return pairs
 
+    def groups(rows: DataFrame, parts: DataFrame, few: bool) -> DataFrame:
+        """The cells of groups (token, node, n, place) with more than one component: a group of more than LARGE is dealt to blocks, its home rows to one each, and those outside the main component to all (with few, to their own)."""
+        rows = written(rows.join(parts, "node").select("token", "node", "n", "place", "component"), "groups")
+        of_part = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+        mixed = of_part.groupBy("token").agg(F.sum("size").alias("size"), F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+        blocks = F.ceil(F.col("size") / LARGE).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        met = rows.join(mixed, "token").select("token", "node", "n", "place", "component", own.alias("own"), blocks.alias("blocks"), (F.col("component") != F.col("main")).alias("outside"))
+        all_blocks = F.array("own") if few else F.when(F.col("outside") & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+        met = met.join(reps.select("node", "sketch"), "node").select("*", F.explode(all_blocks).alias("block"))
+        met = met.select("token", "block", "node", "n", "place", "component", "sketch", "outside", (F.col("block") == F.col("own")).alias("home"))
+        return met.repartition(buckets, "token", "block").sortWithinPartitions("token", "block", F.desc("home"), "node")
+
     def cut_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column(2).to_pylist()
@@ -303,48 +317,59 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
                 for i in range(high - low):
                     mine = part[begin[i] : begin[i] + n[i]]
                     me = int(node[i : i + 1].view(np.int64)[0])
-                    leaders = sorted({x["leader"] for x in asked[low + i] if x["node"] == me})
+                    leaders = sorted({(x["leader"], x["salt"]) for x in asked[low + i] if x["node"] == me})
                     if not leaders:
                         continue
                     at = begin[i] + np.searchsorted(mine, np.arange(FRAGMENTS + 1))
                     for f in range(FRAGMENTS):
                         blob = packed[at[f] : at[f + 1]].tobytes()
-                        out += [(leader, f, int(leader != me), me, int(n[i]), blob) for leader in leaders]
+                        out += [(leader, f, salt, int(leader != me), me, int(n[i]), blob) for leader, salt in leaders]
                 if out:
                     columns = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.binary())], names=["leader", "f", "role", "node", "n", "part"])
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["leader", "f", "salt", "role", "node", "n", "part"])
 
     def count_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, whole, size, last = None, np.zeros(0, tb.U64), 0, None
         for batch in batches:
-            leaders, fs, roles, nodes, ns = (batch.column(j).to_numpy() for j in range(5))
+            leaders, fs, salts, roles, nodes, ns = (batch.column(j).to_numpy() for j in range(6))
             out: list[tuple[int, int, int, int, int]] = []
             for i in range(batch.num_rows):
-                if (leaders[i], fs[i], roles[i], nodes[i]) == last:
+                here = leaders[i], fs[i], salts[i]
+                if (*here, roles[i], nodes[i]) == last:
                     continue
-                last = (leaders[i], fs[i], roles[i], nodes[i])
-                five = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint8).reshape(-1, 5)
+                last = (*here, roles[i], nodes[i])
+                five = np.frombuffer(batch.column(6)[i].as_buffer(), np.uint8).reshape(-1, 5)
                 wide = np.zeros((len(five), 8), np.uint8)
                 wide[:, :5] = five
                 part = wide.view(tb.U64)[:, 0]
                 if roles[i] == 0:
-                    now, whole, size = (leaders[i], fs[i]), part, ns[i]
-                elif now == (leaders[i], fs[i]) and len(part) and len(whole):
+                    now, whole, size = here, part, ns[i]
+                elif now == here and len(part) and len(whole):
                     shared = np.count_nonzero(whole[np.minimum(np.searchsorted(whole, part), len(whole) - 1)] == part)
                     if shared:
                         out.append((leaders[i], nodes[i], size, ns[i], shared))
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n", "m", "shared"])
 
-    def verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """The links (a, b: least documents of the nodes) among pairs of nodes."""
-        asks = pairs.select(F.col("b").alias("node"), F.col("a").alias("leader")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("leader"))).distinct()
-        of_doc = asks.join(reps, "node").groupBy("doc_id").agg(F.collect_list(F.struct("node", "leader")).alias("asks"))
-        parts = docs.join(of_doc, "doc_id").select("doc_id", "text", "asks").mapInArrow(cut_fragments, "leader long, f int, role int, node long, n long, part binary")
-        met = parts.repartition(bucket_count(spark, 0), "leader", "f").sortWithinPartitions("leader", "f", "role", "node").mapInArrow(count_overlaps, "a long, b long, n long, m long, shared long")
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b) of nodes. The pairs of one leader a that has many are dealt to several tasks, each with the leader's own fragments."""
+        many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > FAMILY)
+        salts = F.coalesce(F.ceil(F.col("size") / F.greatest(F.lit(FAMILY), F.sqrt("size"))), F.lit(1)).cast("int")
+        salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+        asks = salted.select(F.col("b").alias("node"), F.col("a").alias("leader"), "salt").unionByName(salted.select(F.col("a").alias("node"), F.col("a").alias("leader"), "salt")).distinct()
+        of_doc = asks.join(reps.select("node", "doc_id"), "node").groupBy("doc_id").agg(F.collect_list(F.struct("node", "leader", "salt")).alias("asks"))
+        parts = docs.join(of_doc, "doc_id").select("doc_id", "text", "asks").mapInArrow(cut_fragments, "leader long, f int, salt int, role int, node long, n long, part binary")
+        met = parts.repartition(buckets, "leader", "f", "salt").sortWithinPartitions("leader", "f", "salt", "role", "node").mapInArrow(count_overlaps, "a long, b long, n long, m long, shared long")
         links = met.groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared")).where(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared")))
-        left, right = (reps.select(F.col("node").alias(c), F.col("doc_id").alias(f"doc_{c}")) for c in "ab")
-        return links.join(left, "a").join(right, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+        return links.select("a", "b")
+
+    def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+        """(node, component) with the components that links between nodes bring together. Only edges between components count, so later rounds have small graphs."""
+        left, right = (parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")) for c in "ab")
+        edges = links.join(left, "a").join(right, "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).where("a <> b").distinct()
+        found = connected_components(edges).select(F.col("node").alias("of"), F.col("component").alias("now"))
+        return written(parts.join(found, F.col("component") == F.col("of"), "left").select("node", F.coalesce("now", "component").alias("component")), "components")
 
     listed = docs.mapInArrow(list_prefixes, ROW)
     met = written(to_buckets(listed, buckets).mapInArrow(meet, ROW), "met")
@@ -356,22 +381,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     often = f"times >= greatest(1, least({prefix('n')} - (n - {need}), {prefix('m')} - (m - {need})))"
     summed = lambda rows: rows.groupBy("a", "b", "n", "m").agg(F.sum("times").alias("times")).where(often).select("a", "b")
     pairs = written(summed(met.where(f"kind = {PAIR}").select("a", "b", F.col("c").alias("n"), F.col("d").alias("m"), F.col("e").alias("times"))), "pairs")
-    links = written(verify(pairs, reps), "links")
-    found = written(connected_components(links), "components")
+    parts = joined(reps.select("node", F.col("doc_id").alias("component")), written(verify(pairs), "links"))
     members = met.where(f"kind = {MEMBER}").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("c").alias("n"), F.col("d").alias("place"), F.col("e").alias("leader"))
     # A family meets at many shingles, mostly under the same least node; each node is in the family of the least node that it meets at all.
     families = members.groupBy("node").agg(F.min("leader").alias("token"), F.first("n").alias("n")).where("token <> node").select("token", "node", "n").unionByName(members.where("leader = node").groupBy(F.col("leader").alias("token"), "node").agg(F.first("n").alias("n"))).withColumn("place", F.lit(0).cast("long"))
     for few in (True, False):
-        parts = reps.join(found, reps["doc_id"] == found["node"], "left").select(reps["node"], F.coalesce("component", "doc_id").alias("component"), "sketch")
-        met_at = families if few else members
-        groups = met_at.join(parts, "node").select("token", "node", "n", "place", "component", "sketch").repartition("token").sortWithinPartitions("token", "node")
-        some = groups.mapInArrow(across(few), PAIRS)
+        some = groups(families if few else members, parts, few).mapInArrow(across(few), PAIRS)
         some = some.select("a", "b").distinct() if few else summed(some)
         more = written(some.join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
-            links = written(links.unionByName(verify(more, reps)), "links")
+            parts = joined(parts, written(verify(more), "links"))
             pairs = pairs.unionByName(more)
-            found = written(connected_components(links), "components")
-    parts = reps.join(found, reps["doc_id"] == found["node"], "left").select(reps["node"].alias("of"), F.coalesce("component", "doc_id").alias("component"))
-    out = meta.join(parts, (F.col("node") == F.col("of")) & F.col("known") & (F.col("n") > 0), "left")
+    of_node = parts.select(F.col("node").alias("of"), "component")
+    out = meta.join(of_node, (F.col("node") == F.col("of")) & F.col("known") & (F.col("n") > 0), "left")
     return out.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("known"), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -1,6 +1,9 @@
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
+import pytest
 from lodestone.llm import jaccard
 from lodestone.llm.components import connected_components
 
@@ -57,8 +60,6 @@ def test_against_brute_force(spark):
 
 def test_least_meetings():
     """Linked sets meet at least so often within their prefixes."""
-    import numpy as np
-
     r = random.Random(14)
     for _ in range(3000):
         n = r.randrange(1, 90)
@@ -71,8 +72,6 @@ def test_least_meetings():
 
 
 def test_sketches():
-    import numpy as np
-
     r = np.random.default_rng(15)
     sets = [r.integers(0, 2**63, 40).astype(np.uint64)]
     for i in range(60):
@@ -85,24 +84,40 @@ def test_sketches():
         assert apart < 5 or int(np.bitwise_count(f ^ found[0]).sum()) > apart // 2
 
 
-def test_pairs_of_small_and_large_groups(monkeypatch):
-    import numpy as np
-
+def test_pairs_of_small_and_large_groups():
+    """Each pair across components comes once, however a group is dealt to cells."""
     r = np.random.default_rng(16)
     size = r.integers(2, 30, 40)
     end = np.cumsum(size)
-    part = r.integers(0, 3, int(size.sum()))
-
-    def pairs():
-        found = [*jaccard.small_pairs(end - size, end), *jaccard.large_pairs(end - size, end, part)]
-        return sorted((min(i, j), max(i, j)) for x, y in found for i, j in zip(x.tolist(), y.tolist(), strict=True) if part[i] != part[j])
-
-    all_small = pairs()
-    assert len(set(all_small)) == len(all_small)
-    monkeypatch.setattr(jaccard, "SMALL", 1)
-    assert pairs() == all_small
-    monkeypatch.setattr(jaccard, "SMALL", 12)
-    assert pairs() == all_small
+    n = int(size.sum())
+    part, node = r.integers(0, 3, n), r.permutation(n)
+    main = np.concatenate([np.full(s, np.bincount(part[e - s : e]).argmax()) for s, e in zip(size, end, strict=True)])
     x, y = (np.concatenate(c) for c in zip(*jaccard.small_pairs(end - size, end), strict=True))
+    all_pairs = sorted((min(i, j), max(i, j)) for i, j in zip(x.tolist(), y.tolist(), strict=True) if part[i] != part[j])
+    found = list(jaccard.large_pairs(end - size, end, part, node, part != main, np.ones(n, bool), 0))
+    assert sorted((min(i, j), max(i, j)) for x, y in found for i, j in zip(x.tolist(), y.tolist(), strict=True)) == all_pairs
     kept = jaccard.some_of_each(x, y, r.integers(0, 50, len(x)), r.integers(0, 2**62, len(part)))
     assert 0 < kept.sum() < len(x) and set(np.concatenate([x[kept], y[kept]])) == set(np.concatenate([x, y]))
+
+
+def test_cells_come_whole_or_with_their_home_rows(monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 50)
+    r = np.random.default_rng(20)
+    rows = sorted((int(t), int(b), not h, int(i)) for t, b, h, i in zip(r.choice([1, 2, 2, 2, 2, 2, 3], 600), r.integers(0, 2, 600), r.random(600) < 0.1, range(600), strict=True))
+    frame = pa.table({"token": [x[0] for x in rows], "block": [x[1] for x in rows], "node": [x[3] for x in rows], "home": [not x[2] for x in rows]})
+    met = []
+    for got, old in jaccard.cells(iter(frame.to_batches(max_chunksize=17))):
+        told = [(x["token"], x["block"], x["node"], x["home"], i >= old) for i, x in enumerate(got.to_pylist())]
+        assert len(told) < 150
+        met += [(t, b, h, v) for t, b, h, is_home, _ in told if is_home for t2, b2, v, _, new in told if new and (t2, b2) == (t, b)]
+    assert sorted(met) == sorted((t, b, h, v) for t, b, away, h in rows if not away for t2, b2, _, v in rows if (t2, b2) == (t, b))
+
+
+@pytest.mark.parametrize("small", [1, 48])
+def test_blocks_and_salts(spark, monkeypatch, small):
+    """Blocks of three members, salts of two, and the same components."""
+    for name, value in (("LARGE", 3), ("FAMILY", 2), ("SMALL", small)):
+        monkeypatch.setattr(jaccard, name, value)
+    docs = documents()
+    got = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.components(docs))
