@@ -291,7 +291,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         """The cells of groups (token, node, n, place) with more than one component: a group of more than LARGE is dealt to blocks, its home rows to one each, and those outside the main component to all (with few, to their own)."""
         rows = written(rows.join(parts, "node").select("token", "node", "n", "place", "component"), "groups")
         of_part = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-        mixed = of_part.groupBy("token").agg(F.sum("size").alias("size"), F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+        # Written, so that a skewed join with it is split.
+        mixed = written(of_part.groupBy("token").agg(F.sum("size").alias("size"), F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"), "mixed")
         blocks = F.ceil(F.col("size") / LARGE).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         met = rows.join(mixed, "token").select("token", "node", "n", "place", "component", own.alias("own"), blocks.alias("blocks"), (F.col("component") != F.col("main")).alias("outside"))
