@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.exchange import partitions, shared_path, written
 
 #: Bytes of a bucket, the bytes that a record counts for at least (so a bucket has some 4,000 at most), bytes that one task of pass two takes in, and copies of a record that one task hands out.
-BUCKET_BYTES, LEAST_BYTES, TASK_BYTES, COPIES = 4 << 20, 1 << 10, 128 << 20, 10_000
+BUCKET_BYTES, LEAST_BYTES, TASK_BYTES, COPIES = 4 << 20, 1 << 10, 32 << 20, 10_000
 
 
 def shard_of(key: Column, shards: int, seed: int = 7) -> Column:
