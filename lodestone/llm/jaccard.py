@@ -32,8 +32,8 @@ from lodestone.llm.sketch import cell_counts
 CELLS, FRAGMENTS = 1 << 18, 6
 #: Bits of a set's parity sketch.
 SKETCH = 512
-#: Of step 3: partners by sketch and by hash; rows that are looked at together; cells up to this size are paired all at once; members of a group in one block; partners of a leader in one task.
-NEAREST, PICKED, CHUNK, SMALL, LARGE, FAMILY = 2, 3, 200_000, 48, 4096, 1000
+#: Of step 3: partners by sketch and by hash; rows that are looked at together; cells up to this size are paired all at once; members of a group in one block at least; partners of a leader in one task.
+NEAREST, PICKED, CHUNK, SMALL, LARGE, FAMILY = 2, 3, 200_000, 48, 256, 1000
 META, TOKENS, PAIR, MEMBER = 0, 1, 2, 3
 ROW = "bucket int, kind int, run binary, a long, b long, c long, d long, e long"
 PAIRS = "a long, b long, n long, m long, times long"
@@ -293,7 +293,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         of_part = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
         # Written, so that a skewed join with it is split.
         mixed = written(of_part.groupBy("token").agg(F.sum("size").alias("size"), F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"), "mixed")
-        blocks = F.ceil(F.col("size") / LARGE).cast("int")
+        # Blocks grow with the root of the group, as copies of visitors do.
+        blocks = F.ceil(F.col("size") / F.greatest(F.lit(LARGE), 4 * F.sqrt("size"))).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         met = rows.join(mixed, "token").select("token", "node", "n", "place", "component", own.alias("own"), blocks.alias("blocks"), (F.col("component") != F.col("main")).alias("outside"))
         all_blocks = F.array("own") if few else F.when(F.col("outside") & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))

@@ -115,7 +115,7 @@ def test_cells_come_whole_or_with_their_home_rows(monkeypatch):
 
 @pytest.mark.parametrize("small", [1, 48])
 def test_blocks_and_salts(spark, monkeypatch, small):
-    """Blocks of three members, salts of two, and the same components."""
+    """Blocks of few members, salts of two, and the same components."""
     for name, value in (("LARGE", 3), ("FAMILY", 2), ("SMALL", small)):
         monkeypatch.setattr(jaccard, name, value)
     docs = documents()
