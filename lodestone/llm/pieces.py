@@ -27,7 +27,7 @@ from lodestone.llm.exchange import tune
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk. A model file is at most so large, which bounds what is sent to executors.
-CHUNK, MAX_MODEL = 1 << 16, 64 << 20
+CHUNK, MAX_MODEL = 1 << 14, 64 << 20
 MARK = "▁"
 State = tuple[int, str]
 
@@ -334,7 +334,8 @@ def _lists(values: list[list[int]]) -> pa.Array:
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, id_column: str = "doc_id", text_column: str = "text", decoded: bool = False) -> DataFrame:
     """doc_id, ids, n_chunks: the library's own encoding of each whole text; with `decoded`, also the text that the ids give back (in the same pass, by the same worker).
 
-    Null texts are taken as empty and give no ids; repeated rows come out as often as they went in; an empty table gives no rows; other columns are ignored.
+    Null texts are taken as empty and give no ids; repeated rows come out as often as they went in, null ids too; texts of a chunk or more are scanned, however long; an empty table gives no rows; other columns are ignored, whatever
+    their names.
     """
     spark = docs.sparkSession
     tune(spark)

@@ -48,6 +48,19 @@ def test_encode_and_decode(spark, model):
     assert P.encode(docs.limit(0)).count() == 0
 
 
+def test_giant_texts(spark, model):
+    """Texts of several chunks of the default size: without any space, with few, and with many; one of them twice, and one of the same id."""
+    r = random.Random(9)
+    solid = "".join(r.choice("abcdefghijklmnoprstuvwxyz") for _ in range(3 * P.CHUNK + 77))
+    few = " ".join(solid[i : i + 5000] for i in range(0, len(solid), 5000))
+    many = " ".join(r.choice(TEXTS[4:]) for _ in range(2000))
+    rows = [(1, solid), (2, few), (2, few), (2, many), (None, "é" * (P.CHUNK + 1)), (3, "short")]
+    got = P.encode(spark.createDataFrame(rows, "doc_id long, text string"), decoded=True).collect()
+    assert sorted((str(x.doc_id), x.ids) for x in got) == sorted((str(d), model.lib.encode(t)) for d, t in rows)
+    assert sorted(x.n_chunks for x in got) == sorted(-(-(len(t) + 1) // P.CHUNK) for _, t in rows)
+    assert {x.decoded for x in got} >= {solid, few, "short"}
+
+
 def test_words_equal_library(model, monkeypatch):
     import numpy as np
 
