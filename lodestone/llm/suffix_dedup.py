@@ -3,13 +3,13 @@
 Sorting all suffixes of all texts would move each byte a hundred times. A sample decides as well: of every 100-byte window the 32-byte string in it with the
 smallest hash is its anchor, so equal windows have their anchors at the same place, and only suffixes that begin at anchors need comparing.
 
-1. Each task lists its anchors: hash of the string, hash of the context (all bytes of the windows that the anchor stands for), place. They meet by the string's hash. An anchor whose context came before
-   is a repeat with all its windows. If a string has several contexts, the first text with each is asked for its bytes.
-2. These texts send the suffixes from their anchors on, as sorted, front-coded runs; a loser tree merges the runs of a bucket by what is known of common prefixes, and yields what neighbours have in
-   common. A window that begins l bytes before its anchor equals an earlier one if the suffixes have 100 - l bytes in common and the l bytes before are equal.
+1. Each task lists its anchors: hash of the string, hash of the context (all bytes of the windows that the anchor stands for), place. Of anchors with equal contexts a task sends the first; the later ones are
+   repeats with all their windows. What is sent meets by the string's hash, which only tells the strings that come once: these repeat nothing. All others are asked for their bytes.
+2. Their texts send the suffixes from the anchors on, as sorted, front-coded runs; a loser tree merges the runs of a bucket by what is known of common prefixes (equal suffixes are its cheapest case), and yields what
+   neighbours have in common. A window that begins l bytes before its anchor equals an earlier one if the suffixes have 100 - l bytes in common and the l bytes before are equal.
 3. What is found goes home to its text and is cut out.
 
-A string with more contexts than HOT is compared by hashes of its single windows instead, which spread over all buckets.
+A string that comes from more than HOT tasks' runs is compared by hashes of its single windows instead, which spread over all buckets.
 """
 
 from __future__ import annotations
@@ -157,15 +157,12 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
                 yield from spread(runs, *runs.columns(), 0, 2)
         yield from spread(runs, *runs.columns(), 0, 2)
 
-    def compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_bucket(batches):
             known, columns = join_runs(rows.column(2).to_pylist(), ANCHOR)
-            first, later = later_ones(known, columns, 2)
-            yield spans_home(known, columns, later, 0)
-            ones = [c[first] for c in columns]
-            _, back, n = np.unique(ones[1], return_inverse=True, return_counts=True)
+            _, back, n = np.unique(columns[1], return_inverse=True, return_counts=True)
             ask = n[back] > 1
-            text, h, _, place, before, more = (c[ask] for c in ones)
+            text, h, _, place, before, more = (c[ask] for c in columns)
             hot = (n[back][ask] > HOT).astype(np.uint8)
             yield run_batch(cut_runs(known, [text, place, before, more, h, hot], known[2][text]), ASKED)
 
@@ -273,7 +270,7 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
 
     listed = texts.mapInArrow(list_anchors, RUN_SCHEMA)
     # Written, as two later steps read it: the questions, and the repeats that are known by then.
-    met = written(to_buckets(listed, buckets).mapInArrow(only_kind(0, compare_contexts), RUN_SCHEMA), "anchors")
+    met = written(to_buckets(listed, buckets).mapInArrow(only_kind(0, ask_repeated), RUN_SCHEMA), "anchors")
     asked = bring_home(texts, met.where(f"kind = {ASKED}"), homes).mapInArrow(send_suffixes, RUN_SCHEMA)
     merged = to_buckets(asked, buckets).mapInArrow(only_kind(ASKED, merge), RUN_SCHEMA).mapInArrow(only_kind(HASHED, compare_windows), RUN_SCHEMA)
     spans = met.where(f"kind = {SPAN}").unionByName(merged)
