@@ -31,7 +31,7 @@ PART, PLACE_BITS = 1 << 19, 20
 HOT = 50_000
 _BYTE2 = tb.mix(tb.BYTE)
 #: hash of the string, hash of the context, place of the anchor, bytes before it, windows less one.
-ANCHOR = (np.uint64, np.uint64, np.uint32, np.uint8, np.uint8)
+ANCHOR, SENT = (np.uint64, np.uint64, np.uint32, np.uint8, np.uint8), (np.uint64, np.uint32, np.uint8, np.uint8)
 SPAN, ASKED, HASHED = 1, 2, 3
 SPAN_KINDS = (np.uint32, np.uint32)
 ASKED_KINDS = (np.uint32, np.uint8, np.uint8, np.uint64, np.uint8)
@@ -130,13 +130,15 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     size, part = text_bytes(docs), PART
-    homes, buckets = bucket_count(spark, size), bucket_count(spark, size * 30 * 2 / SPREAD)
+    homes, buckets = bucket_count(spark, size), bucket_count(spark, size * 2.5)
     texts = with_homes(docs, homes).select("doc_id", "text", "of", "home")
 
     def spread(runs: Runs, known: np.ndarray, columns: list[np.ndarray], kind: int, n_keys: int) -> Iterator[pa.RecordBatch]:
         """Firsts of each key to its bucket, later ones home with their spans."""
         first, later = later_ones(known, columns, n_keys)
-        yield run_batch(cut_runs(known, [c[first] for c in columns], (columns[1][first] % tb.U64(buckets)).astype(np.int64)), kind)
+        # Anchors go without the hash of their context: bytes decide from here on.
+        sent = [c[first] for c in (columns if kind == HASHED else columns[:2] + columns[3:])]
+        yield run_batch(cut_runs(known, sent, (sent[1] % tb.U64(buckets)).astype(np.int64)), kind)
         yield spans_home(known, columns, later, kind)
         runs.clear()
 
@@ -159,10 +161,10 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
 
     def ask_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_bucket(batches):
-            known, columns = join_runs(rows.column(2).to_pylist(), ANCHOR)
+            known, columns = join_runs(rows.column(2).to_pylist(), SENT)
             _, back, n = np.unique(columns[1], return_inverse=True, return_counts=True)
             ask = n[back] > 1
-            text, h, _, place, before, more = (c[ask] for c in columns)
+            text, h, place, before, more = (c[ask] for c in columns)
             hot = (n[back][ask] > HOT).astype(np.uint8)
             yield run_batch(cut_runs(known, [text, place, before, more, h, hot], known[2][text]), ASKED)
 
@@ -208,7 +210,7 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
                     else:
                         ahead = raw[place - before : place][::-1]
                         found.append((raw[place : place - before + more + WINDOW], len(known) - 1, place, before, before - more, h, ahead.ljust(SPREAD - 1, b"\0")))
-            if len(found) > 200_000:
+            if len(found) > 100_000:
                 yield from flush()
             if windows.full:
                 yield from spread(windows, *windows.columns(), HASHED, 2)
