@@ -1,6 +1,6 @@
 """Exact dedup of 100-byte strings by a distributed, common-prefix-aware merge sort of suffixes.
 
-Sorting all suffixes of all texts would move each byte a hundred times. A sample decides as well: of every 100-byte window the 32-byte string in it with the
+Sorting all suffixes of all texts would move each byte a hundred times. A sample decides as well: of every 100-byte window the 16-byte string in it with the
 smallest hash is its anchor, so equal windows have their anchors at the same place, and only suffixes that begin at anchors need comparing.
 
 1. Each task lists its anchors: hash of the string, hash of the context (all bytes of the windows that the anchor stands for), place. Of anchors with equal contexts a task sends the first; the later ones are
@@ -24,17 +24,17 @@ from lodestone.llm import textbytes as tb
 from lodestone.llm.exchange import RUN_SCHEMA, Places, Runs, bring_home, bucket_count, by_bucket, cut_runs, homecoming, join_runs, later_ones, only_kind, pack, run_batch, text_bytes, to_buckets, tune, unpack, with_homes, written
 from lodestone.llm.suffixes import LoserTree, front_code, front_decode
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM = 100, 16
 SPREAD = WINDOW - GRAM + 1
 #: Bytes of text that are looked at together; the low bits of a key hold the place in them.
 PART, PLACE_BITS = 1 << 19, 20
 HOT = 50_000
 _BYTE2 = tb.mix(tb.BYTE)
 #: hash of the string, hash of the context, place of the anchor, bytes before it, windows less one.
-ANCHOR, SENT = (np.uint64, np.uint64, np.uint32, np.uint8, np.uint8), (np.uint64, np.uint32, np.uint8, np.uint8)
+ANCHOR, SENT = (np.uint64, np.uint64, np.uint32, np.uint8, np.uint8), (np.uint32, np.uint32, np.uint8, np.uint8)
 SPAN, ASKED, HASHED = 1, 2, 3
 SPAN_KINDS = (np.uint32, np.uint32)
-ASKED_KINDS = (np.uint32, np.uint8, np.uint8, np.uint64, np.uint8)
+ASKED_KINDS = (np.uint32, np.uint8, np.uint8, np.uint32, np.uint8)
 
 
 def parts(column: pa.Array, part: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
@@ -136,9 +136,12 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     def spread(runs: Runs, known: np.ndarray, columns: list[np.ndarray], kind: int, n_keys: int) -> Iterator[pa.RecordBatch]:
         """Firsts of each key to its bucket, later ones home with their spans."""
         first, later = later_ones(known, columns, n_keys)
-        # Anchors go without the hash of their context: bytes decide from here on.
-        sent = [c[first] for c in (columns if kind == HASHED else columns[:2] + columns[3:])]
-        yield run_batch(cut_runs(known, sent, (sent[1] % tb.U64(buckets)).astype(np.int64)), kind)
+        sent = [c[first] for c in columns]
+        bucket = (sent[1] % tb.U64(buckets)).astype(np.int64)
+        if kind != HASHED:
+            # Of an anchor's hash what its bucket does not tell, and no context: bytes decide from here on.
+            sent = [sent[0], (sent[1] // tb.U64(buckets)).astype(np.uint32), *sent[3:]]
+        yield run_batch(cut_runs(known, sent, bucket), kind)
         yield spans_home(known, columns, later, kind)
         runs.clear()
 
@@ -164,9 +167,10 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
             known, columns = join_runs(rows.column(2).to_pylist(), SENT)
             _, back, n = np.unique(columns[1], return_inverse=True, return_counts=True)
             ask = n[back] > 1
-            text, h, place, before, more = (c[ask] for c in columns)
+            text, _, place, before, more = (c[ask] for c in columns)
             hot = (n[back][ask] > HOT).astype(np.uint8)
-            yield run_batch(cut_runs(known, [text, place, before, more, h, hot], known[2][text]), ASKED)
+            bucket = np.full(len(text), rows.column(0)[0].as_py(), np.uint32)
+            yield run_batch(cut_runs(known, [text, place, before, more, bucket, hot], known[2][text]), ASKED)
 
     def send_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, asked = None, Places([], ())
@@ -177,7 +181,7 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             found.sort()
             table = np.array(known, np.int64).reshape(-1, 3).T
-            bucket = np.array([f[5] % buckets for f in found], np.int64)
+            bucket = np.array([f[5] for f in found], np.int64)
             out = []
             for b in np.unique(bucket):
                 run = [found[i] for i in np.flatnonzero(bucket == b)]
@@ -200,7 +204,7 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
                 raw = text_column[i].as_py().encode()
                 home = batch.column(0)[i].as_py()
                 known.append((int(doc[i]), int(of[i]), home))
-                for place, before, more, h, hot in zip(*(c.tolist() for c in mine), strict=True):
+                for place, before, more, bucket, hot in zip(*(c.tolist() for c in mine), strict=True):
                     if hot:
                         data = np.frombuffer(raw, np.uint8, more + WINDOW, place - before)
                         start = np.arange(more + 1)
@@ -209,7 +213,7 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
                         windows.add(np.full(more + 1, text), two, tb.mix(two ^ contexts(data[::-1], more - start, more - start + WINDOW)), place - before + start)
                     else:
                         ahead = raw[place - before : place][::-1]
-                        found.append((raw[place : place - before + more + WINDOW], len(known) - 1, place, before, before - more, h, ahead.ljust(SPREAD - 1, b"\0")))
+                        found.append((raw[place : place - before + more + WINDOW], len(known) - 1, place, before, before - more, bucket, ahead.ljust(SPREAD - 1, b"\0")))
             if len(found) > 100_000:
                 yield from flush()
             if windows.full:
