@@ -1,6 +1,6 @@
 """Exact dedup of 100-byte strings by a distributed, common-prefix-aware merge sort of suffixes.
 
-Sorting all suffixes of all texts would move each byte a hundred times. A sample decides as well: of every 100-byte window the 16-byte string in it with the
+Sorting all suffixes of all texts would move each byte a hundred times. A sample decides as well: of every 100-byte window the 32-byte string in it with the
 smallest hash is its anchor, so equal windows have their anchors at the same place, and only suffixes that begin at anchors need comparing.
 
 1. Each task lists its anchors: hash of the string, hash of the context (all bytes of the windows that the anchor stands for), place. Of anchors with equal contexts a task sends the first; the later ones are
@@ -24,7 +24,7 @@ from lodestone.llm import textbytes as tb
 from lodestone.llm.exchange import RUN_SCHEMA, Places, Runs, bring_home, bucket_count, by_bucket, cut_runs, homecoming, join_runs, later_ones, only_kind, pack, run_batch, text_bytes, to_buckets, tune, unpack, with_homes, written
 from lodestone.llm.suffixes import LoserTree, front_code, front_decode
 
-WINDOW, GRAM = 100, 16
+WINDOW, GRAM = 100, 32
 SPREAD = WINDOW - GRAM + 1
 #: Bytes of text that are looked at together; the low bits of a key hold the place in them.
 PART, PLACE_BITS = 1 << 19, 20
@@ -130,7 +130,7 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     size, part = text_bytes(docs), PART
-    homes, buckets = bucket_count(spark, size), bucket_count(spark, size * 2.5)
+    homes, buckets = bucket_count(spark, size), bucket_count(spark, size * 1.5)
     texts = with_homes(docs, homes).select("doc_id", "text", "of", "home")
 
     def spread(runs: Runs, known: np.ndarray, columns: list[np.ndarray], kind: int, n_keys: int) -> Iterator[pa.RecordBatch]:
@@ -279,5 +279,6 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     met = written(to_buckets(listed, buckets).mapInArrow(only_kind(0, ask_repeated), RUN_SCHEMA), "anchors")
     asked = bring_home(texts, met.where(f"kind = {ASKED}"), homes).mapInArrow(send_suffixes, RUN_SCHEMA)
     merged = to_buckets(asked, buckets).mapInArrow(only_kind(ASKED, merge), RUN_SCHEMA).mapInArrow(only_kind(HASHED, compare_windows), RUN_SCHEMA)
-    spans = met.where(f"kind = {SPAN}").unionByName(merged)
+    # Written, so that what the merge shuffled can go before the texts move once more.
+    spans = met.where(f"kind = {SPAN}").unionByName(written(merged, "spans"))
     return bring_home(texts, spans, homes).mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
