@@ -66,6 +66,11 @@ def clean(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = ()) -
         _tables.remove(name)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver's JVM look for shuffles that no plan refers to any more: Spark then deletes their files on the executors, which it else does at some later collection."""
+    spark._jvm.System.gc()
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm import textbytes as tb
-from lodestone.llm.exchange import RUN_SCHEMA, Places, Runs, bring_home, bucket_count, by_bucket, cut_runs, homecoming, join_runs, later_ones, only_kind, pack, run_batch, text_bytes, to_buckets, tune, unpack, with_homes, written
+from lodestone.llm.exchange import RUN_SCHEMA, Places, Runs, bring_home, bucket_count, by_bucket, cut_runs, free_shuffles, homecoming, join_runs, later_ones, only_kind, pack, run_batch, text_bytes, to_buckets, tune, unpack, with_homes, written
 from lodestone.llm.suffixes import LoserTree, front_code, front_decode
 
 WINDOW, GRAM = 100, 32
@@ -130,7 +130,7 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     size, part = text_bytes(docs), PART
-    homes, buckets = bucket_count(spark, size), bucket_count(spark, size * 1.5)
+    homes, buckets = bucket_count(spark, size), bucket_count(spark, size * 2)
     texts = with_homes(docs, homes).select("doc_id", "text", "of", "home")
 
     def spread(runs: Runs, known: np.ndarray, columns: list[np.ndarray], kind: int, n_keys: int) -> Iterator[pa.RecordBatch]:
@@ -281,4 +281,5 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     merged = to_buckets(asked, buckets).mapInArrow(only_kind(ASKED, merge), RUN_SCHEMA).mapInArrow(only_kind(HASHED, compare_windows), RUN_SCHEMA)
     # Written, so that what the merge shuffled can go before the texts move once more.
     spans = met.where(f"kind = {SPAN}").unionByName(written(merged, "spans"))
+    free_shuffles(spark)
     return bring_home(texts, spans, homes).mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
