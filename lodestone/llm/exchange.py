@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -67,7 +68,8 @@ def clean(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = ()) -
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Have the driver's JVM look for shuffles that no plan refers to any more: Spark then deletes their files on the executors, which it else does at some later collection."""
+    """Have Python and the driver's JVM look for plans that nothing refers to any more: Spark then deletes their shuffles' files on the executors, which it else does at some later collection."""
+    gc.collect()
     spark._jvm.System.gc()
 
 
