@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -69,8 +70,11 @@ def clean(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = ()) -
 
 def free_shuffles(spark: SparkSession) -> None:
     """Have Python and the driver's JVM look for plans that nothing refers to any more: Spark then deletes their shuffles' files on the executors, which it else does at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        # The bridge to the JVM lets go of collected objects in a thread of its own, and plans go only after what holds them.
+        gc.collect()
+        time.sleep(0.3)
+        spark._jvm.System.gc()
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
