@@ -130,6 +130,10 @@ def span(cell: Node, name: str) -> int:
     return max(1, int(found[0])) if found else 1
 
 
+#: Columns of a table at most; more are only claimed.
+MAX_COLUMNS = 1000
+
+
 def fill_spans(root: Node) -> None:
     """Cells that span rows or columns are repeated, so that every row has its own. The first row of a part of a table says how many columns it has."""
 
@@ -143,7 +147,7 @@ def fill_spans(root: Node) -> None:
         parts = [[r for r in p.elements() if r.tag == "tr"] for p in table.elements() if p.tag in ("thead", "tbody", "tfoot")] or [[r for r in table.elements() if r.tag == "tr"]]
         for rows in parts:
             cells_of = [[c for c in r.elements() if c.tag in ("td", "th")] for r in rows]
-            width = sum(span(c, "colspan") for c in cells_of[0]) if rows else 0
+            width = min(sum(span(c, "colspan") for c in cells_of[0]), MAX_COLUMNS) if rows else 0
             grid: dict[tuple[int, int], Node] = {}
             for y, cells in enumerate(cells_of):
                 waiting = iter(cells)
@@ -154,8 +158,9 @@ def fill_spans(root: Node) -> None:
                         continue
                     if (cell := next(waiting, None)) is None:
                         break
-                    for dx in range(span(cell, "colspan")):
-                        for dy in range(span(cell, "rowspan")):
+                    # A cell fills no more than the rows and columns that are there, whatever it claims.
+                    for dx in range(min(span(cell, "colspan"), width - x)):
+                        for dy in range(min(span(cell, "rowspan"), len(rows) - y)):
                             grid[y + dy, x + dx] = alone(cell)
                     x += span(cell, "colspan")
             for y, row in enumerate(rows):

@@ -12,22 +12,28 @@ from pyspark.sql import functions as F
 from lodestone.functions import markdown, social, urls
 from lodestone.functions.dom import Node, parse
 from lodestone.operators.articles import Article, article_pages, frontmatter, transcript
+from lodestone.sources.shared import written
 
 MAX_HOPS = 100
 PAGE = "page_id long, url string, source_type string, title string, markdown string, failed boolean"
 
 
 def chains(posts: DataFrame, tails: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """posts (id, parent_id, json), tails (id) -> (tail, chain: json from the root on, complete). A chain is not complete if a parent is missing or it is longer than max_hops."""
-    spark = posts.sparkSession
-    posts.createOrReplaceTempView("lodestone_posts")
-    tails.select("id").distinct().createOrReplaceTempView("lodestone_tails")
-    walked = spark.sql(f"""
-        with recursive r(tail, parent_id, json, hop) as (
-          select p.id, p.parent_id, p.json, 1 from lodestone_posts p join lodestone_tails t on p.id = t.id
-          union all
-          select r.tail, p.parent_id, p.json, r.hop + 1 from r join lodestone_posts p on p.id = r.parent_id where r.hop < {max_hops})
-        select * from r""")
+    """posts (id, parent_id, json), tails (id) -> (tail, chain: json from the root on, complete). A chain is not complete if a parent is missing or it is longer than max_hops.
+
+    Pointers are doubled: after k rounds each tail has its posts up to 2**k hops back, and each post knows the one 2**k hops above it. Each round is written, so plans stay short.
+    """
+    above = posts.where("parent_id is not null").select("id", F.col("parent_id").alias("up"))
+    met = tails.select(F.col("id").alias("tail")).distinct().select("tail", F.col("tail").alias("at"), F.lit(0).alias("hop"))
+    step = 1
+    while step < max_hops:
+        further = met.join(above, F.col("at") == F.col("id")).select("tail", F.col("up").alias("at"), (F.col("hop") + step).alias("hop")).where(F.col("hop") < max_hops)
+        met = written(met.unionByName(further), "hops")
+        step *= 2
+        if step < max_hops:
+            far = above.select(F.col("id").alias("mid"), F.col("up").alias("top"))
+            above = written(above.join(far, F.col("up") == F.col("mid")).select("id", F.col("top").alias("up")), "above")
+    walked = met.join(posts.select("id", "parent_id", "json"), F.col("at") == F.col("id"))
     grouped = walked.groupBy("tail").agg(F.array_sort(F.collect_list(F.struct((-F.col("hop")).alias("hop"), "json", "parent_id"))).alias("c"))
     return grouped.select("tail", F.transform("c", lambda x: x["json"]).alias("chain"), F.col("c")[0]["parent_id"].isNull().alias("complete"))
 

@@ -328,8 +328,7 @@ select id, -(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * size / mean)) + ib * b * 2
 
 
 def found(v: Vault) -> DataFrame:
-    docs = documents(v)
-    return S.search(S.postings(docs), S.lengths(docs), WORDS)
+    return S.search(*S.build_index(documents(v)), WORDS)
 
 
 @query(f"select id, round(score, 6) as score from ({FOUND})")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.identity import casefold
 from lodestone.operators.refs import parse_refs
+from lodestone.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -25,8 +26,8 @@ class Vault:
 
     @cached_property
     def refs(self) -> DataFrame:
-        """References as indexed, or else read from the Markdown."""
-        return self.known_refs if self.known_refs is not None else parse_refs(self.markdown)
+        """References as indexed, or else read from the Markdown: once, into the shared folder, however often a query asks for them."""
+        return self.known_refs if self.known_refs is not None else written(parse_refs(self.markdown), "refs")
 
     def with_(self, **changes: DataFrame) -> Vault:
         return replace(self, **changes)

@@ -16,3 +16,12 @@ def test_by_source(spark):
     assert "may be incomplete" in got[2].markdown and "may be incomplete" not in got[1].markdown
     assert got[4].markdown.endswith("hello\n\nthere\n") and "author: Chan" in got[4].markdown
     assert got[6].source_type == "substack" and LONG.strip() in got[6].markdown
+
+
+def test_long_chains(spark):
+    """Chains of up to a hundred posts are complete, longer ones are cut at their root's end."""
+    posts = spark.range(300).selectExpr("cast(id as string) as id", "case when id % 150 > 0 then cast(id - 1 as string) end as parent_id", "cast(id as string) as json")
+    got = {r.tail: r for r in ingest.chains(posts, spark.createDataFrame([(str(i),) for i in (0, 99, 100, 149, 151, 777)], "id string")).collect()}
+    assert [int(x) for x in got["99"].chain] == list(range(100)) and got["99"].complete
+    assert [int(x) for x in got["149"].chain] == list(range(50, 150)) and not got["149"].complete and not got["100"].complete
+    assert got["151"].chain == ["150", "151"] and got["0"].chain == ["0"] and "777" not in got
