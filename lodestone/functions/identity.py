@@ -46,9 +46,16 @@ def casefold(text: Column) -> Column:
     return _beyond_ascii(text, F.lower(text), _casefold)
 
 
+#: Latin letters up to U+024F that are one small letter with marks, and that letter: by the rule that the Python fold has, so that these texts need no Python. I with a dot (U+0130) has no small letter of its own.
+LATIN_ONLY = r"^[\x00-\u012F\u0131-\u024F]*$"
+_marked = {c: parts[0] for c in map(chr, range(0xC0, 0x250)) if len(parts := unicodedata.normalize("NFD", c)) > 1 and all(map(unicodedata.combining, parts[1:])) and c == c.lower()}
+MARKED, PLAIN = "".join(_marked), "".join(_marked.values())
+
+
 def fold_diacritics(text: Column) -> Column:
     """Lower case without diacritics, as the search index sees a text."""
-    return _beyond_ascii(text, F.lower(text), _fold_diacritics)
+    latin = text.rlike(LATIN_ONLY)
+    return F.when(latin, F.translate(F.lower(text), MARKED, PLAIN)).otherwise(_fold_diacritics(F.when(~latin, text)))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -328,7 +328,7 @@ select id, -(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * size / mean)) + ib * b * 2
 
 
 def found(v: Vault) -> DataFrame:
-    return S.search(*S.build_index(documents(v)), WORDS)
+    return S.search(*S.build_index(documents(v), only=WORDS), WORDS)
 
 
 @query(f"select id, round(score, 6) as score from ({FOUND})")

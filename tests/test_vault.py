@@ -199,3 +199,16 @@ def test_link_candidates_of_many_results(spark):
     pages[focus - 1] = ("me", " ".join(f"[[p{i}]]" for i in others if i < n), [])
     v = vault(spark, pages)
     assert rows(Q.link_candidates(v)) == [(k + 1, n + k) for k in range(8)]
+
+
+def test_fold_of_all_latin_letters(spark):
+    """The fold in the JVM is the one in Python, for every letter."""
+    import unicodedata
+
+    from lodestone.functions.identity import fold_diacritics
+
+    letters = [chr(c) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000]
+    frame = spark.createDataFrame([(c, f"x{c}Y") for c in letters] + [("", "Ünïcödé ÀÉ ß 日本 é"), (None, None)], "c string, t string")
+    plain = lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
+    got = frame.select("t", fold_diacritics(F.col("t")).alias("f")).collect()
+    assert [r.t for r in got if r.f != plain(r.t)] == []
