@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity, urls
@@ -202,9 +202,25 @@ def outgoing_links(v: Vault) -> DataFrame:
     return L.outgoing_links(v, FOCUS).groupBy("is_hashtag", "target_id", "target_title").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ranked(rows: DataFrame, *columns: str) -> DataFrame:
+    """The order that rows have, as a column; for the few rows of one entry."""
+    return rows.withColumn("at", F.monotonically_increasing_id()).select(F.row_number().over(Window.orderBy("at")).alias("rank"), *columns)
+
+
+@query(f"""select row_number() over (order by s.title, r.source_id) as rank, r.source_id, s.title as source_title from v_refs r join v_entries e on e.id = {FOCUS}
+ and ((not r.is_hashtag and r.target_text = lower(e.title)) or (r.is_hashtag and r.target_text = {TITLE_KEY.format('e.title')})) join v_entries s on s.id = r.source_id where r.source_id <> {FOCUS}""")
+def backlinks_order(v: Vault) -> DataFrame:
+    return ranked(L.backlinks(v, FOCUS), "source_id", "source_title")
+
+
 LINKED = 21
 
 
+@query(f"select row_number() over (order by lower(e.title), i.target_id) as rank, i.target_id from v_refs r join v_index i on i.h = r.is_hashtag and i.key = r.target_text join v_entries e on e.id = i.target_id where r.source_id = {LINKED} and i.target_id <> {LINKED}")
+def outgoing_order(v: Vault) -> DataFrame:
+    return ranked(L.outgoing_links(v, LINKED), "target_id")
+
+
 @query(rf"""with l as (select regexp_extract(markdown, '\nlinked: \["(.*)"\]\n---\n', 1) as t from v_markdown where entry_id = {LINKED}), f as (select translate(title, '{identity.UPPER}', '{identity.LOWER}') as key, min(id) as id from v_entries group by 1)
 select 0 as ordinal, f.id, e.title from l join f on f.key = translate(l.t, '{identity.UPPER}', '{identity.LOWER}') join v_entries e on e.id = f.id""")
 def linked_entries(v: Vault) -> DataFrame:
@@ -231,9 +247,9 @@ def connection_total(v: Vault) -> DataFrame:
     return L.connection_total(v, FOCUS)
 
 
-@query(f"select t.name, t.normalized as key, count(m.entry_id) as n from v_tags t left join v_members m on m.key = t.normalized where t.name in (select name from v_tag_raw where entry_id = {FOCUS}) group by 1, 2")
+@query(f"select t.name, t.normalized as key, count(m.entry_id) as n from v_tags t left join v_members m on m.key = t.normalized where t.name in (select name from v_tag_raw where entry_id = {LINKED}) group by 1, 2")
 def tags_of_entry(v: Vault) -> DataFrame:
-    return T.tags_of_entry(v, FOCUS)
+    return T.tags_of_entry(v, LINKED)
 
 
 @query(r"select entry_id, nullif(regexp_extract(markdown, '^---\ntitle: \"(.*)\"\n', 1), '') as title, length(regexp_replace(markdown, '^---\n[\s\S]*?\n---\n', '')) as chars from v_markdown")
@@ -449,6 +465,86 @@ def delete_tag(v: Vault) -> DataFrame:
     return after(M.delete_tag(v, "DE"))
 
 
+#: Any case of a tag where it stands as a live hashtag in the vault's texts.
+LIVE = r"(^|\s)#({0})(\s|$)"
+NOW = "2024-02-01 10:00:00"
+
+
+def texts_and_tags(v: Vault) -> DataFrame:
+    return v.markdown.join(v.entries, F.col("entry_id") == F.col("id")).select("entry_id", F.md5("markdown").alias("digest"), F.array_join("tags", ",").alias("tags"))
+
+
+@query(rf"""select m.entry_id, md5(regexp_replace(markdown, '{LIVE.format("[eE][nN]")}', '\1#' || n.name || '\3', 'g')) as digest,
+ coalesce((select string_agg(distinct case when lower(r.name) = 'en' then n.name else r.name end, ',' order by case when lower(r.name) = 'en' then n.name else r.name end) from v_tag_raw r where r.entry_id = m.entry_id), '') as tags
+ from v_markdown m, (select name from v_tags where normalized = 'fr') n""")
+def rename_tag_texts(v: Vault) -> DataFrame:
+    out = M.rename_tag(v, "en", "FR", merge=True)
+    return texts_and_tags(out.with_(entries=out.entries.withColumn("tags", F.array_sort("tags"))))
+
+
+@query(rf"""select m.entry_id, md5(regexp_replace(markdown, '{LIVE.format("[dD][eE]")}', '\1`#\2`\3', 'g')) as digest,
+ coalesce((select string_agg(r.name, ',' order by r.name) from v_tag_raw r where r.entry_id = m.entry_id and lower(r.name) <> 'de'), '') as tags from v_markdown m""")
+def delete_tag_texts(v: Vault) -> DataFrame:
+    return texts_and_tags(M.delete_tag(v, "DE"))
+
+
+@query("""select id, title, url, status from v_entries union all select (select max(id) + 1 from v_entries), 'A new page', 'https://new.example.org/', 'unread'""")
+def add_entry(v: Vault) -> DataFrame:
+    out = M.add_entry(v, {"title": "A new page", "url": "https://new.example.org/", "source_type": "article"}, "# A new page")
+    return out.entries.select("id", "title", "url", "status")
+
+
+@query(f"select id, case when id = {FOCUS} then 'read' else status end as status, case when id = {FOCUS} then timestamp '{NOW}' else read_at end as read_at, case when id = {FOCUS} then timestamp '{NOW}' else created_at end as updated_at from v_entries")
+def update_status(v: Vault) -> DataFrame:
+    return M.update_status(v, FOCUS, "read", NOW).entries.select("id", "status", "read_at", "updated_at")
+
+
+FLAGS_SQL = "array_to_string(list_filter([case when is_bookmark then 'bookmark' end, case when is_gem then 'gem' end, case when is_archive then 'archive' end], lambda x: x is not null), ',')"
+
+
+@query(f"select id, case when id = {FOCUS} then 'gem,archive' else {FLAGS_SQL} end as flags from v_entries")
+def update_flags(v: Vault) -> DataFrame:
+    return M.update_flags(v, FOCUS, ["gem", "archive"]).entries.select("id", F.array_join("flags", ",").alias("flags"))
+
+
+@query(f"select e.entry_id, e.key, t.name from v_entry_tags e join v_tags t on t.normalized = e.key where e.entry_id <> {FOCUS} union all select {FOCUS}, normalized, name from v_tags where normalized = 'en' union all select {FOCUS}, 'zebra', 'Zebra'")
+def update_tags(v: Vault) -> DataFrame:
+    out = M.update_tags(v, FOCUS, ["Zebra", "eN", "zebra"])
+    return T.structural(out).join(out.tags.select(F.col("normalized").alias("key"), "name"), "key").select("entry_id", "key", "name")
+
+
+@query("select name, normalized from v_tags union all select 'Brand-New', 'brand-new'")
+def create_tag(v: Vault) -> DataFrame:
+    return M.create_tag(M.create_tag(v, "Brand-New")[0], "EN")[0].tags.select("name", "normalized")
+
+
+@query(f"select m.entry_id, m.key, (select count(*) from v_entries) - 1 as entries from v_members m where m.entry_id <> {FOCUS}")
+def hard_delete(v: Vault) -> DataFrame:
+    out = M.hard_delete(v, FOCUS)
+    return T.members(out).select("entry_id", "key", out.entries.agg(F.count(F.lit(1))).scalar().alias("entries"))
+
+
+@query("select source_id, target_text, is_hashtag, count(*) as n from v_refs where source_id % 50 <> 0 group by all union all select id, 'anew', true, 1 from v_entries where id % 50 = 0 union all select id, 'some page', false, 2 from v_entries where id % 50 = 0 union all select id, '', false, 1 from v_entries where id % 50 = 0")
+def index_refs(v: Vault) -> DataFrame:
+    changed = v.markdown.where("entry_id % 50 = 0").withColumn("markdown", F.lit("#Anew [[Some Page]]\n\n[[some page|x]] `#not` [[ ]]"))
+    return M.index_refs(v, changed).groupBy("source_id", "target_text", "is_hashtag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"""with t as (select entry_id, nullif(regexp_extract(markdown, '\nlinked: \["(.*)"\]\n---\n', 1), '') as l from v_markdown)
+select t.entry_id, trim(coalesce(l, '') || '|' || case t.entry_id when {LINKED} then (select title from v_entries where id = {FOCUS}) when {FOCUS} then (select title from v_entries where id = {LINKED}) else '' end, '|') as linked from t where t.entry_id in ({LINKED}, {FOCUS}, {LINKED + 5})""")
+def set_link(v: Vault) -> DataFrame:
+    texts = M.set_link(v, LINKED, FOCUS).markdown.where(F.col("entry_id").isin(LINKED, FOCUS, LINKED + 5))
+    return texts.select("entry_id", F.array_join(R.frontmatter_links("markdown"), "|").alias("linked"))
+
+
+@query(f"""select e.id, case when e.id = {FOCUS} then 'unread' else e.status end as status, case when e.id = {FOCUS} then 'gem' else {FLAGS_SQL} end as flags,
+ case when e.id = {FOCUS} then md5('A new text.') else md5(m.markdown) end as digest, case when e.id = {FOCUS} then 'other' else coalesce(g.tags, '') end as tags
+ from v_entries e join v_markdown m on m.entry_id = e.id left join v_typed g on g.entry_id = e.id""")
+def patch_entry(v: Vault) -> DataFrame:
+    out = M.patch_entry(v, FOCUS, NOW, status="unread", flags=["gem"], tags=["other"], markdown="A new text.")
+    return out.entries.join(out.markdown, F.col("id") == F.col("entry_id")).select("id", "status", F.array_join("flags", ",").alias("flags"), F.md5("markdown").alias("digest"), F.array_join("tags", ",").alias("tags"))
+
+
 THREAD = "select cast(conv_id as varchar) || '/' || turn as id, case when turn > 0 then cast(conv_id as varchar) || '/' || (turn - 1) end as parent_id from conversations"
 
 
