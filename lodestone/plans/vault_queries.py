@@ -586,5 +586,17 @@ def articles(pages: DataFrame) -> DataFrame:
     return A.article_pages(pages, "2024-01-20T12:00:00+00:00")
 
 
-pages_of(lambda pages: articles(pages).select("page_id", "url", "source_type", "title", "low_confidence", "words", "failed"), "extract_article")
+UNESCAPED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
+#: The driver's pages hold one article each, with a heading and paragraphs that are not all closed.
+ARTICLES_SQL = rf"""with u as (select *, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as a, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) as h from pages),
+s as (select *, trim({UNESCAPED.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) as title, {UNESCAPED.format("regexp_replace(a, '<[^>]*>', '', 'g')")} as said,
+ case when h in {urls.YOUTUBE} then 'youtube' when h in {urls.X} then 'x' when h in {urls.SUBSTACK} or h like '%.substack.com' then 'substack' else 'article' end as source_type from u),
+c as (select *, len(list_filter(regexp_split_to_array(said, '\s+'), lambda w: w <> '')) as words, length(trim(said)) < 100 as failed from s)"""
+pages_of(lambda pages: articles(pages).select("page_id", "url", "source_type", "title", "low_confidence", "words", "failed"), "extract_article", rf"""{ARTICLES_SQL}
+select page_id, url, source_type, case when not failed then title end as title, case when not failed then words < 200 end as low_confidence, case when failed then 0 else words end as words, failed from c""")
+LINE_SQL = UNESCAPED.format("regexp_replace({0}, '<[^>]*>', '', 'g')")
+MARKED_SQL = rf"trim(regexp_replace(replace(replace({LINE_SQL}, '*', '\*'), '_', '\_'), '\s+', ' ', 'g'))"
+pages_of(lambda pages: articles(pages).where("not failed").select("page_id", F.md5(F.ltrim(P.without_frontmatter(F.col("markdown")), F.lit("\n"))).alias("digest")), "article_body", rf"""{ARTICLES_SQL},
+p as (select page_id, regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1) as h1, list_filter(regexp_split_to_array(regexp_extract(a, '(?s)</h1>(.*)', 1), '</?p>'), lambda x: x <> '') as ps from c where not failed)
+select page_id, md5('# ' || {MARKED_SQL.format('h1')} || chr(10) || chr(10) || array_to_string(list_transform(ps, lambda x: case when starts_with(x, '<b>') then '**' || {MARKED_SQL.format('x')} || '**' else {MARKED_SQL.format('x')} end), chr(10) || chr(10)) || chr(10)) as digest from p""")
 pages_of(lambda pages: articles(pages).where("not failed").select("page_id", "markdown"), "article_markdown")
