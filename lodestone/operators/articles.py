@@ -13,7 +13,7 @@ import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import clean, markdown, urls
+from lodestone.functions import clean, markdown, social, urls
 from lodestone.functions.dom import Node, link_share, parse, words
 
 # When a page is too thin.
@@ -119,9 +119,11 @@ def low_confidence(root: Node, text: str) -> bool:
     return words(text) < LEAST_WORDS or tags.count("script") / max(1, len(tags)) > SCRIPT_SHARE
 
 
-def extract(html: str, url: str) -> Article | None:
-    """The article of a page, or None if there is too little of one."""
+def extract(html: str, url: str, tweets: dict[str, str] | None = None) -> Article | None:
+    """The article of a page, or None if there is too little of one. With tweets (id -> JSON) embedded ones are put in their places."""
     root = parse(html)
+    if tweets is not None:
+        social.resolve_embeds(root, lambda i: json.loads(tweets[i]) if i in tweets else None)
     title = meta(root, "og:title", "twitter:title") or (root.first("title").text().strip() if root.first("title") else "")
     said = {"author": meta(root, "author", "article:author"), "description": meta(root, "description", "og:description"), "published": meta(root, "article:published_time", "date")}
     raw = root.copy()
@@ -146,20 +148,35 @@ def frontmatter(article: Article, created_at: str) -> str:
 OUT = "page_id long, url string, source_type string, title string, low_confidence boolean, words long, markdown string, failed boolean"
 
 
-def article_pages(pages: DataFrame, created_at: str) -> DataFrame:
+def embedded_tweets(pages: DataFrame, tweets: DataFrame) -> DataFrame:
+    """pages with `embeds`, the JSON by id of the tweets (id, json) that a page names; null for pages without embeds, which are not shuffled."""
+    may = F.coalesce(F.col("html").contains("twitter-tweet") | F.col("html").contains("Tweet.html"), F.lit(False))
+    some = pages.where(may)
+    named = F.array_distinct(F.concat(F.regexp_extract_all("html", F.lit(r"/status(?:es)?/(\d+)"), 1), F.regexp_extract_all("html", F.lit(r"[?&;]id=(\d+)"), 1)))
+    met = some.select("page_id", F.explode(named).alias("id")).distinct().join(tweets.select("id", "json"), "id")
+    found = met.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("id", "json")))).alias("embeds"))
+    none = F.create_map().cast("map<string,string>")
+    filled = some.join(found.withColumnRenamed("page_id", "of"), F.col("page_id") == F.col("of"), "left").withColumn("embeds", F.coalesce("embeds", none)).drop("of")
+    return pages.where(~may).withColumn("embeds", F.lit(None).cast("map<string,string>")).unionByName(filled)
+
+
+def article_pages(pages: DataFrame, created_at: str, tweets: DataFrame | None = None) -> DataFrame:
     """pages (page_id, url, html) -> one row for each: its article as Markdown with frontmatter; failed where there is none, or the page cannot be read.
 
-    Pages are cut from their Arrow batches one at a time, so a long one needs memory for itself only. Null html has no article.
+    Pages are cut from their Arrow batches one at a time, so a long one needs memory for itself only. Null html has no article. With tweets (id, json: one row for each id) those that a page embeds are shown in it, or as a link if
+    they are not there.
     """
-    rows = pages.select("page_id", "url", urls.source_type(F.coalesce("url", F.lit(""))).alias("source_type"), "html")
+    rows = pages.select("page_id", "url", "html")
+    rows = rows.withColumn("embeds", F.lit(None).cast("map<string,string>")) if tweets is None else embedded_tweets(rows, tweets)
+    rows = rows.select("page_id", "url", urls.source_type(F.coalesce("url", F.lit(""))).alias("source_type"), "html", "embeds")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in OUT.split(", ")]
         for batch in batches:
             out = []
-            for page_id, url, kind, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, kind, html, embeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    found = extract(html or "", url or "")
+                    found = extract(html or "", url or "", None if embeds is None else dict(embeds))
                 except RecursionError:  # nested beyond what a tree can hold
                     found = None
                 if found is None:
