@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import clean, mark, shared_dir, shared_path, written
+
+__all__ = ["clean", "mark", "shared_dir", "shared_path", "written"]
+
 #: Bytes of packed records that one task takes in at a time; with their sort this is some hundred MB.
 BUCKET_BYTES = 12 << 20
 #: Rows in an Arrow batch: with whole texts, some MB.
@@ -25,49 +27,6 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where none is set (a local session), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-#: Tables that this process wrote to shared folders and has not deleted.
-_tables: list[str] = []
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    _tables.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _tables[-1]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: the lineage ends here, and lost executors lose nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def mark() -> int:
-    """How many tables there are by now, for clean()."""
-    return len(_tables)
-
-
-def clean(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = ()) -> None:
-    """Delete the tables written since mark(), but for those that the frames of `keep` read. Only what is materialised elsewhere may go: a lazy result still needs its tables."""
-    held = [f for df in keep for f in df.inputFiles()]
-    names = [t for t in _tables[since:] if not any(f"/{t.rsplit('/', 1)[1]}/" in f for f in held)]
-    for name in names:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _tables.remove(name)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Have Python and the driver's JVM look for plans that nothing refers to any more: Spark then deletes their shuffles' files on the executors, which it else does at some later collection."""
     for _ in range(2):

@@ -5,6 +5,7 @@ from collections import Counter
 import brute
 import corpus_pipeline
 from lodestone.llm import exchange, pieces
+from lodestone.sources import shared
 
 
 def model_of():
@@ -29,9 +30,9 @@ def test_tables_are_deleted(spark):
     exchange.clean(spark, since, keep=[two])
     assert one.schema == two.schema
     paths = [f.split("/part-")[0].removeprefix("file://") for f in two.inputFiles()]
-    assert two.count() == 5 and len(exchange._tables) == since + 1
+    assert two.count() == 5 and len(shared._tables) == since + 1
     exchange.clean(spark, since)
-    assert len(exchange._tables) == since and not any(map(os.path.exists, paths))
+    assert len(shared._tables) == since and not any(map(os.path.exists, paths))
 
 
 def test_stages(spark, tmp_path):
