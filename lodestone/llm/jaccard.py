@@ -33,7 +33,7 @@ CELLS, FRAGMENTS = 1 << 18, 6
 #: Bits of a set's parity sketch.
 SKETCH = 512
 #: Of step 3: partners by sketch and by hash; rows that are looked at together; cells up to this size are paired all at once; members of a group in one block at least; partners of a leader in one task.
-NEAREST, PICKED, CHUNK, SMALL, LARGE, FAMILY = 2, 3, 200_000, 48, 256, 1000
+NEAREST, PICKED, CHUNK, SMALL, LARGE, FAMILY = 2, 3, 200_000, 48, 256, 256
 META, TOKENS, PAIR, MEMBER = 0, 1, 2, 3
 ROW = "bucket int, kind int, run binary, a long, b long, c long, d long, e long"
 PAIRS = "a long, b long, n long, m long, times long"
