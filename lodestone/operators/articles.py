@@ -52,10 +52,10 @@ def score(root: Node) -> dict[int, tuple[float, Node]]:
 
 
 def find_content(root: Node) -> Node:
-    """The element with most points, with those beside it that have a fifth of them or are long paragraphs."""
+    """The element with most points, with those beside it that have a fifth of them or are long paragraphs; without any points, what the page itself calls its article or main part."""
     points = score(root)
     if not points:
-        return root.first("body") or root
+        return next((n for tag in ("article", "main", "body") if (n := root.first(tag)) is not None), root)
     best, top = max(points.values(), key=lambda x: x[0])
     if top.parent is None or not top.parent.tag or top.tag == "body":
         return top
