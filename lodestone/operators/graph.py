@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.links import backlinks, resolved
 from lodestone.operators.tags import members, structural
-from lodestone.sources.shared import clean, mark, written
+from lodestone.sources.shared import scope, written
 from lodestone.sources.vault import Vault
 
 
@@ -114,11 +114,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         to_least = met.where("b > a" if above else "true").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return (to_least if above else to_least.unionByName(least.select("a", F.col("m").alias("b")))).where("a <> b").distinct()
 
-    since = mark()
-    state, now = None, written(simple_edges(edges).select(F.col("b").alias("a"), F.col("a").alias("b")), "edges")
-    while (told := tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())) != state:
-        state, now = told, written(star(star(now, True), False), "edges")
-        clean(now.sparkSession, since, keep=[now])
+    state, spark = None, edges.sparkSession
+    with scope(spark) as tables:
+        now = written(simple_edges(edges).select(F.col("b").alias("a"), F.col("a").alias("b")), "edges")
+        while (told := tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())) != state:
+            state, now = told, written(star(star(now, True), False), "edges")
+            tables.drop(spark, keep=[now])
     return now.select(F.explode(F.array("a", "b")).alias("node_id"), F.col("b").alias("component")).distinct()
 
 

@@ -1,10 +1,15 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share.
+
+A table belongs to the scope that is open where it is written, and only its owner deletes it, so queries that run side by side (in threads of their own) never touch each other's tables.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,14 +25,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Tables that this process wrote to shared folders and has not deleted.
-_tables: list[str] = []
+class Scope:
+    """The tables that a piece of work has written and not deleted."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def drop(self, spark: SparkSession, keep: Sequence[DataFrame] = ()) -> None:
+        """Delete the tables, but for those that the frames of `keep` read. Only what is materialised elsewhere may go: a lazy result still needs its tables."""
+        held = [f for df in keep for f in df.inputFiles()]
+        for name in list(self.paths):
+            if not any(f"/{name.rsplit('/', 1)[1]}/" in f for f in held):
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                self.paths.remove(name)
+
+
+#: What is written outside of any scope, or left by scopes that have ended.
+_left = Scope()
+_open: ContextVar[Scope] = ContextVar("scope")
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """What is written inside belongs to the block. If it fails, all of that is deleted; else what it has not dropped passes to the scope around it, whose lazy results may read it."""
+    outer, mine = _open.get(_left), Scope()
+    token = _open.set(mine)
+    try:
+        yield mine
+    except BaseException:
+        mine.drop(spark)
+        raise
+    finally:
+        _open.reset(token)
+        outer.paths.extend(mine.paths)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    _tables.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _tables[-1]
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _open.get(_left).paths.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,16 +75,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """How many tables there are by now, for clean()."""
-    return len(_tables)
-
-
-def clean(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = ()) -> None:
-    """Delete the tables written since mark(), but for those that the frames of `keep` read. Only what is materialised elsewhere may go: a lazy result still needs its tables."""
-    held = [f for df in keep for f in df.inputFiles()]
-    names = [t for t in _tables[since:] if not any(f"/{t.rsplit('/', 1)[1]}/" in f for f in held)]
-    for name in names:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _tables.remove(name)
+def clean(spark: SparkSession, keep: Sequence[DataFrame] = ()) -> None:
+    """Delete what ended work has left, once no lazy result of this process is read any more; open scopes keep theirs."""
+    _left.drop(spark, keep)
