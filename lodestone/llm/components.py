@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.exchange import clean, mark, written
+from lodestone.llm.exchange import scope, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,13 +28,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     The edges stay on the executors; each round writes them to the shared folder, and ends when a round changes nothing.
     """
-    since, told = mark(), [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    state = tuple(now.agg(*told).first())
-    while True:
-        now = written(_star(_star(now, True), False), "edges")
-        clean(now.sparkSession, since, keep=[now])
-        before, state = state, tuple(now.agg(*told).first())
-        if before == state:
-            break
+    spark, told = edges.sparkSession, [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
+    with scope(spark) as tables:
+        now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        state = tuple(now.agg(*told).first())
+        while True:
+            now = written(_star(_star(now, True), False), "edges")
+            tables.drop(spark, keep=[now])
+            before, state = state, tuple(now.agg(*told).first())
+            if before == state:
+                break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

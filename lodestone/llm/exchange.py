@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.shared import clean, mark, shared_dir, shared_path, written
+from lodestone.sources.shared import clean, scope, shared_dir, shared_path, written
 
-__all__ = ["clean", "mark", "shared_dir", "shared_path", "written"]
+__all__ = ["clean", "scope", "shared_dir", "shared_path", "written"]
 
 #: Bytes of packed records that one task takes in at a time; with their sort this is some hundred MB.
 BUCKET_BYTES = 12 << 20

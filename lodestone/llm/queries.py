@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, chunk_dedup, decontaminate, jaccard, pieces, quality, sharding, suffix_dedup, toxicity, url_filter
+from lodestone.functions.identity import ascii_lower
+from lodestone.llm import chat, chunk_dedup, decontaminate, exact_dedup, infill, jaccard, merkle, pieces, quality, sharding, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +100,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = merkle.leaf_of([ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in LEAF])
+    claim = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, tampered)
+    out = merkle.merkle_manifest(docs, LEAF, "lang", "doc_id", claim).withColumn("folded_root", merkle.fold("claim", "proof"))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 OP3_SQL = r"""
 with p as (
   select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
@@ -154,9 +177,27 @@ from e group by conv_id
 """
 
 
+OP11_SQL = r"""
+with d as (select doc_id, length(coalesce(text, '')) as len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as t from documents),
+g as (select doc_id, t, first_value(doc_id) over (partition by t order by len desc, doc_id) as keep_id, count(*) over (partition by t) as group_size from d)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from g
+"""
+
+OP12_SQL = """
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || cast(doc_id as varchar)) as h from documents),
+e as (select *, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+f as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from e),
+p as (select *, substr(t, 1, a) as prefix, substr(t, a + 1, b - a) as middle, substr(t, b + 1) as suffix from f)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(t) as restored_sha256
+from p
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_pieces": op2_pieces, "op3_url_filter": op3_url_filter, "op6_jaccard": op6_jaccard, "op7_sharding": op7_sharding, "op8_chunk_dedup": op8_chunk_dedup, "op9_chat": op9_chat, "op4_suffix_dedup": op4_suffix_dedup, "op5_decontaminate": op5_decontaminate, "op10_quality": op10_quality}
+    return {"op1_toxicity": op1_toxicity, "op2_pieces": op2_pieces, "op3_url_filter": op3_url_filter, "op6_jaccard": op6_jaccard, "op7_sharding": op7_sharding, "op8_chunk_dedup": op8_chunk_dedup, "op9_chat": op9_chat, "op4_suffix_dedup": op4_suffix_dedup, "op5_decontaminate": op5_decontaminate, "op10_quality": op10_quality, "op11_exact_dedup": op11_exact_dedup, "op12_infill": op12_infill, "op13_merkle": op13_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_jaccard": OP6_SQL, "op9_chat": OP9_SQL}
+    return {"op3_url_filter": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_jaccard": OP6_SQL, "op9_chat": OP9_SQL, "op11_exact_dedup": OP11_SQL, "op12_infill": OP12_SQL}

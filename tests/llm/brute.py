@@ -88,3 +88,75 @@ def repeats(docs, n=100):
         kept = bytes(c for c, g in zip(raw, gone) if not g)
         out.append((doc, len(raw), sum(gone), spans, sha(kept)))
     return out
+
+
+def kept(docs):
+    """docs (doc_id, text), each row by itself -> (doc_id, keep_id, group size, kept, digest)."""
+    groups = {}
+    for i, (doc, text) in enumerate(docs):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text or ""), []).append((-len(text or ""), doc is None, doc or 0, i))
+    out = [None] * len(docs)
+    for key, rows in groups.items():
+        best = min(rows)
+        for row in rows:
+            out[row[3]] = (docs[row[3]][0], docs[best[3]][0], len(rows), row == best, sha(key))
+    return out
+
+
+def infilled(doc, text, seed=1, percent=90, spm_percent=20):
+    text, h = text or "", sha(f"{seed}:{'' if doc is None else doc}")
+    h1, h2, h3, h4 = (int(h[i : i + 8], 16) for i in range(0, 32, 8))
+    n = len(text)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= percent:
+        return n, "plain", None, None, text
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    prefix, middle, suffix = text[:a], text[a:b], text[b:]
+    form = "spm" if h4 % 100 < spm_percent else "psm"
+    return n, form, a, b - a, f"<S>{suffix}<P>{prefix}<M>{middle}" if form == "spm" else f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def tree(nodes):
+    """Levels of a tree, the root's last."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + 8])) for i in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def climb(levels, at, node):
+    """The siblings on the way up, and the top that the node gives."""
+    seen = []
+    for level in levels[:-1]:
+        low = at - at % 8
+        run = level[low : low + 8]
+        seen += [x for i, x in enumerate(run) if low + i != at]
+        node = sha("".join(node if low + i == at else x for i, x in enumerate(run)))
+        at //= 8
+    return seen, node
+
+
+def leaf(*values):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def manifest(docs):
+    """docs (doc_id, source, lang, n_chars, text) -> sorted (doc_id, leaf, subroot, root, proof, folded root)."""
+    import zlib
+
+    groups = {}
+    for d in docs:
+        groups.setdefault(d[2], []).append(d)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    order = {g: sorted(groups[g], key=lambda d: (d[0] is not None, d[0] or 0, leaf(*d))) for g in names}
+    trees = {g: tree([leaf(*d) for d in order[g]]) for g in names}
+    forest = tree([trees[g][-1][0] for g in names]) if names else []
+    out = []
+    for k, g in enumerate(names):
+        for i, d in enumerate(order[g]):
+            claim = trees[g][0][i]
+            if d[0] is not None and zlib.crc32(str(d[0]).encode()) % 3 == 0:
+                claim = leaf(*d[:4], None if d[4] is None else lower(d[4]))
+            inside, top = climb(trees[g], i, claim)
+            outside, root = climb(forest, k, top)
+            out.append((d[0], trees[g][0][i], trees[g][-1][0], forest[-1][0], sha("".join(inside + outside)), root))
+    return sorted(out, key=repr)

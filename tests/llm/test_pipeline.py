@@ -4,7 +4,7 @@ from collections import Counter
 
 import brute
 import corpus_pipeline
-from lodestone.llm import exchange, pieces
+from lodestone.llm import pieces
 from lodestone.sources import shared
 
 
@@ -24,15 +24,33 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_tables_are_deleted(spark):
-    since = exchange.mark()
-    one, two = (exchange.written(spark.range(5), f"t{i}") for i in range(2))
-    exchange.clean(spark, since, keep=[two])
-    assert one.schema == two.schema
-    paths = [f.split("/part-")[0].removeprefix("file://") for f in two.inputFiles()]
-    assert two.count() == 5 and len(shared._tables) == since + 1
-    exchange.clean(spark, since)
-    assert len(shared._tables) == since and not any(map(os.path.exists, paths))
+def test_each_text_of_an_id_is_judged_by_itself(spark):
+    words = [f"w{i}" for i in range(400)]
+    text = lambda a, n=60: " ".join(words[a : a + n])
+    docs = [(1, text(0), "en", "s", 1), (5, text(0), "en", "s", 1), (5, text(100), "en", "s", 1), (7, text(200), "en", "s", 1), (None, text(200), "en", "s", 1), (None, text(300), "en", "s", 1), (5, text(100), "en", "s", 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, frame, "").collect()), key=repr)
+    assert got == sorted([(1, text(0)), (5, text(100)), (7, text(200)), (None, text(300))], key=repr)
+
+
+def test_a_remainder_of_white_space_goes(spark):
+    passage = " ".join(f"word{i * 7919 % 1000}" for i in range(80))
+    docs = [(1, passage, "en", "s", 1), (2, f"{passage}", "en", "s", 1), (3, " \n", "en", "s", 1), (4, None, "en", "s", 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, frame, "").collect()}
+    assert set(out) >= {1, 3, 4} and (2 not in out or out[2].strip())
+
+
+def test_a_failed_run_leaves_no_tables(spark, tmp_path, monkeypatch):
+    write(spark, tmp_path, [(1, "a b c d e f", "en", "s")], [(1, 1, 0), (2, 1, 1)], "an item")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", lambda s, d, f: d), ("two", lambda s, d, f: d.select("no_such_column"))])
+    before = set(os.listdir(shared.shared_dir(spark)))
+    try:
+        corpus_pipeline.run(spark, str(tmp_path))
+        raise AssertionError
+    except Exception as e:
+        assert "no_such_column" in str(e)
+    assert set(os.listdir(shared.shared_dir(spark))) == before
 
 
 def test_stages(spark, tmp_path):
