@@ -130,7 +130,7 @@ def span(cell: Node, name: str) -> int:
     return max(1, int(found[0])) if found else 1
 
 
-#: Columns of a table at most; more are only claimed.
+#: Columns that the spans of a row may claim; real cells always count.
 MAX_COLUMNS = 1000
 
 
@@ -147,7 +147,8 @@ def fill_spans(root: Node) -> None:
         parts = [[r for r in p.elements() if r.tag == "tr"] for p in table.elements() if p.tag in ("thead", "tbody", "tfoot")] or [[r for r in table.elements() if r.tag == "tr"]]
         for rows in parts:
             cells_of = [[c for c in r.elements() if c.tag in ("td", "th")] for r in rows]
-            width = min(sum(span(c, "colspan") for c in cells_of[0]), MAX_COLUMNS) if rows else 0
+            widest = max(1, MAX_COLUMNS // max(1, len(cells_of[0]))) if rows else 1
+            width = sum(min(span(c, "colspan"), widest) for c in cells_of[0]) if rows else 0
             grid: dict[tuple[int, int], Node] = {}
             for y, cells in enumerate(cells_of):
                 waiting = iter(cells)
@@ -159,10 +160,11 @@ def fill_spans(root: Node) -> None:
                     if (cell := next(waiting, None)) is None:
                         break
                     # A cell fills no more than the rows and columns that are there, whatever it claims.
-                    for dx in range(min(span(cell, "colspan"), width - x)):
+                    claimed = min(span(cell, "colspan"), widest if y == 0 else width)
+                    for dx in range(min(claimed, width - x)):
                         for dy in range(min(span(cell, "rowspan"), len(rows) - y)):
                             grid[y + dy, x + dx] = alone(cell)
-                    x += span(cell, "colspan")
+                    x += claimed
             for y, row in enumerate(rows):
                 if width:
                     row.take()

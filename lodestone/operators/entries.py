@@ -52,11 +52,15 @@ def list_entries(entries: DataFrame, status: str | None = None, flag: str | None
     return select_entries(entries, status, flag, exclude_flag).select(PUBLIC).orderBy(*order_of(sort_by, sort_dir))
 
 
+def tag_order_of(sort_by: str = "created_at", sort_dir: str = "desc") -> list[Column]:
+    key = F.lower("title") if sort_by == "title" else F.col("created_at")
+    return [key.desc() if sort_dir.lower() == "desc" else key.asc(), F.asc("id")]
+
+
 def list_by_tag(entries: DataFrame, members: DataFrame, status: str | None = None, flag: str | None = None, exclude_flag: str | None = None, sort_by: str = "created_at", sort_dir: str = "desc") -> DataFrame:
     """Entries among members (entry_id). Titles sort without case here, and any direction but `desc`, in any case, is ascending."""
     found = select_entries(entries, status, flag, exclude_flag).join(members, F.col("id") == F.col("entry_id"), "left_semi")
-    key = F.lower("title") if sort_by == "title" else F.col("created_at")
-    return found.select(PUBLIC).orderBy(key.desc() if sort_dir.lower() == "desc" else key.asc(), "id")
+    return found.select(PUBLIC).orderBy(*tag_order_of(sort_by, sort_dir))
 
 
 def sections(entries: DataFrame) -> DataFrame:

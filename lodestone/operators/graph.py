@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.links import backlinks, resolved
-from lodestone.operators.tags import members, structural
+from lodestone.operators.links import _near, refs_from, refs_to, resolved
+from lodestone.operators.tags import structural
+from lodestone.sources.refstore import slot_of
 from lodestone.sources.shared import scope, written
 from lodestone.sources.vault import Vault
 
@@ -19,10 +20,10 @@ def tag_node(key: Column) -> Column:
     return F.concat(F.lit("tag:"), key)
 
 
-def edges_of(refs: DataFrame, entries: DataFrame) -> DataFrame:
+def edges_of(refs: DataFrame, titles: DataFrame) -> DataFrame:
     """(source, target, n): what references stand for. Equal references are counted before they are resolved, so a hashtag of a third of all texts meets the titles once for each of its texts."""
     counted = refs.groupBy("source_id", "target_text", "is_hashtag").agg(F.count(F.lit(1)).alias("n"))
-    found = resolved(counted, entries)
+    found = resolved(counted, titles)
     to_entry = F.when(F.col("target_id") != F.col("source_id"), entry_node(F.col("target_id")))
     targets = F.array_compact(F.array(F.when(F.col("is_hashtag"), tag_node(F.col("target_text"))), to_entry))
     return found.select(entry_node(F.col("source_id")).alias("source"), F.explode(targets).alias("target"), "n")
@@ -37,7 +38,7 @@ def weighted(edges: DataFrame) -> DataFrame:
 
 
 def graph_edges(vault: Vault) -> DataFrame:
-    return weighted(edges_of(vault.refs, vault.entries).unionByName(tag_edges(structural(vault))))
+    return weighted(edges_of(vault.refs, vault.titles).unionByName(tag_edges(structural(vault))))
 
 
 def nodes_of(node_ids: DataFrame, vault: Vault) -> DataFrame:
@@ -61,15 +62,19 @@ def graph_nodes(vault: Vault, edges: DataFrame | None = None) -> DataFrame:
 def subgraph_edges(vault: Vault, focus: int) -> DataFrame:
     """Edges around an entry: its own references and tags; references to its title; and the others that share its tags, one for each tag."""
     me = F.lit(f"entry:{focus}")
-    mine = vault.refs.where(F.col("source_id") == focus)
-    own = edges_of(mine, vault.entries)
+    mine = refs_from(vault, focus)
+    own = edges_of(mine, _near(vault.titles, mine.select(slot_of(F.col("target_text"), F.col("is_hashtag")).alias("slot"))))
     given = structural(vault).where(F.col("entry_id") == focus)
-    come = backlinks(vault, focus)
+    entries = vault.entries.select(F.col("id").alias("entry_id"))
+    come = refs_to(vault, focus)
     inbound = come.select(entry_node(F.col("source_id")).alias("source"), me.alias("target"), F.lit(1).cast("long").alias("n"))
     # A hashtag that is the title of the focus keeps its own node.
     by_tag = come.where("is_hashtag").select(entry_node(F.col("source_id")).alias("source"), tag_node(F.col("target_text")).alias("target"), F.lit(1).cast("long").alias("n"))
     keys = given.select("key").unionByName(mine.where("is_hashtag").select(F.col("target_text").alias("key"))).distinct()
-    shared = tag_edges(members(vault).where(F.col("entry_id") != focus).join(keys, "key", "left_semi").join(vault.entries.select(F.col("id").alias("entry_id")), "entry_id", "left_semi"))
+    # Of the references only those that name a tag of the focus are read.
+    named = _near(vault.refs_by_key, keys.select(F.col("key").alias("slot"))).where("is_hashtag").select(F.col("source_id").alias("entry_id"), F.col("target_text").alias("key"))
+    peers = structural(vault).unionByName(named).where(F.col("entry_id") != focus).join(keys, "key", "left_semi").distinct()
+    shared = tag_edges(peers.join(entries, "entry_id", "left_semi"))
     return weighted(own.unionByName(tag_edges(given)).unionByName(inbound).unionByName(by_tag).unionByName(shared))
 
 
@@ -128,18 +133,18 @@ def component_sizes(components: DataFrame) -> DataFrame:
 
 
 def thread_chain(posts: DataFrame, tail_id: str, max_hops: int = 100) -> DataFrame:
-    """posts (id, parent_id): the posts from the root to `tail_id` (position, id, complete). It is complete if the root has no parent and was reached within max_hops."""
-    now = posts.where(F.col("id") == tail_id).select("id", "parent_id")
-    chain = [r for r in now.take(1)]
-    # A chain has max_hops posts at most; each step is a point lookup.
-    while chain and chain[-1].parent_id is not None and len(chain) < max_hops:
-        step = posts.where(F.col("id") == chain[-1].parent_id).select("id", "parent_id").take(1)
-        if not step:
-            break
-        chain += step
-    complete = bool(chain) and chain[-1].parent_id is None
-    rows = [(i, r.id, complete) for i, r in enumerate(reversed(chain))]
-    return posts.sparkSession.createDataFrame(rows, f"position int, id {posts.schema['id'].dataType.simpleString()}, complete boolean")
+    """posts (id, parent_id): the posts from the root to `tail_id` (position, id, complete), in one recursive query. It is complete if the root has no parent and was reached within max_hops."""
+    spark = posts.sparkSession
+    chain = spark.sql(
+        """with recursive chain(id, parent_id, hop) as (
+             select id, parent_id, 1 from {posts} where id = :tail
+             union all select p.id, p.parent_id, c.hop + 1 from chain c join {posts} p on p.id = c.parent_id where c.hop < :hops)
+           select id, parent_id, hop from chain""",
+        args={"tail": tail_id, "hops": max_hops},
+        posts=posts.select("id", "parent_id"),
+    )
+    everything = Window.partitionBy()  # max_hops rows at most
+    return chain.select((F.max("hop").over(everything) - F.col("hop")).alias("position"), "id", F.max(F.col("parent_id").isNull()).over(everything).alias("complete")).orderBy("position")
 
 
 def thread_chains(posts: DataFrame, max_hops: int = 100) -> DataFrame:

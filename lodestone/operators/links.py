@@ -2,43 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.identity import ascii_lower, title_key
+from lodestone.operators.refs import parse_refs
 from lodestone.operators.search import top
 from lodestone.operators.tags import members
+from lodestone.sources.refstore import slot_of
 from lodestone.sources.vault import Vault
 
 
-def title_index(entries: DataFrame) -> DataFrame:
-    """(is_hashtag, key, target_id, target_title, target_type): the entry that a wikilink or a hashtag means. Of entries with one title it is the latest."""
-    keys = F.array(F.struct(F.lit(False).alias("is_hashtag"), F.lower("title").alias("key")), F.struct(F.lit(True).alias("is_hashtag"), title_key(F.col("title")).alias("key")))
-    each = entries.select(F.explode(keys).alias("k"), "id", "title", "source_type")
-    best = F.max(F.struct("id", "title", "source_type"))
-    return each.groupBy("k.is_hashtag", "k.key").agg(best.alias("t")).select("is_hashtag", "key", F.col("t.id").alias("target_id"), F.col("t.title").alias("target_title"), F.col("t.source_type").alias("target_type"))
+#: Keys of one entry are looked up by value up to so many; more are joined.
+FEW_KEYS = 500
 
 
-def resolved(refs: DataFrame, entries: DataFrame) -> DataFrame:
+def resolved(refs: DataFrame, titles: DataFrame) -> DataFrame:
     """References with the entry they mean, if any."""
-    index = title_index(entries).withColumnRenamed("is_hashtag", "of_hashtag")
+    index = titles.drop("slot").withColumnRenamed("is_hashtag", "of_hashtag")
     return refs.join(index, (F.col("is_hashtag") == F.col("of_hashtag")) & (F.col("target_text") == F.col("key")), "left").drop("of_hashtag", "key")
 
 
-def backlinks(vault: Vault, entry_id: int) -> DataFrame:
-    """References of other entries to an entry's title, written as a wikilink or as a hashtag; entries with the same title all have them."""
-    me = vault.entries.where(F.col("id") == entry_id)
+def _near(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of a table with slots that may have some keys (slot). The keys of one entry are few; then Spark reads the buckets of these only."""
+    few = [r.slot for r in keys.select("slot").distinct().take(FEW_KEYS + 1)]
+    return table.where(F.col("slot").isin(few)) if len(few) <= FEW_KEYS else table.join(keys.select("slot").distinct(), "slot", "left_semi")
+
+
+def title_keys(entries: DataFrame, entry_id: int) -> DataFrame:
+    """(h, key, slot): what means an entry, as a wikilink and as a hashtag."""
+    me = entries.where(F.col("id") == entry_id)
     keys = me.select(F.explode(F.array(F.struct(F.lit(False).alias("h"), F.lower("title").alias("key")), F.struct(F.lit(True).alias("h"), title_key(F.col("title")).alias("key")))).alias("k")).select("k.h", "k.key")
-    # Two keys of one entry: a proven bound.
-    hits = vault.refs.where(F.col("source_id") != entry_id).join(F.broadcast(keys), (F.col("is_hashtag") == F.col("h")) & (F.col("target_text") == F.col("key")))
+    return keys.withColumn("slot", slot_of(F.col("key"), F.col("h")))
+
+
+def refs_to(vault: Vault, entry_id: int) -> DataFrame:
+    """References of other entries to an entry's title, written as a wikilink or as a hashtag. One title has one slot, so of kept references one bucket is read."""
+    keys = [tuple(r) for r in title_keys(vault.entries, entry_id).take(2)]  # two of one entry
+    wanted = reduce(Column.__or__, [(F.col("is_hashtag") == h) & (F.col("target_text") == key) for h, key, _ in keys], F.lit(False))
+    return vault.refs_by_key.where(F.col("slot").isin([slot for *_, slot in keys]) & wanted & (F.col("source_id") != entry_id)).drop("slot")
+
+
+def backlinks(vault: Vault, entry_id: int) -> DataFrame:
+    """References of other entries to an entry's title, with theirs; entries with the same title all have them."""
     sources = vault.entries.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"))
-    return hits.join(sources, "source_id").select("source_id", "source_title", "ordinal", "target_text", "is_hashtag", "heading", "pre", "highlight", "post").orderBy("source_title", "source_id", "ordinal")
+    return refs_to(vault, entry_id).join(sources, "source_id").select("source_id", "source_title", "ordinal", "target_text", "is_hashtag", "heading", "pre", "highlight", "post").orderBy("source_title", "source_id", "ordinal")
+
+
+def refs_from(vault: Vault, entry_id: int) -> DataFrame:
+    """The references of one entry: of kept ones a bucket is read, else its text alone."""
+    if vault.store is None and vault.known_refs is None:
+        return parse_refs(vault.markdown.where(F.col("entry_id") == entry_id))
+    return vault.refs.where(F.col("source_id") == entry_id)
 
 
 def outgoing_links(vault: Vault, entry_id: int) -> DataFrame:
     """References of an entry that mean another entry; others are dropped."""
-    mine = vault.refs.where(F.col("source_id") == entry_id)
-    found = resolved(mine, vault.entries).where(F.col("target_id").isNotNull() & (F.col("target_id") != entry_id))
+    mine = refs_from(vault, entry_id)
+    titles = _near(vault.titles, mine.select(slot_of(F.col("target_text"), F.col("is_hashtag")).alias("slot")))
+    found = resolved(mine, titles).where(F.col("target_id").isNotNull() & (F.col("target_id") != entry_id))
     return found.select("target_id", "target_title", "ordinal", "is_hashtag", "heading", "pre", "highlight", "post").orderBy(F.lower("target_title"), "target_id", "ordinal")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.identity import HASHTAG_FIRST, HASHTAG_REST, casefold
 from lodestone.operators import refs as R
 from lodestone.operators.tags import body_hashtag_entries, entries_by_tag
+from lodestone.sources.shared import written
 from lodestone.sources.vault import Vault
 
 
@@ -42,6 +43,19 @@ def _distinct_names(names: DataFrame, order: str) -> DataFrame:
     return first.groupBy("id").agg(F.array_sort(F.collect_list("n")).alias("n")).select("id", F.transform("n", lambda n: n["name"]).alias("names"))
 
 
+def _at(now: str | None):
+    """The moment of a change: a given one, or that of the query."""
+    return (F.lit(now) if now is not None else F.localtimestamp()).cast("timestamp_ntz")
+
+
+def _retagged(entries: DataFrame, holders: DataFrame, names: DataFrame, now: str | None) -> DataFrame:
+    """Entries of which the holders (entry_id) have new lists of names (id, at, name), without repeated identities, and are stamped; a holder without any name has none."""
+    lists = holders.select(F.col("entry_id").alias("holder")).distinct().join(_distinct_names(names, "at"), F.col("holder") == F.col("id"), "left").drop("id")
+    met, held = entries.join(lists, F.col("id") == F.col("holder"), "left"), F.col("holder").isNotNull()
+    none = F.array().cast("array<string>")
+    return met.withColumns({"tags": F.when(held, F.coalesce("names", none)).otherwise(F.col("tags")), "updated_at": F.when(held, _at(now)).otherwise(F.col("updated_at"))}).select(entries.columns)
+
+
 def add_entry(vault: Vault, entry: dict, markdown: str) -> Vault:
     """A new entry with its text. The url must be new, letter for letter."""
     if vault.entries.where(F.col("url") == entry["url"]).take(1):
@@ -58,14 +72,16 @@ def update_status(vault: Vault, entry_id: int, status: str, now: str) -> Vault:
     """Reading stamps read_at every time; marking as unread leaves it."""
     mine, at = F.col("id") == entry_id, F.lit(now).cast("timestamp_ntz")
     entries = vault.entries.withColumns({"status": F.when(mine, F.lit(status)).otherwise(F.col("status")), "updated_at": F.when(mine, at).otherwise(F.col("updated_at"))})
-    return vault.with_(entries=entries.withColumn("read_at", F.when(mine & F.lit(status == "read"), at).otherwise(F.col("read_at"))))
+    return vault.with_(home=vault.home, entries=entries.withColumn("read_at", F.when(mine & F.lit(status == "read"), at).otherwise(F.col("read_at"))))
 
 
-def update_flags(vault: Vault, entry_id: int, flags: Sequence[str]) -> Vault:
-    return vault.with_(entries=vault.entries.withColumn("flags", F.when(F.col("id") == entry_id, F.lit(list(flags)).cast("array<string>")).otherwise(F.col("flags"))))
+def update_flags(vault: Vault, entry_id: int, flags: Sequence[str], now: str | None = None) -> Vault:
+    mine = F.col("id") == entry_id
+    changes = {"flags": F.when(mine, F.lit(list(flags)).cast("array<string>")).otherwise(F.col("flags")), "updated_at": F.when(mine, _at(now)).otherwise(F.col("updated_at"))}
+    return vault.with_(home=vault.home, entries=vault.entries.withColumns(changes))
 
 
-def update_tags(vault: Vault, entry_id: int, names: Sequence[str]) -> Vault:
+def update_tags(vault: Vault, entry_id: int, names: Sequence[str], now: str | None = None) -> Vault:
     """Replace an entry's tags. Unknown names must be valid hashtags; all are checked before anything changes. The entry keeps names as typed, the tag its first spelling."""
     spark = vault.entries.sparkSession
     typed = list(dict.fromkeys(names))
@@ -77,8 +93,9 @@ def update_tags(vault: Vault, entry_id: int, names: Sequence[str]) -> Vault:
     tags = vault.tags.unionByName(new.select(F.xxhash64("normalized").alias("id"), "name", "normalized"))
     given = wanted.join(tags.drop("name"), "normalized").select(F.lit(entry_id).cast("long").alias("entry_id"), F.col("id").alias("tag_id")).distinct()
     rest = vault.entry_tags.where(F.col("entry_id") != entry_id)
-    entries = vault.entries.withColumn("tags", F.when(F.col("id") == entry_id, F.lit(typed).cast("array<string>")).otherwise(F.col("tags")))
-    return vault.with_(tags=tags, entry_tags=rest.unionByName(given), entries=entries)
+    mine = F.col("id") == entry_id
+    entries = vault.entries.withColumns({"tags": F.when(mine, F.lit(typed).cast("array<string>")).otherwise(F.col("tags")), "updated_at": F.when(mine, _at(now)).otherwise(F.col("updated_at"))})
+    return vault.with_(home=vault.home, tags=tags, entry_tags=rest.unionByName(given), entries=entries)
 
 
 def create_tag(vault: Vault, name: str) -> tuple[Vault, str, int]:
@@ -90,17 +107,18 @@ def create_tag(vault: Vault, name: str) -> tuple[Vault, str, int]:
     if found is not None:
         return vault, found["name"], n
     row = vault.tags.sparkSession.range(1).select(F.xxhash64(casefold(F.lit(name))).alias("id"), F.lit(name).alias("name"), casefold(F.lit(name)).alias("normalized"))
-    return vault.with_(tags=vault.tags.unionByName(row)), name, n
+    return vault.with_(home=vault.home, tags=vault.tags.unionByName(row)), name, n
 
 
-def _rewritten(vault: Vault, old: str, changed) -> DataFrame:
-    """Markdown with a struct (markdown, changed) applied to the texts that have the hashtag; no other text is read by Python."""
-    holders = body_hashtag_entries(vault, old).select(F.col("entry_id").alias("holder"))
-    met = vault.markdown.join(holders, F.col("entry_id") == F.col("holder"), "left")
-    return met.withColumn("markdown", F.when(F.col("holder").isNotNull(), changed.getField("markdown")).otherwise(F.col("markdown"))).drop("holder")
+def _rewritten(vault: Vault, old: str, changed) -> dict[str, DataFrame]:
+    """Markdown with a struct (markdown, changed) applied to the texts that have the hashtag, and the references after it. Only these texts are rewritten and read again, once."""
+    holders = body_hashtag_entries(vault, old)
+    mine = vault.markdown.join(holders, "entry_id", "left_semi").withColumn("markdown", changed.getField("markdown"))
+    mine = written(mine.select(vault.markdown.columns), "rewritten")
+    return {"markdown": vault.markdown.join(mine.select("entry_id"), "entry_id", "left_anti").select(mine.columns).unionByName(mine), "known_refs": index_refs(vault, mine)}
 
 
-def rename_tag(vault: Vault, old: str, new: str, merge: bool = False) -> Vault | None:
+def rename_tag(vault: Vault, old: str, new: str, merge: bool = False, now: str | None = None) -> Vault | None:
     """Give a tag another name, in the tag list, on entries and in texts; None if nothing has the old one.
 
     A name that is new must be a valid hashtag, and so must any that goes into texts. If another tag has the new name, it is a conflict, unless both are to be merged; then the other's spelling wins.
@@ -125,26 +143,27 @@ def rename_tag(vault: Vault, old: str, new: str, merge: bool = False) -> Vault |
         else:
             mine = F.col("normalized") == key_old
             tags = tags.withColumn("name", F.when(mine, F.lit(name)).otherwise(F.col("name"))).withColumn("normalized", F.when(mine, key_new).otherwise(F.col("normalized")))
-        # A second pass over the entries that name it; equal identities are named once.
-        touched = entries.where(F.exists("tags", lambda t: F.lower(t) == F.lower(key_old)))
-        names = touched.select("id", F.posexplode("tags").alias("at", "name")).withColumn("name", F.when(casefold(F.col("name")).isin(old.casefold(), new.casefold()), F.lit(name)).otherwise(F.col("name")))
-        entries = entries.join(_distinct_names(names, "at"), "id", "left").withColumn("tags", F.coalesce("names", "tags")).drop("names").select(entries.columns)
-    markdown = _rewritten(vault, old, R.rename_hashtag(F.col("markdown"), key_old, F.lit(name))) if in_text else vault.markdown
-    return vault.with_(tags=tags, entry_tags=entry_tags, entries=entries, markdown=markdown, known_refs=None)
+        # Only the entries that have the tag are taken apart; equal identities are named once.
+        holders = vault.entry_tags.where(F.col("tag_id") == has_row["id"]).select("entry_id")
+        named = entries.join(holders.withColumnRenamed("entry_id", "id"), "id", "left_semi").select("id", F.posexplode("tags").alias("at", "name"))
+        entries = _retagged(entries, holders, named.withColumn("name", F.when(casefold(F.col("name")) == key_old, F.lit(name)).otherwise(F.col("name"))), now)
+    texts = _rewritten(vault, old, R.rename_hashtag(F.col("markdown"), key_old, F.lit(name))) if in_text else {"known_refs": vault.refs}
+    return vault.with_(tags=tags, entry_tags=entry_tags, entries=entries, **texts)
 
 
-def delete_tag(vault: Vault, name: str) -> Vault:
-    """Take a tag from the list and from entries, and put what is written in texts in backticks."""
+def delete_tag(vault: Vault, name: str, now: str | None = None) -> Vault:
+    """Take a tag from the list and from the entries that have it, and put what is written in texts in backticks."""
     key = F.lit(name.casefold())
     gone = vault.tags.where(F.col("normalized") == key).select(F.col("id").alias("tag_id"))
-    entries = vault.entries.withColumn("tags", F.filter("tags", lambda t: F.lower(t) != F.lower(F.lit(name))))
-    markdown = _rewritten(vault, name, R.neutralize_hashtag(F.col("markdown"), key))
-    return vault.with_(tags=vault.tags.where(F.col("normalized") != key), entry_tags=vault.entry_tags.join(gone, "tag_id", "left_anti").select("entry_id", "tag_id"), entries=entries, markdown=markdown, known_refs=None)
+    holders = vault.entry_tags.join(gone, "tag_id", "left_semi").select("entry_id")
+    named = vault.entries.join(holders.withColumnRenamed("entry_id", "id"), "id", "left_semi").select("id", F.posexplode("tags").alias("at", "name")).where(casefold(F.col("name")) != key)
+    texts = _rewritten(vault, name, R.neutralize_hashtag(F.col("markdown"), key))
+    return vault.with_(tags=vault.tags.where(F.col("normalized") != key), entry_tags=vault.entry_tags.join(gone, "tag_id", "left_anti").select("entry_id", "tag_id"), entries=_retagged(vault.entries, holders, named, now), **texts)
 
 
 def hard_delete(vault: Vault, entry_id: int) -> Vault:
     """An entry with its tags given, text and references; the tags themselves stay."""
-    refs = None if vault.known_refs is None else vault.known_refs.where(F.col("source_id") != entry_id)
+    refs = vault.refs.where(F.col("source_id") != entry_id)
     return vault.with_(entries=vault.entries.where(F.col("id") != entry_id), entry_tags=vault.entry_tags.where(F.col("entry_id") != entry_id), markdown=vault.markdown.where(F.col("entry_id") != entry_id), known_refs=refs)
 
 
@@ -168,21 +187,23 @@ def set_link(vault: Vault, a: int, b: int, on: bool = True) -> Vault:
     other = F.when(F.col("entry_id") == a, F.lit(titles[b])).when(F.col("entry_id") == b, F.lit(titles[a]))
     none = F.lit(None).cast("string")
     changed = R.update_linked("markdown", other if on else none, none if on else other)
-    return vault.with_(markdown=vault.markdown.withColumn("markdown", F.when(other.isNotNull(), changed).otherwise(F.col("markdown"))), known_refs=None)
+    mine = written(vault.markdown.where(F.col("entry_id").isin(a, b)).withColumn("markdown", changed), "linked")
+    rest = vault.markdown.where(~F.col("entry_id").isin(a, b))
+    return vault.with_(markdown=rest.unionByName(mine), known_refs=index_refs(vault, mine))
 
 
 def patch_entry(vault: Vault, entry_id: int, now: str, status: str | None = None, flags: Sequence[str] | None = None, tags: Sequence[str] | None = None, markdown: str | None = None) -> Vault:
     """Several changes to one entry, in this order; the last version has all, or none if a tag is invalid."""
     if not vault.entries.where(F.col("id") == entry_id).take(1):
         raise Missing(str(entry_id))
+    before = vault
     if status is not None:
         vault = update_status(vault, entry_id, status, now)
     if flags is not None:
-        vault = update_flags(vault, entry_id, flags)
+        vault = update_flags(vault, entry_id, flags, now)
     if tags is not None:
-        vault = update_tags(vault, entry_id, tags)
+        vault = update_tags(vault, entry_id, tags, now)
     if markdown is not None:
         changed = vault.markdown.withColumn("markdown", F.when(F.col("entry_id") == entry_id, F.lit(markdown)).otherwise(F.col("markdown")))
-        refs = None if vault.known_refs is None else index_refs(vault, changed.where(F.col("entry_id") == entry_id))
-        vault = vault.with_(markdown=changed, known_refs=refs)
+        vault = vault.with_(markdown=changed, known_refs=index_refs(before, changed.where(F.col("entry_id") == entry_id)))
     return vault

@@ -1,7 +1,7 @@
 """References in Markdown: reading them out, and rewriting hashtags in place.
 
-One pass over the lines of a text does both, so that what counts as a live reference is the same for all. Texts are handled row by row in Arrow batches and never shuffled;
-texts without a possible reference do not leave the JVM.
+Texts are never shuffled, and hardly ever leave the JVM: `refs_native` has the grammar in built-in functions. What it leaves (frontmatter that takes a YAML reader, for one) is read here line by line, in Arrow batches, by the same rules; tests hold
+the two against each other.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-from lodestone.functions.identity import HASHTAG
+from lodestone.functions.identity import HASHTAG, title_key
+from lodestone.operators import refs_native as native
 
 # The grammar of references.
 WIKILINK = re.compile(r"\[\[([^\[\]|]+?)(?:\|[^\[\]]*?)?\]\]")
@@ -136,10 +137,16 @@ def _parse(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else [dict(zip(REF_TYPE.names, r, strict=True)) for r in parse(t)])
 
 
+def refs_of(markdown: Column) -> Column:
+    """The references of a text, as an array; none for null. Only texts whose frontmatter takes a YAML reader go to Python."""
+    may = markdown.contains("#") | markdown.contains("[[") | markdown.startswith("---\n")
+    plain = native.is_plain(markdown)
+    return F.when(~F.coalesce(may, F.lit(False)), F.array().cast(native.REF)).when(plain, native.parse(markdown)).otherwise(_parse(F.when(~plain, markdown)).cast(native.REF))
+
+
 def parse_refs(markdown: DataFrame) -> DataFrame:
     """markdown (entry_id, markdown) -> one row for each occurrence, in the order of the text (ordinal)."""
-    may = F.col("markdown").contains("#") | F.col("markdown").contains("[[") | F.col("markdown").startswith("---\n")
-    found = markdown.where(may).select(F.col("entry_id").alias("source_id"), F.posexplode(_parse("markdown")).alias("ordinal", "ref"))
+    found = markdown.select(F.col("entry_id").alias("source_id"), F.posexplode(refs_of(F.col("markdown"))).alias("ordinal", "ref"))
     return found.select("source_id", "ordinal", "ref.*")
 
 
@@ -156,14 +163,21 @@ _neutralize = _rewriter(lambda name: lambda span: f"`{span}`")
 _rename = _rewriter(lambda name: lambda span: f"#{name}")
 
 
+def _rewritten(markdown: Column, key: Column, name: Column, change: Callable[[Column], Column], exact) -> Column:
+    plain = native.is_plain(markdown)
+    other = exact(F.when(~plain, markdown), key, name)
+    same = F.struct(markdown.alias("markdown"), F.lit(0).alias("changed"))
+    return F.when(~markdown.contains("#"), same).when(plain, native.rewrite(markdown, key, change)).otherwise(F.struct(other["markdown"].alias("markdown"), other["changed"].alias("changed")))
+
+
 def neutralize_hashtag(markdown: Column, key: Column) -> Column:
     """Put every live hashtag of the identity in backticks: struct (markdown, changed)."""
-    return F.when(markdown.contains("#"), _neutralize(markdown, key, key)).otherwise(F.struct(markdown.alias("markdown"), F.lit(0).alias("changed")))
+    return _rewritten(markdown, key, key, lambda tag: F.concat(F.lit("`"), tag, F.lit("`")), _neutralize)
 
 
 def rename_hashtag(markdown: Column, key: Column, name: Column) -> Column:
     """Write every live hashtag of the identity as #name: struct (markdown, changed)."""
-    return F.when(markdown.contains("#"), _rename(markdown, key, name)).otherwise(F.struct(markdown.alias("markdown"), F.lit(0).alias("changed")))
+    return _rewritten(markdown, key, name, lambda tag: F.concat(F.lit("#"), name), _rename)
 
 
 @F.pandas_udf(StringType())
@@ -174,3 +188,11 @@ def update_linked(texts: pd.Series, add: pd.Series, remove: pd.Series) -> pd.Ser
 @F.pandas_udf(ArrayType(StringType()))
 def frontmatter_links(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else linked_titles(t))
+
+
+def title_index(entries: DataFrame) -> DataFrame:
+    """(is_hashtag, key, target_id, target_title, target_type): the entry that a wikilink or a hashtag means. Of entries with one title it is the latest."""
+    keys = F.array(F.struct(F.lit(False).alias("is_hashtag"), F.lower("title").alias("key")), F.struct(F.lit(True).alias("is_hashtag"), title_key(F.col("title")).alias("key")))
+    each = entries.select(F.explode(keys).alias("k"), "id", "title", "source_type")
+    best = F.max(F.struct("id", "title", "source_type"))
+    return each.groupBy("k.is_hashtag", "k.key").agg(best.alias("t")).select("is_hashtag", "key", F.col("t.id").alias("target_id"), F.col("t.title").alias("target_title"), F.col("t.source_type").alias("target_type"))

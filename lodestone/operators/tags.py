@@ -26,8 +26,9 @@ def members(vault: Vault) -> DataFrame:
 
 def body_hashtag_entries(vault: Vault, tag: str) -> DataFrame:
     """Entries with the tag in their text; none if it could not be written there."""
-    key = casefold(F.lit(tag))
-    return vault.refs.where(F.col("is_hashtag") & (F.col("target_text") == key) & is_hashtag_name(F.lit(tag))).select(F.col("source_id").alias("entry_id")).distinct()
+    key = tag.casefold()
+    named = vault.refs_by_key.where((F.col("slot") == key) & F.col("is_hashtag") & (F.col("target_text") == key))
+    return named.where(is_hashtag_name(F.lit(tag))).select(F.col("source_id").alias("entry_id")).distinct()
 
 
 def entries_by_tag(vault: Vault, tag: str) -> DataFrame:

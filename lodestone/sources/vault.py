@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import cached_property
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.identity import casefold
-from lodestone.operators.refs import parse_refs
-from lodestone.sources.shared import written
+from lodestone.operators.refs import parse_refs, title_index
+from lodestone.sources.refstore import RefStore, slot_of
+from lodestone.sources.shared import shared_dir, written
 
 
 @dataclass(frozen=True)
@@ -23,14 +25,37 @@ class Vault:
     entry_tags: DataFrame
     markdown: DataFrame
     known_refs: DataFrame | None = field(default=None)
+    #: Where what is derived from the vault is kept, if anywhere: references, and the search index.
+    home: str | None = field(default=None)
+
+    @cached_property
+    def store(self) -> RefStore | None:
+        """The references that are kept at the vault's home; the first who asks reads them from the texts."""
+        if self.home is None or self.known_refs is not None:
+            return None
+        store = RefStore(self.entries.sparkSession, f"{self.home}/refs")
+        return store if store.state else store.build(parse_refs(self.markdown), title_index(self.entries))
 
     @cached_property
     def refs(self) -> DataFrame:
-        """References as indexed, or else read from the Markdown: once, into the shared folder, however often a query asks for them."""
+        """References as indexed or kept, or else read from the Markdown: once, into the shared folder, however often a query asks for them."""
+        if self.store is not None:
+            return self.store.table("by_source")
         return self.known_refs if self.known_refs is not None else written(parse_refs(self.markdown), "refs")
 
+    @cached_property
+    def refs_by_key(self) -> DataFrame:
+        """References with their slot, clustered by it if they are kept."""
+        return self.store.table("by_key") if self.store is not None else self.refs.withColumn("slot", slot_of(F.col("target_text"), F.col("is_hashtag")))
+
+    @cached_property
+    def titles(self) -> DataFrame:
+        """title_index with slots, clustered by them if it is kept."""
+        return self.store.table("titles") if self.store is not None else title_index(self.entries).withColumn("slot", slot_of(F.col("key"), F.col("is_hashtag")))
+
     def with_(self, **changes: DataFrame) -> Vault:
-        return replace(self, **changes)
+        """Another version. It has no home, as what is kept there belongs to the texts and titles as they were; a change that leaves these alone passes `home` on."""
+        return replace(self, **{"home": None, **changes})
 
 
 #: The vault that the driver's tables stand for, in SQL that two engines read alike.
@@ -79,7 +104,17 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Vault:
     # Identities are their own ids: a hash needs no global numbering.
     tags = raw.groupBy("normalized").agg(F.min_by("name", "entry_id").alias("name")).select(F.xxhash64("normalized").alias("id"), "name", "normalized")
     entry_tags = raw.select("entry_id", F.xxhash64("normalized").alias("tag_id")).distinct()
-    return Vault(entries, tags, entry_tags, spark.table("v_markdown"))
+    return Vault(entries, tags, entry_tags, spark.table("v_markdown"), home=home_of(spark, sf_dir))
+
+
+def home_of(spark: SparkSession, sf_dir: str) -> str:
+    """A folder for what is derived from these tables as they are now: other bytes or times of theirs mean another folder."""
+    told = [sf_dir]
+    for name in ("documents", "events", "labels"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        told += [str(fs.getFileStatus(path).getModificationTime()), str(fs.getContentSummary(path).getLength())]
+    return f"{shared_dir(spark).rstrip('/')}/vaults/{sha256('|'.join(told).encode()).hexdigest()[:32]}"
 
 
 def read_markdown_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -69,3 +69,11 @@ def test_pages(spark):
     rows = [(1, "https://x.com/a/status/5", f"<article><p>{LONG}</p></article>"), (2, None, None), (3, "u", "<" * 50), (4, "u", "<div>" * 5000)]
     got = {r.page_id: r for r in A.article_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), "2024").collect()}
     assert not got[1].failed and got[1].source_type == "x" and got[2].failed and got[3].failed and got[4].failed
+
+
+def test_every_real_cell_stays():
+    row = "".join(f"<td>{i}</td>" for i in range(1200))
+    out = after(clean.fill_spans, f"<table><tr>{row}</tr><tr>{row}</tr></table>")
+    assert out.count("<td>") == 2400
+    claimed = after(clean.fill_spans, "<table><tr><td colspan=999999>a</td><td>b</td></tr><tr><td>c</td></tr></table>")
+    assert claimed.count("<td>") <= 1003 and "b</td>" in claimed
