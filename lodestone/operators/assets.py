@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lodestone.functions import urls
 from lodestone.functions.dom import Node, parse
+from lodestone.sources.sink import write_files
 
 IMAGE = re.compile(r'!\[([^\]]*)\]\(((?:https?:)?//[^\s)]+)(?:\s+"[^"]*")?\)')
 # Fixed value: the picture that stands for one that could not be had, and so its name.
@@ -113,17 +114,7 @@ def localize_images(markdown: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def write_assets(assets: DataFrame, folder: str) -> int:
-    """Write (slug, name, content) as assets/SLUG/NAME from the executors, each once; the folder must be one that all of them share. Names are made of contents, so writing again changes nothing."""
-
-    def write(rows):
-        import os
-
-        for r in rows:
-            path = os.path.join(folder, "assets", r.slug, r.name)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(f"{path}.{os.getpid()}.tmp", "wb") as f:
-                f.write(r.content)
-            os.replace(f.name, path)
-            yield 1
-
-    return assets.dropDuplicates(["slug", "name"]).select("slug", "name", "content").rdd.mapPartitions(write).sum()
+    """Write (slug, name, content) as assets/SLUG/NAME, each once, all or none. Names are made of contents, so writing again changes nothing."""
+    once = assets.dropDuplicates(["slug", "name"]).select(F.concat_ws("/", F.lit("assets"), "slug", "name").alias("path"), "content")
+    write_files(once, folder)
+    return once.count()

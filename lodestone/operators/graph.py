@@ -128,6 +128,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.explode(F.array("a", "b")).alias("node_id"), F.col("b").alias("component")).distinct()
 
 
+def changed_components(components: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The components (node_id, component) of a graph after edges (source, target) were added and removed, from those before and all edges now.
+
+    Only components that have an end of a changed edge are solved again, from the edges within them; a removed edge may part one, an added one join two. Others are taken over. Nodes without an edge are in none.
+    """
+    ends = endpoints(added.select("source", "target").unionByName(removed.select("source", "target")))
+    touched = written(components.join(ends, "node_id", "left_semi").select("component").distinct(), "touched")
+    nodes = components.join(touched, "component", "left_semi").select("node_id").unionByName(ends).distinct()
+    mine = edges.join(nodes.select(F.col("node_id").alias("source")), "source", "left_semi")
+    return components.join(touched, "component", "left_anti").select("node_id", "component").unionByName(connected_components(mine))
+
+
 def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import identity, urls
 from lodestone.operators import articles as A
+from lodestone.operators import counts as C
 from lodestone.operators import entries as E
 from lodestone.operators import graph as G
 from lodestone.operators import links as L
@@ -19,8 +20,10 @@ from lodestone.operators import segments
 from lodestone.operators import tags as T
 from lodestone.operators.order import with_rank
 from lodestone.plans.sql import FOLD, TITLE_KEY, vault_sql
-from lodestone.sources.shared import shared_path
+from lodestone.sources.committed import CommittedVault
+from lodestone.sources.shared import shared_path, written
 from lodestone.sources.vault import Vault, from_tables
+from lodestone.streaming import reconcile
 
 #: What the parametrised queries ask for. The day is a Saturday.
 FOCUS, TAG, NOTE, WORDS, AS_OF = 22, "EN", "fr-note", "the ation", "2024-01-20 12:00:00"
@@ -202,10 +205,10 @@ CONTEXT_SQL = rf"""with l as (select entry_id, n, heading, line, replace(line, '
 p as (select *, false as is_hashtag, '\[\[[^\[\]|]+?(?:\|[^\[\]]*?)?\]\]' as pattern from l where contains(line, '[[') union all select *, true, '(?:^|\s)#[{identity.HASHTAG_FIRST}][{identity.HASHTAG_REST.replace(chr(39), chr(39) * 2)}]*' from l where contains(line, '#')),
 m as (select *, regexp_extract_all(shown, pattern) as found, regexp_split_to_array(shown, pattern) as rest from p),
 e as (select *, unnest(range(1, len(found) + 1)) as i from m where len(found) > 0),
-f as (select *, found[i] as hit, list_sum(list_transform(rest[:i], x -> length(x))) + coalesce(list_sum(list_transform(found[:i - 1], x -> length(x))), 0) as at0 from e),
+f as (select *, found[i] as hit, list_sum(list_transform(rest[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0) as pos0 from e),
 g as (select *, case when is_hashtag and not starts_with(hit, '#') then 1 else 0 end as skip from f),
-h as (select *, (at0 + skip)::bigint as at, substr(hit, skip + 1) as highlight from g)
-select entry_id as source_id, is_hashtag, heading, trim(substr(line, greatest(at - 60, 0) + 1, least(at, 60))) as pre, highlight, trim(substr(line, at + length(highlight) + 1, 60)) as post, count(*) as n from h group by all
+h as (select *, (pos0 + skip)::bigint as pos, substr(hit, skip + 1) as highlight from g)
+select entry_id as source_id, is_hashtag, heading, trim(substr(line, greatest(pos - 60, 0) + 1, least(pos, 60))) as pre, highlight, trim(substr(line, pos + length(highlight) + 1, 60)) as post, count(*) as n from h group by all
 union all select entry_id, false, null, '', '[[' || t || ']]', '', 1 from (select entry_id, regexp_extract(markdown, '\nlinked: \["(.*)"\]\n---\n', 1) as t from v_markdown) where t <> ''"""
 
 
@@ -389,6 +392,19 @@ def component_order(v: Vault) -> DataFrame:
     return with_rank(G.component_sizes(G.connected_components(few)), [F.desc("n"), F.col("component")]).select("rank", "component", "n")
 
 
+#: Of the few links some come and some go.
+OLD_LINKS = f"{FEW_LINKS} and substr(target, 7)::bigint % 5 <> 0"
+NEW_LINKS = f"{FEW_LINKS} and substr(target, 7)::bigint % 7 <> 0"
+
+
+@query(f"{REACH.replace(LINKS, NEW_LINKS)} select node_id, component from c")
+def components_after_change(v: Vault) -> DataFrame:
+    number = lambda c: F.substring(c, 7, 20).cast("long")
+    few = written(entry_links(v).where((number(F.col("source")) + number(F.col("target"))) % 3 == 0).withColumn("t", number(F.col("target"))), "links")
+    before = G.connected_components(few.where("t % 5 <> 0"))
+    return G.changed_components(before, few.where("t % 7 <> 0"), few.where("t % 5 = 0 and t % 7 <> 0"), few.where("t % 5 <> 0 and t % 7 = 0"))
+
+
 def documents(v: Vault) -> DataFrame:
     return v.entries.join(v.markdown, F.col("id") == F.col("entry_id")).select("id", "title", F.col("markdown").alias("content"))
 
@@ -400,8 +416,14 @@ i as (select *, case when na < total - na then ln((total - na + 0.5) / (na + 0.5
 select id, -(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * size / mean)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * size / mean))) as score from c, i where a > 0 and b > 0"""
 
 
+def kept_index(v: Vault) -> segments.SearchIndex:
+    """The search index at the vault's home; a vault without one gets an index for this query."""
+    spark = v.entries.sparkSession
+    return segments.open_or_build(spark, f"{v.home}/search" if v.home else shared_path(spark, "search"), documents(v))
+
+
 def found(v: Vault) -> DataFrame:
-    return segments.open_or_build(v.entries.sparkSession, f"{v.home}/search", documents(v)).search(WORDS)
+    return kept_index(v).search(WORDS)
 
 
 @query(f"select id, round(score, 6) as score from ({FOUND})")
@@ -428,7 +450,7 @@ def search_after_replace(v: Vault) -> DataFrame:
 
 @query(f"""select row_number() over (order by round(f.score, 9), f.id) as rank, f.id, e.status from ({FOUND}) f join v_entries e on e.id = f.id where not e.is_archive and f.id in (select entry_id from v_members where key = 'en')""")
 def find_entries(v: Vault) -> DataFrame:
-    index = segments.open_or_build(v.entries.sparkSession, f"{v.home}/search", documents(v))
+    index = kept_index(v)
     return with_rank(segments.find_entries(v, index, WORDS, TAG, "", None, "archive").join(index.search(WORDS), "id"), [F.round("score", 9), F.col("id")]).select("rank", "id", "status")
 
 
@@ -636,6 +658,65 @@ def index_refs(v: Vault) -> DataFrame:
     return M.index_refs(v, changed).groupBy("source_id", "target_text", "is_hashtag").agg(F.count(F.lit(1)).alias("n"))
 
 
+def replayed(v: Vault) -> str:
+    """A change log of all texts, followed by a stream: first every text; then new texts of some, and some files gone; then old versions that come late, and versions that come twice. The folder of what came of it."""
+    spark = v.entries.sparkSession
+    home = shared_path(spark, "replay")
+    told = v.markdown.join(v.entries.select("id", "file_path"), F.col("entry_id") == F.col("id"))
+    log = lambda texts, seq, markdown="markdown", gone=False: texts.select("file_path", F.expr(markdown).alias("markdown"), F.lit(float(seq)).alias("mtime"), F.lit(gone).alias("gone"), F.lit(seq).cast("long").alias("seq"))
+    for part in (
+        log(told, 0),
+        log(told.where("entry_id % 50 = 0"), 2, "'#Anew [[Some Page]]'").unionByName(log(told.where("entry_id % 11 = 3"), 2, "cast(null as string)", True)),
+        log(told.where("entry_id % 50 = 0"), 1, "'#Late'").unionByName(log(told.where("entry_id % 7 = 0"), 0)),
+    ):
+        part.write.mode("append").parquet(f"{home}/log")
+        reconcile.follow(reconcile.changed_files(spark, f"{home}/log"), v.entries, f"{home}/out", f"{home}/check").awaitTermination()
+    reconcile.compact(spark, f"{home}/out")
+    part = log(told.where("entry_id % 50 = 25"), 3, "'#Anew #en'")
+    part.write.mode("append").parquet(f"{home}/log")
+    reconcile.follow(reconcile.changed_files(spark, f"{home}/log"), v.entries, f"{home}/out", f"{home}/check").awaitTermination()
+    return f"{home}/out"
+
+
+REPLAYED = """(select source_id, target_text, is_hashtag from v_refs where source_id % 25 <> 0 and source_id % 11 <> 3
+ union all select id, 'anew', true from v_entries where id % 25 = 0 and (id % 11 <> 3 or id % 50 = 25)
+ union all select id, 'some page', false from v_entries where id % 50 = 0 and id % 11 <> 3
+ union all select id, 'en', true from v_entries where id % 50 = 25)"""
+
+
+@query(f"select source_id, target_text, is_hashtag, count(*) as n from {REPLAYED} group by all")
+def reconciled_refs(v: Vault) -> DataFrame:
+    return reconcile.current_refs(v.entries.sparkSession, replayed(v)).groupBy("source_id", "target_text", "is_hashtag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select target_text as key, count(distinct source_id) as n from {REPLAYED} where is_hashtag group by 1")
+def reconciled_tag_counts(v: Vault) -> DataFrame:
+    return reconcile.current_tag_counts(v.entries.sparkSession, replayed(v)).select("key", "n")
+
+
+@query("""select 'library' as key, count(*) as n from v_entries where not is_archive and id % 3 <> 0 union all select 'archive', count(*) from v_entries where is_archive or id % 3 = 0
+ union all select 'read', count(*) from v_entries where not is_archive and id % 3 <> 0 and (status = 'read' or id % 4 = 0) union all select 'unread', count(*) from v_entries where not is_archive and id % 3 <> 0 and status = 'unread' and id % 4 <> 0
+ union all select 'bookmark', count(*) from v_entries where not is_archive and id % 3 <> 0 and is_bookmark union all select 'gem', count(*) from v_entries where not is_archive and id % 3 <> 0 and is_gem""")
+def maintained_sections(v: Vault) -> DataFrame:
+    """Counts of the sections after two changes, from the counts before and the entries that each change touched."""
+    counts = E.sections(v.entries).groupBy(F.col("section").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    archived = lambda e: e.withColumn("flags", F.array(F.lit("archive")))
+    read = lambda e: e.withColumn("status", F.lit("read"))
+    first, second = v.entries.where("id % 3 = 0"), v.entries.where("id % 4 = 0")
+    between = second.withColumn("flags", F.when(F.col("id") % 3 == 0, F.array(F.lit("archive"))).otherwise(F.col("flags")))
+    return C.applied(counts, C.section_differences(first, archived(first)), C.section_differences(between, read(between)))
+
+
+@query("select entry_id, case when key = 'de' then 'deutsch' else key end as key, 3 as version from v_members union all select entry_id, key, 1 from v_members")
+def committed_versions(v: Vault) -> DataFrame:
+    """Two mutations committed one after the other, and the first version read as it was."""
+    kept = CommittedVault(v.entries.sparkSession, shared_path(v.entries.sparkSession, "vault"))
+    kept.create(v)
+    kept.mutate(lambda x: M.rename_tag(x, "DE", "Deutsch", now=NOW))
+    number, new = kept.mutate(lambda x: M.update_flags(x, FOCUS, ["gem"], NOW))
+    return T.members(new).withColumn("version", F.lit(number)).unionByName(T.members(kept.open(1)[1]).withColumn("version", F.lit(1)))
+
+
 @query(rf"""with t as (select entry_id, nullif(regexp_extract(markdown, '\nlinked: \["(.*)"\]\n---\n', 1), '') as l from v_markdown)
 select t.entry_id, trim(coalesce(l, '') || '|' || case t.entry_id when {LINKED} then (select title from v_entries where id = {FOCUS}) when {FOCUS} then (select title from v_entries where id = {LINKED}) else '' end, '|') as linked from t where t.entry_id in ({LINKED}, {FOCUS}, {LINKED + 5})""")
 def set_link(v: Vault) -> DataFrame:

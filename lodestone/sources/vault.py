@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 from hashlib import sha256
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.identity import casefold
 from lodestone.operators.refs import parse_refs, title_index
 from lodestone.sources.refstore import RefStore, slot_of
 from lodestone.sources.shared import shared_dir, written
+from lodestone.sources.sink import write_files
 
 
 @dataclass(frozen=True)
@@ -124,21 +124,7 @@ def read_markdown_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, folder: str) -> int:
-    """Write (file_path, markdown) as one file each, from the executors; of pages with one path the last in order of markdown stays. Returns how many.
-
-    The folder must be one that all executors share.
-    """
-
-    def write(rows: Iterator[Row]) -> Iterator[int]:
-        import os
-
-        for r in rows:
-            path = os.path.join(folder, r.file_path)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            # A half-written page is never seen under its name.
-            with open(f"{path}.{os.getpid()}.tmp", "w", encoding="utf-8", newline="") as f:
-                f.write(r.markdown)
-            os.replace(f.name, path)
-            yield 1
-
-    return pages.groupBy("file_path").agg(F.max("markdown").alias("markdown")).rdd.mapPartitions(write).sum()
+    """Write (file_path, markdown) as one file each, all or none; of pages with one path the last in order of markdown stays. Returns how many."""
+    once = written(pages.groupBy("file_path").agg(F.max("markdown").alias("markdown")), "pages")
+    write_files(once.select(F.col("file_path").alias("path"), F.col("markdown").cast("binary").alias("content")), folder)
+    return once.count()

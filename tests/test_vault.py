@@ -139,6 +139,19 @@ def test_search_like_fts5(spark):
     assert S.search(index, " ?! ").count() == 0
 
 
+def test_components_under_change(spark):
+    r, edges = random.Random(8), set()
+    frame = lambda e: spark.createDataFrame(sorted(e), "source string, target string")
+    edges = {(f"n{r.randrange(40):02}", f"n{r.randrange(40):02}") for _ in range(25)}
+    now = G.connected_components(frame(edges))
+    for _ in range(3):
+        gone = set(r.sample(sorted(edges), 6))
+        new = {(f"n{r.randrange(44):02}", f"n{r.randrange(44):02}") for _ in range(5)} - edges
+        edges = (edges - gone) | new
+        now = G.changed_components(now, frame(edges), frame(new), frame(gone))
+        assert rows(now) == rows(G.connected_components(frame(edges)))
+
+
 def test_threads(spark):
     posts = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "gone"), ("y", "x")], "id string, parent_id string")
     assert [tuple(r) for r in G.thread_chain(posts, "c").collect()] == [(0, "a", True), (1, "b", True), (2, "c", True)]
