@@ -132,8 +132,11 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
     return high
 
 
-def select_cutoffs(stats: DataFrame, stratum: str = "stratum", good: str = "good", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """(stratum, n_good, cutoffs: a map from statistics to cutoffs), from all labelled rows: one aggregation, one row for each stratum, judged on executors however many there are."""
+def select_cutoffs(stats: DataFrame, stratum: str = "stratum", good: str = "good", risk: float = RISK, confidence: float = CONFIDENCE, draw: str | None = None) -> DataFrame:
+    """(stratum, n_good, cutoffs: a map from statistics to cutoffs), from all labelled rows: one row for each stratum, judged on executors however many there are.
+
+    The bound holds for independent draws, so rows that agree in the column `draw` are one (without it every row is a draw of its own).
+    """
     steps: list[dict[str, float]] = []
     for name, cutoffs in CUTOFFS.items():
         for c in cutoffs:
@@ -141,7 +144,9 @@ def select_cutoffs(stats: DataFrame, stratum: str = "stratum", good: str = "good
     # Each step rejects what the one before it does and more, so the first step that rejects a text tells of all.
     first = F.coalesce(*[F.when(statistic(name) > rules[name], F.lit(i)) for i, rules in enumerate(steps) for name in [list(rules)[-1]]], F.lit(len(steps)))
     rejected = F.array(*[F.sum((F.col("first") <= i).cast("long")) for i in range(len(steps))])
-    counts = written(stats.where(F.col(good) & ~base_failed()).select(F.col(stratum).alias("stratum"), first.alias("first")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), rejected.alias("rejected")), "strata")
+    labelled = stats.where(F.col(good) & ~base_failed())
+    draws = labelled.select(F.col(stratum).alias("stratum"), first.alias("first")) if draw is None else labelled.groupBy(F.col(stratum).alias("stratum"), F.col(draw).alias("draw")).agg(F.min(first).alias("first"))
+    counts = written(draws.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), rejected.alias("rejected")), "strata")
     alpha = (1 - confidence) / max(1, counts.count())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +177,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, confid
     """documents (doc_id, text, lang) and labels (doc_id, quality) -> doc_id, the five counts, base_failed, kept.
 
     Holdout rows are all labelled ones; quality 1 is good. A null or empty text has no words and fails the base rule; texts may be as long as Arrow's strings; a null lang is a stratum, the same as an empty one; labels that are null or of no
-    document are ignored; a document labelled twice is good if any label says so; repeated rows are all judged (and all count, if labelled); other columns are ignored, whatever their names; empty tables give no rows, and without labels
+    document are ignored; a document labelled twice is good if any label says so; repeated rows are all judged, but a text counts once in a
+    holdout of its stratum, however many rows and ids have it (good if any of them is), as copies are no independent draws; other columns are ignored, whatever their names; empty tables give no rows, and without labels
     only the base rule rejects.
     """
     tune(docs.sparkSession)
-    stats = written(with_stats(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("stratum")), carry=("stratum",)), "quality")
+    stats = written(with_stats(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("stratum"), F.xxhash64("text").alias("draw")), carry=("stratum", "draw")), "quality")
     good = labels.groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
     # Written: a small table of known size, which Spark broadcasts only as long as it is small.
-    chosen = written(select_cutoffs(stats.join(good, "doc_id").where("good is not null"), risk=risk, confidence=confidence), "cutoffs")
+    chosen = written(select_cutoffs(stats.join(good, "doc_id").where("good is not null"), risk=risk, confidence=confidence, draw="draw"), "cutoffs")
     judged = with_passed(stats, chosen).withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("passed")).drop("stratum", "passed")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("passed")).drop("stratum", "passed", "draw")

@@ -5,14 +5,16 @@ prefix of its path that is as long as that rule's - is the universe: keys of oth
 the listed keys; level 2 encodes the keys of the universe that level 1 wrongly passes; level 3 the listed keys that level 2
 wrongly passes, and so on until a level passes nothing wrongly. A key of the universe is listed exactly if the first level
 that rejects it has an even number, so urls are judged by the cascades alone, without the list and without joins. Only the few false positives of a level ever leave
-the executors, and they are bounded by the size of the list: level sizes are chosen so that the expected number of false
-positives halves at least, and the list itself is a parameter on the driver.
+the executors, and they are bounded by the size of the list: a level has as many probes as it takes to pass a quarter of its own keys' number wrongly, of however many
+keys it is asked (for level 1, the keys of the universe, counted once), and the list itself is a parameter on the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,19 @@ from pyspark.sql import functions as F
 from lodestone.llm.exchange import written
 from lodestone.llm.sketch import set_bits
 
-#: Bits of a level for each key in it, probes of a key, and the longest filter that is sent along with a plan.
-BITS, PROBES, MAX_BITS = 16, 4, 1 << 26
+#: Of a level's keys the share of false positives, and the longest filter that is sent along with a plan.
+WRONG, MAX_BITS = 0.25, 1 << 26
+
+
+class Level(NamedTuple):
+    bitmap: bytes
+    probes: int
+
+
+def level_size(n: int, others: int) -> tuple[int, int]:
+    """Bits and probes of a level of n keys that others are asked for: it passes about WRONG * n of them."""
+    probes = max(2, math.ceil(math.log2(max(1.0, others / (WRONG * n)))))
+    return max(64, 1 << (math.ceil(probes * n / math.log(2)) - 1).bit_length()), probes
 
 
 @dataclass(frozen=True)
@@ -67,14 +80,14 @@ def _probe(key: Column, level: int, i: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits))
 
 
-def _bitmap(keys: DataFrame, level: int, bits: int) -> bytes:
+def _bitmap(keys: DataFrame, level: int, bits: int, probes: int) -> bytes:
     """The filter of the keys."""
-    return set_bits(keys.select(F.explode(F.array(*[_probe(F.col("key"), level, i, bits) for i in range(PROBES)])).alias("bit")), bits)
+    return set_bits(keys.select(F.explode(F.array(*[_probe(F.col("key"), level, i, bits) for i in range(probes)])).alias("bit")), bits)
 
 
-def _passes(key: Column, level: int, bitmap: bytes) -> Column:
-    bits = len(bitmap) * 8
-    filled = F.lit(bytes(bitmap))
+def _passes(key: Column, level: int, made: Level) -> Column:
+    bits = len(made.bitmap) * 8
+    filled = F.lit(bytes(made.bitmap))
 
     def is_set(i: int) -> Column:
         bit = _probe(key, level, i, bits)
@@ -82,31 +95,32 @@ def _passes(key: Column, level: int, bitmap: bytes) -> Column:
         return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7).cast("bigint")).cast("int"))) != 0
 
     hit = is_set(0)
-    for i in range(1, PROBES):
+    for i in range(1, made.probes):
         hit = hit & is_set(i)
     return hit
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, n_listed: int) -> list[bytes]:
-    """Levels over the keys of universe (column key) for the listed keys; n_listed bounds the first level."""
-    levels: list[bytes] = []
+def build_cascade(universe: DataFrame, listed: DataFrame, n_listed: int, n_universe: int | None = None) -> list[Level]:
+    """Levels over the keys of universe (column key) for the listed keys. n_listed and n_universe (distinct keys, about; counted here if not given) are what level 1 is sized by."""
+    levels: list[Level] = []
     inside, outside, n = listed, universe, n_listed
+    others = universe.agg(F.approx_count_distinct("key")).first()[0] if n_universe is None else n_universe
     while n:
-        bits = max(64, 1 << (BITS * n - 1).bit_length())
+        bits, probes = level_size(n, others)
         if bits > MAX_BITS:
-            raise ValueError(f"{n} keys need a filter of {bits} bits; split the list by host into lists of at most {MAX_BITS // BITS} keys")
-        level = _bitmap(inside, len(levels) + 1, bits)
+            raise ValueError(f"{n} keys need a filter of {bits} bits; split the list by host")
+        level = Level(_bitmap(inside, len(levels) + 1, bits, probes), probes)
         levels.append(level)
         wrong = outside.where(_passes(F.col("key"), len(levels), level)).select("key").distinct()
         if len(levels) == 1:
             # Few keys get here: of all the universe, only what the first level passes.
             wrong = wrong.join(listed, "key", "left_anti")
         wrong = written(wrong, "cascade")
-        inside, outside, n = wrong, inside, wrong.count()
+        inside, outside, n, others = wrong, inside, wrong.count(), n
     return levels
 
 
-def is_listed(key: Column, levels: Sequence[bytes]) -> Column:
+def is_listed(key: Column, levels: Sequence[Level]) -> Column:
     """Exact for keys of the universe: the first level that rejects a key is even only for listed ones."""
     if not levels:
         return F.lit(False)
@@ -131,10 +145,11 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
         return rows.select(id_column, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(0).alias("n_levels"))
     fits = candidates(F.col("host"), F.col("path"), {(h.count(".") + 1, len(p)) for h, p in known})
     universe = rows.select(F.explode(fits).alias("c")).select("c.key")
-    cascades: dict[str, list[bytes]] = {}
+    n_universe = universe.agg(F.approx_count_distinct("key")).first()[0]
+    cascades: dict[str, list[Level]] = {}
     for verdict in sorted(set(known.values())):
         keys = [(f"{h}\0{p}",) for (h, p), v in known.items() if v == verdict]
-        cascades[verdict] = build_cascade(universe, spark.createDataFrame(keys, "key string"), len(keys))
+        cascades[verdict] = build_cascade(universe, spark.createDataFrame(keys, "key string"), len(keys), n_universe)
     verdict_of = lambda key: F.coalesce(*[F.when(is_listed(key, levels), F.lit(v)) for v, levels in cascades.items()])
     judged = F.filter(F.transform(fits, lambda c: F.struct(c.getField("name").alias("name"), verdict_of(c.getField("key")).alias("verdict"))), lambda c: c.verdict.isNotNull())
     best = rows.withColumn("best", F.try_element_at(judged, F.lit(1)))

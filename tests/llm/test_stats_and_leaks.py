@@ -111,6 +111,19 @@ def test_cutoffs_of_small_strata(spark):
     assert {r.stratum: r.passed for r in quality.with_passed(junk, cutoffs).collect()} == {"a": False, "b": True}
 
 
+def test_copies_are_one_draw(spark):
+    """A good text that comes 400 times is one draw, so it proves nothing about others; 400 different ones do."""
+    words = " ".join(f"w{i}" for i in range(60))
+    bad = "a # $ % # $ % # $ % " * 12 + words
+    same = [(i, words, "en") for i in range(400)] + [(1, words, "en")] * 400
+    other = [(i, f"{words} x{i}", "en") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1) for i in range(400)] + [(1000, 0)], "doc_id long, quality int")
+    for rows, kept in ((same, True), (other, False)):
+        frame = spark.createDataFrame([*rows, (1000, bad, "en")], "doc_id long, text string, lang string")
+        got = {r.kept for r in quality.quality_rules(frame, labels).where("doc_id = 1000 and not base_failed").collect()}
+        assert got == {kept}, (len(rows), got)
+
+
 def test_verdicts_on_the_real_tables(spark):
     """At sf0.1 every language gets cutoffs, and they reject badly labelled texts that the base rule lets pass."""
     from pyspark.sql import functions as F
