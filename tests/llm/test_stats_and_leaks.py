@@ -114,7 +114,7 @@ def test_cutoffs_of_small_strata(spark):
 def test_copies_are_one_draw(spark):
     """A good text that comes 400 times is one draw, so it proves nothing about others; 400 different ones do."""
     words = " ".join(f"w{i}" for i in range(60))
-    bad = "a # $ % # $ % # $ % " * 12 + words
+    bad = " ".join(f"w{i} {'#$%&' * 3}{i}" for i in range(60))
     same = [(i, words, "en") for i in range(400)] + [(1, words, "en")] * 400
     other = [(i, f"{words} x{i}", "en") for i in range(400)]
     labels = spark.createDataFrame([(i, 1) for i in range(400)] + [(1000, 0)], "doc_id long, quality int")
