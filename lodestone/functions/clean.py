@@ -10,6 +10,7 @@ NAVIGATION = ("nav", "header", "footer", "aside")
 # The thresholds of pruning that content is to survive.
 LINK_SHARE, SHORT = 0.2, 25
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+# The word lists of the class and id weights that readability-like extractors share (Arc90's, under the Apache licence 2.0), and the sentence of placeholders.
 POSITIVE = re.compile(r"article|body|content|entry|hentry|main|page|pagination|post|text|blog|story", re.I)
 NEGATIVE = re.compile(r"combx|comment|com-|contact|foot|footer|footnote|masthead|media|meta|outbrain|promo|related|scroll|shoutbox|sidebar|sponsor|shopping|tags|tool|widget", re.I)
 LOADING = re.compile(r"Loading(\s+\w+){0,3}\s*(\.\.\.|…)?", re.I)

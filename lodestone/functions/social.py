@@ -10,6 +10,7 @@ from string import ascii_lowercase, digits
 from urllib.parse import parse_qs, urlparse
 
 from lodestone.functions.dom import Node, parse
+from lodestone.functions.urls import TWEET_ID
 
 # Words shown to readers, and hosts of embeds.
 INCOMPLETE = "<p><em>Thread may be incomplete — could not fetch earlier tweets in this chain.</em></p>"
@@ -17,7 +18,7 @@ FALLBACK = "<p><em>Fetched via oEmbed fallback — media unavailable.</em></p>"
 TRUNCATED = "<p><em>Tweet truncated — X's public API doesn't expose the full text of long-form tweets.</em></p>"
 VIDEO, VIEW = "View video on X", "View tweet on X"
 EMBED_HOSTS = ("platform.twitter.com", "platform.x.com")
-STATUS = re.compile(r"(?:twitter\.com|x\.com)/(?:[^/?#]+/status(?:es)?|i/web/status)/(\d+)", re.I)
+STATUS = re.compile(TWEET_ID, re.I)
 FRACTION_DIGITS = 30
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.types import BooleanType
 from lodestone.functions.identity import ascii_lower
 
 SCHEME = "vault"
-# Hosts by source, and extensions by content type.
+# Hosts by source, extensions by content type, and where urls have the ids of tweets and videos.
 YOUTUBE = ("youtube.com", "www.youtube.com", "youtu.be", "m.youtube.com")
 X = ("twitter.com", "www.twitter.com", "mobile.twitter.com", "x.com", "www.x.com", "mobile.x.com")
 SUBSTACK = ("substack.com", "www.substack.com")
@@ -30,6 +30,8 @@ IMAGE_EXT = {
     "image/vnd.microsoft.icon": ".ico",
     "image/avif": ".avif",
 }
+TWEET_ID = r"(?:twitter\.com|x\.com)/(?:[^/?#]+/status(?:es)?|i/web/status)/(\d+)"
+VIDEO_IDS = (r"youtube\.com/watch\?(?:.*&)?v=([^&]+)", r"youtu\.be/([^?/]+)", r"youtube\.com/embed/([^?/]+)")
 
 
 def authority(url: Column) -> Column:
@@ -56,12 +58,12 @@ def parse_deep_link(url: Column) -> Column:
 
 
 def tweet_id(url: Column) -> Column:
-    found = F.regexp_extract(url, r"(?i)(?:twitter\.com|x\.com)/(?:[^/?#]+/status(?:es)?|i/web/status)/(\d+)", 1)
+    found = F.regexp_extract(url, f"(?i){TWEET_ID}", 1)
     return F.when(found != "", found)
 
 
 def video_id(url: Column) -> Column:
-    every = [F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in (r"youtube\.com/watch\?(?:.*&)?v=([^&]+)", r"youtu\.be/([^?/]+)", r"youtube\.com/embed/([^?/]+)")]
+    every = [F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in VIDEO_IDS]
     return F.coalesce(*every)
 
 

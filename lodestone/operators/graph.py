@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.links import _near, refs_from, refs_to, resolved
+from lodestone.operators.links import near, refs_from, refs_to, resolved, tag_peers
 from lodestone.operators.tags import structural
 from lodestone.sources.refstore import slot_of
 from lodestone.sources.shared import scope, written
@@ -63,7 +63,7 @@ def subgraph_edges(vault: Vault, focus: int) -> DataFrame:
     """Edges around an entry: its own references and tags; references to its title; and the others that share its tags, one for each tag."""
     me = F.lit(f"entry:{focus}")
     mine = refs_from(vault, focus)
-    own = edges_of(mine, _near(vault.titles, mine.select(slot_of(F.col("target_text"), F.col("is_hashtag")).alias("slot"))))
+    own = edges_of(mine, near(vault.titles, mine.select(slot_of(F.col("target_text"), F.col("is_hashtag")).alias("slot"))))
     given = structural(vault).where(F.col("entry_id") == focus)
     entries = vault.entries.select(F.col("id").alias("entry_id"))
     come = refs_to(vault, focus)
@@ -71,10 +71,7 @@ def subgraph_edges(vault: Vault, focus: int) -> DataFrame:
     # A hashtag that is the title of the focus keeps its own node.
     by_tag = come.where("is_hashtag").select(entry_node(F.col("source_id")).alias("source"), tag_node(F.col("target_text")).alias("target"), F.lit(1).cast("long").alias("n"))
     keys = given.select("key").unionByName(mine.where("is_hashtag").select(F.col("target_text").alias("key"))).distinct()
-    # Of the references only those that name a tag of the focus are read.
-    named = _near(vault.refs_by_key, keys.select(F.col("key").alias("slot"))).where("is_hashtag").select(F.col("source_id").alias("entry_id"), F.col("target_text").alias("key"))
-    peers = structural(vault).unionByName(named).where(F.col("entry_id") != focus).join(keys, "key", "left_semi").distinct()
-    shared = tag_edges(peers.join(entries, "entry_id", "left_semi"))
+    shared = tag_edges(tag_peers(vault, focus, keys).join(entries, "entry_id", "left_semi"))
     return weighted(own.unionByName(tag_edges(given)).unionByName(inbound).unionByName(by_tag).unionByName(shared))
 
 

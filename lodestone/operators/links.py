@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.identity import ascii_lower, title_key
 from lodestone.operators.refs import parse_refs
 from lodestone.operators.search import top
-from lodestone.operators.tags import members
+from lodestone.operators.tags import structural
 from lodestone.sources.refstore import slot_of
 from lodestone.sources.vault import Vault
 
@@ -25,7 +25,7 @@ def resolved(refs: DataFrame, titles: DataFrame) -> DataFrame:
     return refs.join(index, (F.col("is_hashtag") == F.col("of_hashtag")) & (F.col("target_text") == F.col("key")), "left").drop("of_hashtag", "key")
 
 
-def _near(table: DataFrame, keys: DataFrame) -> DataFrame:
+def near(table: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of a table with slots that may have some keys (slot). The keys of one entry are few; then Spark reads the buckets of these only."""
     few = [r.slot for r in keys.select("slot").distinct().take(FEW_KEYS + 1)]
     return table.where(F.col("slot").isin(few)) if len(few) <= FEW_KEYS else table.join(keys.select("slot").distinct(), "slot", "left_semi")
@@ -61,7 +61,7 @@ def refs_from(vault: Vault, entry_id: int) -> DataFrame:
 def outgoing_links(vault: Vault, entry_id: int) -> DataFrame:
     """References of an entry that mean another entry; others are dropped."""
     mine = refs_from(vault, entry_id)
-    titles = _near(vault.titles, mine.select(slot_of(F.col("target_text"), F.col("is_hashtag")).alias("slot")))
+    titles = near(vault.titles, mine.select(slot_of(F.col("target_text"), F.col("is_hashtag")).alias("slot")))
     found = resolved(mine, titles).where(F.col("target_id").isNotNull() & (F.col("target_id") != entry_id))
     return found.select("target_id", "target_title", "ordinal", "is_hashtag", "heading", "pre", "highlight", "post").orderBy(F.lower("target_title"), "target_id", "ordinal")
 
@@ -86,11 +86,17 @@ def direct_links(vault: Vault, entry_id: int) -> DataFrame:
     return come.unionByName(go).distinct().orderBy(F.collate("title", "UNICODE"), "direction", "id")
 
 
+def tag_peers(vault: Vault, entry_id: int, keys: DataFrame) -> DataFrame:
+    """(entry_id, key): the other entries that have some tags (key), given or written; of the references only those that name one of them are read."""
+    named = near(vault.refs_by_key, keys.select(F.col("key").alias("slot"))).where("is_hashtag").select(F.col("source_id").alias("entry_id"), F.col("target_text").alias("key"))
+    return structural(vault).unionByName(named).where(F.col("entry_id") != entry_id).join(keys, "key", "left_semi").distinct()
+
+
 def hashtag_connections(vault: Vault, entry_id: int) -> DataFrame:
     """(key, id, title): for each tag of an entry the other entries that have it too."""
-    everyone = members(vault)
-    mine = everyone.where(F.col("entry_id") == entry_id).select("key")
-    peers = everyone.where(F.col("entry_id") != entry_id).join(mine, "key", "left_semi")
+    written = refs_from(vault, entry_id).where("is_hashtag").select(F.col("target_text").alias("key"))
+    mine = structural(vault).where(F.col("entry_id") == entry_id).select("key").unionByName(written).distinct()
+    peers = tag_peers(vault, entry_id, mine)
     return peers.join(vault.entries.select(F.col("id"), "title"), F.col("entry_id") == F.col("id")).select("key", "id", "title").orderBy("key", "title", "id")
 
 

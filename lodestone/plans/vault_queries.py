@@ -460,12 +460,22 @@ def search_filtered(v: Vault) -> DataFrame:
     return found(v).join(kept.select("id"), "id", "left_semi").select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"""with f as (select *, row_number() over (order by score, id) as rank from ({FOUND})), o as (select target_id as id from ({OUT}))
-select row_number() over (order by rank) as rank, id from (select * from f where id <> {FOCUS} and id not in (select id from o) order by rank limit 8)""")
+CANDIDATES = f"""with f as (select *, row_number() over (order by score, id) as rank from ({FOUND})), o as (select target_id as id from ({OUT}))
+select row_number() over (order by rank) as rank, id from (select * from f where id <> {FOCUS} and id not in (select id from o) order by rank limit 8)"""
+
+
+@query(CANDIDATES)
 def link_candidates(v: Vault) -> DataFrame:
     return L.link_candidates(found(v), L.outgoing_links(v, FOCUS).select(F.col("target_id").alias("id")), FOCUS)
 
 
+@query(CANDIDATES)
+def link_candidates_early(v: Vault) -> DataFrame:
+    """The same without ranking all results."""
+    known = L.outgoing_links(v, FOCUS).select(F.col("target_id").alias("id")).unionByName(v.entries.sparkSession.range(FOCUS, FOCUS + 1))
+    return kept_index(v).top(WORDS, 8, known)[0].select("rank", "id")
+
+
 ODD_URLS = ["https://x.com/a/status/123?s=20", "https://twitter.com/i/web/status/9", "https://x.com:443/a", "http://user@youtube.com/watch?v=1", "https://foo.substack.com/p/x", "https://SUBSTACK.com", "https://youtu.be/abc", "https://mobile.twitter.com/u/statuses/77#x", "notaurl", ""]
 
 
