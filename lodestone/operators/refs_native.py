@@ -6,6 +6,8 @@ is marked in place, so a split at the marks gives the finds with their places.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ FINDS = "array<struct<at: int, found: string>>"
 REF = "array<struct<target_text: string, is_hashtag: boolean, heading: string, pre: string, highlight: string, post: string>>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once and standing once in the plan."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{WHITE}]+|[{WHITE}]+\z", "")
 
@@ -65,15 +72,16 @@ def masked(line: Column) -> Column:
 
 def finds(text: Column, pattern: str) -> Column:
     """[(at, found)]: what a pattern finds, and how many characters stand before it."""
-    pieces = marked(text, pattern)
-    start = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), F.array().cast(FINDS).alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         one = F.array(F.struct(acc["at"].alias("at"), found_of(p).alias("found"))).cast(FINDS)
         return F.struct((acc["at"] + F.length(p) - 1).alias("at"), F.concat(acc["out"], one).alias("out"))
 
-    each = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), each).otherwise(F.array().cast(FINDS))
+    def places(pieces: Column) -> Column:
+        start = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), F.array().cast(FINDS).alias("out"))
+        return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
+
+    return let(marked(text, pattern), places)
 
 
 def body_of(markdown: Column) -> Column:
@@ -89,7 +97,6 @@ def live_text(body: Column) -> Column:
 
 def refs_of_line(line: Column, heading: Column) -> Column:
     """Wikilinks, then hashtags."""
-    shown = masked(line)
 
     def ref(f: Column, is_tag: bool) -> Column:
         at, m = f["at"], f["found"]
@@ -98,7 +105,12 @@ def refs_of_line(line: Column, heading: Column) -> Column:
         post = F.substring(line, at + F.length(m) + 1, F.lit(CONTEXT))
         return F.struct(target.alias("target_text"), F.lit(is_tag).alias("is_hashtag"), heading.alias("heading"), stripped(pre).alias("pre"), m.alias("highlight"), stripped(post).alias("post"))
 
-    return F.concat(F.transform(finds(shown, WIKILINK), lambda f: ref(f, False)).cast(REF), F.transform(finds(shown, HASHTAG), lambda f: ref(f, True)).cast(REF))
+    def both(shown: Column) -> Column:
+        links = F.when(shown.contains("[["), F.transform(finds(shown, WIKILINK), lambda f: ref(f, False)).cast(REF)).otherwise(F.array().cast(REF))
+        tags = F.when(shown.contains("#"), F.transform(finds(shown, HASHTAG), lambda f: ref(f, True)).cast(REF)).otherwise(F.array().cast(REF))
+        return F.concat(links, tags)
+
+    return let(masked(line), both)
 
 
 def linked_of(markdown: Column) -> Column:
@@ -126,32 +138,41 @@ def parse(markdown: Column) -> Column:
         lines = F.filter(F.split(F.regexp_replace(section, rf"\A{MARKER}", ""), LINE_END), has)
         return F.flatten(F.transform(lines, lambda line: refs_of_line(line, heading)))
 
-    live = live_text(body_of(markdown))
-    sections = F.filter(F.split(live, rf"{LINE_START}(?={MARKER})"), has)
-    written = F.when(has(live), F.flatten(F.transform(sections, of_section))).otherwise(F.array().cast(REF))
-    return F.concat(named.cast(REF), written)
+    sections = F.split(let(body_of(markdown), live_text), rf"{LINE_START}(?={MARKER})")
+    return F.concat(named.cast(REF), F.flatten(F.transform(F.filter(sections, has), of_section)))
 
 
 def rewrite(markdown: Column, key: Column, change) -> Column:
     """A plain text with every live hashtag of an identity changed by change(hashtag): struct (markdown, changed). All else stays byte for byte; only frontmatter at the very beginning is passed over."""
-    head = F.regexp_extract(markdown, HEAD, 0)
-    body = F.substring(markdown, F.length(head) + 1, 2**31 - 1)
     is_it = lambda f: F.lower(F.substring(f["found"], 2, 2**31 - 1)) == key
 
     def of_line(line: Column) -> Column:
         marker = F.regexp_extract(line, rf"\A{MARKER}", 0)
-        text = F.substring(line, F.length(marker) + 1, 2**31 - 1)
-        mine = F.filter(finds(masked(text), HASHTAG), is_it)
-        ends = F.concat(F.array(F.lit(0)), F.transform(mine, lambda f: f["at"] + F.length(f["found"])))
-        each = F.transform(mine, lambda f, i: F.concat(F.substring(text, F.get(ends, i) + 1, f["at"] - F.get(ends, i)), F.lit(CHANGED), change(f["found"])))
-        return F.when(line.contains("#"), F.concat(marker, F.array_join(each, ""), F.substring(text, F.element_at(ends, -1) + 1, F.lit(2**31 - 1)))).otherwise(line)
+
+        def with_finds(text: Column, mine: Column) -> Column:
+            def with_ends(ends: Column) -> Column:
+                each = F.transform(mine, lambda f, i: F.concat(F.substring(text, F.get(ends, i) + 1, f["at"] - F.get(ends, i)), F.lit(CHANGED), change(f["found"])))
+                return F.concat(F.array_join(each, ""), F.substring(text, F.element_at(ends, -1) + 1, F.lit(2**31 - 1)))
+
+            return let(F.concat(F.array(F.lit(0)), F.transform(mine, lambda f: f["at"] + F.length(f["found"]))), with_ends)
+
+        rest = F.substring(line, F.length(marker) + 1, 2**31 - 1)
+        new = let(rest, lambda text: let(F.filter(finds(masked(text), HASHTAG), is_it), lambda mine: with_finds(text, mine)))
+        return F.when(line.contains("#"), F.concat(marker, new)).otherwise(line)
 
     def of_text(text: Column) -> Column:
         pieces = marked(text, LINE_END)
         return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, of_line(p)).otherwise(F.concat(found_of(p), of_line(after_found(p))))), "")
 
     # Marks of lines are set within pieces between fences, so the fences are marked and split off first.
-    between = marked(body, FENCE_LINE)
-    out = F.array_join(F.transform(between, lambda p, i: F.when(i == 0, of_text(p)).when(i % 2 == 0, F.concat(found_of(p), of_text(after_found(p)))).otherwise(F.concat(found_of(p), after_found(p)))), "")
-    changed = F.length(out) - F.length(F.replace(out, F.lit(CHANGED), F.lit("")))
-    return F.struct(F.concat(head, F.replace(out, F.lit(CHANGED), F.lit(""))).alias("markdown"), changed.cast("int").alias("changed"))
+    piece = lambda p, i: F.when(i == 0, of_text(p)).when(i % 2 == 0, F.concat(found_of(p), of_text(after_found(p)))).otherwise(F.concat(found_of(p), after_found(p)))
+
+    def of_body(head: Column) -> Column:
+        body = F.substring(markdown, F.length(head) + 1, 2**31 - 1)
+        return F.concat(head, F.array_join(F.transform(marked(body, FENCE_LINE), piece), ""))
+
+    def counted(out: Column) -> Column:
+        plain = F.replace(out, F.lit(CHANGED), F.lit(""))
+        return F.struct(plain.alias("markdown"), (F.length(out) - F.length(plain)).cast("int").alias("changed"))
+
+    return let(let(F.regexp_extract(markdown, HEAD, 0), of_body), counted)
