@@ -75,7 +75,8 @@ class Differences(StatefulProcessor):
         newest = None
         for frame in rows:
             for r in frame.itertuples(index=False):
-                if newest is None or r.seq > newest.seq:
+                # Of rows of one scan one counts, a file that is gone before others.
+                if newest is None or (r.seq, r.gone, r.mtime) > (newest.seq, newest.gone, newest.mtime):
                     newest = r
         seq, old = (self.state.get() if self.state.exists() else (-1, "[]"))
         if newest is None or newest.seq <= seq:
