@@ -20,6 +20,15 @@ def test_tree():
     assert parse("</div>x<nosuch").text().startswith("x")
 
 
+def test_a_reference_that_is_cut_off_is_text():
+    """As in the SQL of extract_article and article_body: only whole references are read."""
+    page = parse("<title>a &amp;&amp</title><p title='b &amp c' class='d &amp; e'>&lt;&lt b &#x27;&#x27 &am c &quot</p><a href='?a=1&copy=2&b=&amp;lt'>&amp;lt</a><script>a &amp &amp; b</script>")
+    assert page.first("title").text() == "a &&amp" and page.first("p").text() == "<&lt b '&#x27 &am c &quot"
+    assert page.first("p").attrs == {"title": "b & c", "class": "d & e"} and page.first("a").attrs["href"] == "?a=1&copy=2&b=&lt" and page.first("a").text() == "&lt"
+    assert page.first("script").children == ["a &amp &amp; b"]
+    assert parse("a &lt; b &").text() == "a < b &" and parse("\ufdd0 &amp").text() == "\ufdd0 &amp"
+
+
 def test_steps():
     assert after(clean.drop_hidden, '<p class="a hidden">x</p><p class="unhidden">y</p>') == '<p class="unhidden">y</p>'
     assert after(clean.simplify_figures, "<div><figure><a><span><img src='x'></span></a><figcaption>c</figcaption></figure></div>") == '<figure><img src="x"><figcaption>c</figcaption></figure>'
