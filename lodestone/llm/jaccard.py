@@ -5,7 +5,7 @@ A document is its set of distinct shingles of k words (fewer words: the one of a
 1. Documents with equal sets are one node. Two linked nodes share a shingle among the first n - ceil(t n) + 1 of each (the prefix filter), and mostly many: the more equal their sizes, the more of
    their prefixes must agree. So nodes meet at their prefix shingles, sizes and places rule pairs out early, and of the rest only those that meet often enough are verified.
    At each shingle all nodes are first paired with the least only.
-2. Pairs are verified by vertical partitioning: the global order of hashes is cut into fragments; in each fragment a member's part of its set is counted against the part of its partner, and the partial overlaps are summed for each pair.
+2. Of the pairs those whose wide parity sketches, of a bit or two for each shingle, differ in no more bits than linked sets have different elements are verified by vertical partitioning: the global order of hashes is cut into fragments; in each fragment a member's part of its set is counted against the part of its partner, and the partial overlaps are summed for each pair.
 3. The links give components. Each node joins the family of the least node that it meets at all; in a family, a node is paired with the few of other components whose parity sketches are nearest to its own and with a few more that its hash picks; these pairs are verified
    likewise. Large families of near copies are one component then, or nearly.
 4. All other pairs that met often enough, are in different components still, and whose sketches differ in no more bits than linked sets have different elements, are verified in the same way; pairs within one component are connected already and can change nothing.
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from lodestone.llm import textbytes as tb
 from lodestone.llm.components import connected_components
 from lodestone.llm.exchange import bucket_count, by_bucket, pack, text_bytes, to_buckets, tune, unpack, written
-from lodestone.llm.sketch import cell_counts
+from lodestone.llm.sketch import set_bits, signed_counts
 
-CELLS, FRAGMENTS = 1 << 18, 6
-#: Bits of a set's parity sketch.
-SKETCH = 512
+CELLS, FRAGMENTS = 1 << 21, 6
+#: The bitmap of documents to verify has two to the power of this many bits.
+ASKED_BITS = 25
+#: Bits of a set's parity sketch, and the most of its wide one, which has one bit or two for each shingle.
+SKETCH, WIDE = 512, 1 << 16
 #: Of step 3: partners by sketch and by hash; rows that are looked at together; cells up to this size are paired all at once; members of a group in one block at least; partners of a leader in one task.
 NEAREST, PICKED, CHUNK, SMALL, LARGE, FAMILY = 2, 3, 200_000, 48, 256, 256
 META, TOKENS, PAIR, MEMBER = 0, 1, 2, 3
@@ -61,9 +63,15 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarra
         low = high
 
 
+def levels(counts: np.ndarray) -> np.ndarray:
+    """How common the shingles of each cell are, for both signs that they may have in it: two levels for each doubling."""
+    both = np.maximum(np.stack([counts, -counts], axis=1), 0).ravel()
+    return np.minimum(2 * np.log2(both + 1), 2**LEVEL_BITS - 1).astype(np.uint8)
+
+
 def ordered_sets(row: np.ndarray, gram: np.ndarray, n_rows: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in the global order, row after row: row, key, set sizes, and a hash of each set."""
-    key = (level[(gram % tb.U64(CELLS)).astype(np.int64)].astype(tb.U64) << tb.U64(64 - LEVEL_BITS)) | (gram >> tb.U64(LEVEL_BITS))
+    key = (level[(gram % tb.U64(len(level))).astype(np.int64)].astype(tb.U64) << tb.U64(64 - LEVEL_BITS)) | (gram >> tb.U64(LEVEL_BITS))
     order = np.lexsort((key, row))
     row, key = row[order], key[order]
     new = np.ones(len(row), bool)
@@ -84,6 +92,27 @@ def parity_sketches(row: np.ndarray, key: np.ndarray, n_rows: int) -> list[bytes
     return [r.tobytes() for r in np.packbits(odd.astype(np.uint8), axis=1)]
 
 
+def wide_sketches(row: np.ndarray, key: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity sketches of a power of two of bits each, as many as the set has keys at least, but SKETCH to WIDE. Where bit i and bit i + half fall together, a sketch has half the size."""
+    size = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), SKETCH, WIDE)
+    end = np.cumsum(size)
+    bit = (tb.mix(key ^ tb.U64(SKETCH)) & (size[row] - 1).astype(tb.U64)).astype(np.int64)
+    odd = np.bincount((end - size)[row] + bit, minlength=int(end[-1])) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[e - s : e] for s, e in zip((size // 8).tolist(), (end // 8).tolist(), strict=True)]
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of `size` bytes."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two wide sketches differ, at the size of the smaller: never more than the elements in which their sets do."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(np.frombuffer(a, np.uint8), size) ^ folded(np.frombuffer(b, np.uint8), size)).sum(dtype=np.int64))
+
+
 def may_link(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Sets of n and m shingles that share their i-th and j-th: can their overlap be large enough."""
     need = -(-percent * (n + m) // (100 + percent))
@@ -192,8 +221,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = bucket_count(spark, text_bytes(docs) * 0.8)
-    counts = cell_counts(docs, lambda column: (gram for *_, gram in shingle_sets(column, k)), CELLS)
-    level = np.minimum(np.log2(counts + 1), 2**LEVEL_BITS - 1).astype(np.uint8)
+    level = levels(signed_counts(docs, lambda column: (gram for *_, gram in shingle_sets(column, k)), CELLS))
 
     def list_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -219,7 +247,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
             for low, high, row, gram in shingle_sets(batch.column(1), k):
                 row, key, n, node = ordered_sets(row, gram, high - low, level)
                 # Nothing meets these rows, so they spread evenly, copies too.
-                yield _rows(META, np.arange(low, high) % buckets, doc[low:high], n, node.view(np.int64), known[low:high], runs=parity_sketches(row, key, high - low))
+                yield _rows(META, np.arange(low, high) % buckets, doc[low:high], n, node.view(np.int64), known[low:high], runs=[s + w if len(w) > len(s) else s for s, w in zip(parity_sketches(row, key, high - low), wide_sketches(row, key, n), strict=True)])
                 place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 use = (place <= n[row] - -(-percent * n[row] // 100)) & known[low:high][row]
                 # Size and place in one number: both are below 2**31.
@@ -354,6 +382,19 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n", "m", "shared"])
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            apart = np.array([bits_apart(a.as_py(), b.as_py()) for a, b in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+            keep = pa.array(apart <= n + m - 2 * -(-percent * (n + m) // (100 + percent)))
+            yield batch.select([0, 1]).filter(keep)
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose wide sketches let them link: of long texts, which fill the short sketch, few others are left to verify."""
+        side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
+        return written(both.mapInArrow(near, "a long, b long"), "near")
+
     def verify(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b) of nodes. The pairs of one leader a that has many are dealt to several tasks, each with the leader's own fragments."""
         many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > FAMILY)
@@ -361,7 +402,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
         asks = salted.select(F.col("b").alias("node"), F.col("a").alias("leader"), "salt").unionByName(salted.select(F.col("a").alias("node"), F.col("a").alias("leader"), "salt")).distinct()
         of_doc = asks.join(reps.select("node", "doc_id"), "node").groupBy("doc_id").agg(F.collect_list(F.struct("node", "leader", "salt")).alias("asks"))
-        parts = docs.join(of_doc, "doc_id").select("doc_id", "text", "asks").mapInArrow(cut_fragments, "leader long, f int, salt int, role int, node long, n long, part binary")
+        of_doc = written(of_doc, "asks")
+        # Only these texts are shuffled, and few others.
+        bits = np.frombuffer(set_bits(of_doc.select(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", ASKED_BITS)).bitwiseAND((1 << ASKED_BITS) - 1).alias("bit")), 1 << ASKED_BITS), np.uint8)
+
+        def asked_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc = tb.longs(batch.column(0))
+                at = (doc ^ doc >> ASKED_BITS) & ((1 << ASKED_BITS) - 1)
+                yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+
+        asked = docs.mapInArrow(asked_only, "doc_id long, text string")
+        parts = asked.join(of_doc, "doc_id").select("doc_id", "text", "asks").mapInArrow(cut_fragments, "leader long, f int, salt int, role int, node long, n long, part binary")
         met = parts.repartition(buckets, "leader", "f", "salt").sortWithinPartitions("leader", "f", "salt", "role", "node").mapInArrow(count_overlaps, "a long, b long, n long, m long, shared long")
         links = met.groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared")).where(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared")))
         return links.select("a", "b")
@@ -375,15 +427,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
     listed = docs.mapInArrow(list_prefixes, ROW)
     met = written(to_buckets(listed, buckets).mapInArrow(meet, ROW), "met")
-    meta = met.where(f"kind = {META}").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("node"), (F.col("d") == 1).alias("known"), F.col("run").alias("sketch"))
-    reps = written(meta.where("n > 0 and known").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "reps")
+    meta = met.where(f"kind = {META}").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("node"), (F.col("d") == 1).alias("known"), F.col("run").alias("sketches"))
+    least = meta.where("n > 0 and known").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    short, wide = F.expr(f"substring(sketches, 1, {SKETCH // 8})"), F.expr(f"substring(sketches, {SKETCH // 8 + 1})")
+    reps = written(least.select("node", "doc_id", "n", short.alias("sketch"), F.when(F.octet_length("sketches") > SKETCH // 8, wide).otherwise(short).alias("wide")), "reps")
     # Prefix lengths and least meetings, as least_meetings() has them, in SQL.
     need = f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
     prefix = lambda x: f"({x} - (({percent} * {x} + 99) div 100) + 1)"
     often = f"times >= greatest(1, least({prefix('n')} - (n - {need}), {prefix('m')} - (m - {need})))"
     summed = lambda rows: rows.groupBy("a", "b", "n", "m").agg(F.sum("times").alias("times")).where(often).select("a", "b")
     pairs = written(summed(met.where(f"kind = {PAIR}").select("a", "b", F.col("c").alias("n"), F.col("d").alias("m"), F.col("e").alias("times"))), "pairs")
-    parts = joined(reps.select("node", F.col("doc_id").alias("component")), written(verify(pairs), "links"))
+    parts = joined(reps.select("node", F.col("doc_id").alias("component")), written(verify(plausible(pairs)), "links"))
     members = met.where(f"kind = {MEMBER}").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("c").alias("n"), F.col("d").alias("place"), F.col("e").alias("leader"))
     # A family meets at many shingles, mostly under the same least node; each node is in the family of the least node that it meets at all.
     families = members.groupBy("node").agg(F.min("leader").alias("token"), F.first("n").alias("n")).where("token <> node").select("token", "node", "n").unionByName(members.where("leader = node").groupBy(F.col("leader").alias("token"), "node").agg(F.first("n").alias("n"))).withColumn("place", F.lit(0).cast("long"))
@@ -392,7 +446,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         some = some.select("a", "b").distinct() if few else summed(some)
         more = written(some.join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
-            parts = joined(parts, written(verify(more), "links"))
+            parts = joined(parts, written(verify(plausible(more)), "links"))
             pairs = pairs.unionByName(more)
     of_node = parts.select(F.col("node").alias("of"), "component")
     out = meta.join(of_node, (F.col("node") == F.col("of")) & F.col("known") & (F.col("n") > 0), "left")

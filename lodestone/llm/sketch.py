@@ -48,3 +48,35 @@ def cell_counts(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarra
     for block, values in docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():
         out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(values, np.int64)
     return out
+
+
+def signed_counts(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray]], cells: int) -> np.ndarray:
+    """A count sketch of one row, `cells` (a power of two) wide: the lowest bit of a hash tells whether it adds one to its cell or takes one away, the bits above name the cell.
+
+    What shares a cell cancels out mostly, so a rare hash among n others is off by the root of n / cells, where a plain count would have all n / cells of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(cells, np.int64)
+        for batch in batches:
+            for found in hashes(batch.column(0)):
+                np.add.at(table, (found >> np.uint64(1) & np.uint64(cells - 1)).astype(np.int64), 1 - 2 * (found & np.uint64(1)).astype(np.int64))
+        blocks = table.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        # Cells of a task are small numbers: as narrow as those of their block are.
+        narrow = [blocks[b].astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.abs(blocks[b]).max() <= np.iinfo(t).max)).tobytes() for b in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(narrow, pa.binary())], names=["block", "cells"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = c.as_buffer()
+                sums[b] = sums.get(b, 0) + np.frombuffer(part, f"i{part.size // BLOCK}").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "cells"])
+
+    schema = "block long, cells binary"
+    out = np.zeros(cells, np.int64)
+    # One row for each block: `cells` numbers in all.
+    for block, values in docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(values, np.int64)
+    return out

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from lodestone.llm import jaccard
 from lodestone.llm.components import connected_components
+from lodestone.llm.sketch import signed_counts
 
 
 def test_components(spark):
@@ -84,6 +85,32 @@ def test_sketches():
         assert apart < 5 or int(np.bitwise_count(f ^ found[0]).sum()) > apart // 2
 
 
+def test_wide_sketches_tell_long_sets_apart():
+    """Never more bits than elements, at whatever sizes; and two long sets that share two thirds cannot link, which SKETCH bits did not tell."""
+    r = np.random.default_rng(17)
+    base = r.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [base, base[:2100], np.concatenate((base[:2000], r.integers(0, 2**63, 1000).astype(np.uint64))), base[:40], base[:0], np.concatenate((base, r.integers(0, 2**63, 2000).astype(np.uint64)))]
+    n = np.array([len(s) for s in sets])
+    row, key = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+    wide, short = jaccard.wide_sketches(row, key, n), jaccard.parity_sketches(row, key, len(sets))
+    for s, v, narrow in zip(sets, wide, short, strict=True):
+        assert jaccard.folded(np.frombuffer(v, np.uint8), jaccard.SKETCH // 8).tobytes() == narrow
+        for t, w in zip(sets, wide, strict=True):
+            assert jaccard.bits_apart(v, w) <= len(set(s.tolist()) ^ set(t.tolist()))
+    most = 6000 - 2 * -(-85 * 6000 // 185)
+    assert jaccard.bits_apart(wide[0], wide[2]) > most > jaccard.bits_apart(short[0], short[2])
+
+
+def test_common_shingles_stand_last_in_a_full_table(spark):
+    """100 hashes fall into each cell. What comes 500 times stands after nearly all that comes once, but where two such share a cell."""
+    once, common = np.random.default_rng(18).integers(0, 2**63, (2, 100 << 12)).astype(np.uint64)
+    common = common[:50]
+    parts = lambda column: (np.concatenate((once[int(x) :: 20], np.repeat(common, 25))) for x in column.to_pylist())
+    level = jaccard.levels(signed_counts(spark.createDataFrame([(str(i),) for i in range(20)], "text string").repartition(3), parts, 1 << 12))
+    of = lambda h: level[(h % np.uint64(len(level))).astype(np.int64)]
+    assert np.quantile(of(common), 0.1) > np.quantile(of(once), 0.98) and np.median(of(once)) < 8
+
+
 def test_pairs_of_small_and_large_groups():
     """Each pair across components comes once, however a group is dealt to cells."""
     r = np.random.default_rng(16)
