@@ -34,8 +34,8 @@ CELLS, FRAGMENTS = 1 << 21, 6
 ASKED_BITS = 25
 #: Bits of a set's parity sketch, and the most of its wide one, which has one bit or two for each shingle.
 SKETCH, WIDE = 512, 1 << 16
-#: Of step 3: partners by sketch and by hash; rows that are looked at together; cells up to this size are paired all at once; members of a group in one block at least; partners of a leader in one task.
-NEAREST, PICKED, CHUNK, SMALL, LARGE, FAMILY = 2, 3, 200_000, 48, 256, 256
+#: Of step 3: partners by sketch and by hash; rows that are looked at together, and their bytes; cells up to this size are paired all at once, groups up to the next size have short sketches only; members of a group in one block at least; partners of a leader in one task.
+NEAREST, PICKED, CHUNK, CHUNK_BYTES, SMALL, FEW, LARGE, FAMILY = 2, 3, 200_000, 32 << 20, 48, 8, 256, 256
 META, TOKENS, PAIR, MEMBER = 0, 1, 2, 3
 ROW = "bucket int, kind int, run binary, a long, b long, c long, d long, e long"
 PAIRS = "a long, b long, n long, m long, times long"
@@ -113,6 +113,40 @@ def bits_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(folded(np.frombuffer(a, np.uint8), size) ^ folded(np.frombuffer(b, np.uint8), size)).sum(dtype=np.int64))
 
 
+class Sketches:
+    """Sketches of several sizes side by side. Those of short sets, or of small groups, have SKETCH bits."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.sizes = np.fromiter(map(len, sketches), np.int64, len(sketches))
+        #: By size in bytes: all sketches of that size at least, folded to it, and where each row's is.
+        self.folds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        of_size = {s: np.frombuffer(b"".join(x for x in sketches if len(x) == s), tb.U64).reshape(-1, s // 8) for s in np.unique(self.sizes).tolist()}
+        at, folds = np.zeros(len(sketches), np.int64), []
+        for s in sorted({SKETCH // 8, *of_size}, reverse=True):
+            # The larger ones stand first, in the order in which they came.
+            folds = [np.bitwise_xor.reduce(f.reshape(len(f), -1, s // 8), axis=1) for f in folds] + ([of_size[s]] if s in of_size else [])
+            mine = self.sizes == s
+            at[mine] = sum(map(len, folds)) - int(mine.sum()) + np.arange(int(mine.sum()))
+            self.folds[s] = (np.concatenate(folds) if folds else np.zeros((0, s // 8), tb.U64)), at
+
+    def apart(self, x: np.ndarray, y: np.ndarray, size: int = SKETCH // 8) -> np.ndarray:
+        """In how many bits x and y differ, folded to `size` bytes; some MB of them are looked at together."""
+        rows, at = self.folds[size]
+        step = max(1, (64 << 20) // size)
+        return np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(rows[at[x[i : i + step]]] ^ rows[at[y[i : i + step]]]).sum(axis=1, dtype=np.int64) for i in range(0, len(x), step))])
+
+    def within(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs differ in no more bits than `most`, at SKETCH bits and at the size of the smaller; and in how many those do."""
+        apart = self.apart(x, y)
+        keep = np.flatnonzero(apart <= most)
+        apart, smaller = apart[keep], np.minimum(self.sizes[x[keep]], self.sizes[y[keep]])
+        for size in np.unique(smaller[smaller > SKETCH // 8]).tolist():
+            its = np.flatnonzero(smaller == size)
+            apart[its] = self.apart(x[keep[its]], y[keep[its]], size)
+        near = apart <= most[keep]
+        return keep[near], apart[near]
+
+
 def may_link(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Sets of n and m shingles that share their i-th and j-th: can their overlap be large enough."""
     need = -(-percent * (n + m) // (100 + percent))
@@ -152,12 +186,12 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int]]:
     """Rows in the order of token and block, home rows first -> tables of many whole cells (rows of one token and block); or parts of one large cell, each with all its home rows. The number tells how many rows at the
-    beginning have been visitors already. So a task holds some CHUNK rows and the home rows of one cell."""
+    beginning have been visitors already. So a task holds some CHUNK rows, or CHUNK_BYTES, and the home rows of one cell."""
     held: list[pa.RecordBatch] = []
-    old = 0
+    old = old_bytes = 0
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) - old < CHUNK:
+        if sum(b.num_rows for b in held) - old < CHUNK and sum(b.nbytes for b in held) - old_bytes < CHUNK_BYTES:
             continue
         rows = pa.Table.from_batches(held)
         token, block = rows.column(0).to_numpy(), rows.column(1).to_numpy()
@@ -165,11 +199,11 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int]]:
         if len(changes):
             last = int(changes[-1])
             yield rows.slice(0, last), old
-            held, old = rows.slice(last).combine_chunks().to_batches(), 0
+            held, old, old_bytes = rows.slice(last).combine_chunks().to_batches(), 0, 0
         else:
             yield rows, old
             held = rows.filter(rows.column("home")).combine_chunks().to_batches()
-            old = sum(b.num_rows for b in held)
+            old, old_bytes = sum(b.num_rows for b in held), sum(b.nbytes for b in held)
     if sum(b.num_rows for b in held) > old:
         yield pa.Table.from_batches(held), old
 
@@ -291,7 +325,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
             for rows, old in cells(batches):
                 token, block, node, n, place, part = (rows.column(j).to_numpy() for j in range(6))
-                sketch = np.frombuffer(b"".join(rows.column(6).to_pylist()), tb.U64).reshape(len(node), -1)
+                sketches = Sketches(rows.column(6).to_pylist())
                 outside, home = (np.asarray(rows.column(j).combine_chunks()) for j in (7, 8))
                 begin = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (block[1:] != block[:-1]))))
                 end = np.append(begin[1:], len(token))
@@ -300,9 +334,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
                 for x, y, ends in chain(((x, y, 2) for x, y in small_pairs(begin[small], end[small])), ((x, y, 1) for x, y in large_pairs(begin[~small], end[~small], part, node, outside, home, old))):
                     keep = (part[x] != part[y]) & may_link(n[x], place[x], n[y], place[y], percent)
                     x, y = x[keep], y[keep]
-                    apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
-                    keep = apart <= n[x] + n[y] - 2 * -(-percent * (n[x] + n[y]) // (100 + percent))
-                    x, y, apart = x[keep], y[keep], apart[keep]
+                    keep, apart = sketches.within(x, y, n[x] + n[y] - 2 * -(-percent * (n[x] + n[y]) // (100 + percent)))
+                    x, y = x[keep], y[keep]
                     if few and len(x):
                         keep = some_of_each(x, y, apart, node, ends)
                         x, y = x[keep], y[keep]
@@ -324,9 +357,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         # Blocks grow with the root of the group, as copies of visitors do.
         blocks = F.ceil(F.col("size") / F.greatest(F.lit(LARGE), 4 * F.sqrt("size"))).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        met = rows.join(mixed, "token").select("token", "node", "n", "place", "component", own.alias("own"), blocks.alias("blocks"), (F.col("component") != F.col("main")).alias("outside"))
+        met = rows.join(mixed, "token").select("token", "node", "n", "place", "component", own.alias("own"), blocks.alias("blocks"), (F.col("component") != F.col("main")).alias("outside"), (F.col("size") > FEW).alias("large"))
         all_blocks = F.array("own") if few else F.when(F.col("outside") & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-        met = met.join(reps.select("node", "sketch"), "node").select("*", F.explode(all_blocks).alias("block"))
+        # In a large group long sets, which fill the short sketch, would pass as links two by two; in a small one they make few pairs.
+        met = met.join(reps.select("node", "sketch", "wide"), "node").select("*", F.explode(all_blocks).alias("block")).withColumn("sketch", F.when(F.col("large"), F.col("wide")).otherwise(F.col("sketch")))
         met = met.select("token", "block", "node", "n", "place", "component", "sketch", "outside", (F.col("block") == F.col("own")).alias("home"))
         return met.repartition(buckets, "token", "block").sortWithinPartitions("token", "block", F.desc("home"), "node")
 

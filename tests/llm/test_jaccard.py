@@ -101,6 +101,55 @@ def test_wide_sketches_tell_long_sets_apart():
     assert jaccard.bits_apart(wide[0], wide[2]) > most > jaccard.bits_apart(short[0], short[2])
 
 
+def long_texts():
+    """Texts of 2,000 words, all with the same 400 at their beginning: each two share a fifth and cannot link, but two copies with one word changed."""
+    r = random.Random(19)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    common = prose(400)
+    docs = [(i, common + prose(1600)) for i in range(60)]
+    docs += [(100 + i, docs[i][1][:-1] + ["changed"]) for i in range(2)]
+    return [(i, " ".join(words)) for i, words in docs]
+
+
+def test_long_texts_that_cannot_link_make_no_pairs(spark, monkeypatch):
+    """With the short sketch alone, all pairs of a group of long texts went on from each shingle that they share."""
+    made, written = [], jaccard.written
+    frame = type(spark.range(0))
+    real = frame.mapInArrow
+
+    def counted(self, f, *a, **b):
+        out = real(self, f, *a, **b)
+        if f.__name__ == "pairs":
+            out = written(out, "made")
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    # One level: what all have is no rarer or more common than the rest, so it stands in the prefixes.
+    monkeypatch.setattr(jaccard, "levels", lambda counts: np.zeros(2 * len(counts), np.uint8))
+    docs = long_texts()
+    got = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: i % 100 for i, _ in docs}
+    assert len(made) == 2 and sum(made) < 60
+
+
+def test_sketches_of_several_sizes():
+    """As bits_apart has it, for sketches of any size, and only pairs within the limit."""
+    r = np.random.default_rng(21)
+    base = r.integers(0, 2**63, 5000).astype(np.uint64)
+    sets = [np.concatenate((base[: r.integers(0, 5000)], r.integers(0, 2**63, r.integers(0, 900)).astype(np.uint64))) for _ in range(30)]
+    n = np.array([len(s) for s in sets])
+    row, key = np.repeat(np.arange(30), n), np.concatenate(sets)
+    short, wide = jaccard.parity_sketches(row, key, 30), jaccard.wide_sketches(row, key, n)
+    mixed = [s if i % 3 == 0 else w for i, (s, w) in enumerate(zip(short, wide, strict=True))]
+    x, y = (c.ravel() for c in np.meshgrid(np.arange(30), np.arange(30)))
+    bits = np.array([jaccard.bits_apart(mixed[i], mixed[j]) for i, j in zip(x, y, strict=True)])
+    for most in (np.full(900, 10**6), np.full(900, 240), r.integers(0, 2000, 900)):
+        keep, apart = jaccard.Sketches(mixed).within(x, y, most)
+        assert keep.tolist() == np.flatnonzero(bits <= most).tolist() and apart.tolist() == bits[keep].tolist()
+    assert [len(v) for v in jaccard.Sketches([]).within(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))] == [0, 0]
+
+
 def test_common_shingles_stand_last_in_a_full_table(spark):
     """100 hashes fall into each cell. What comes 500 times stands after nearly all that comes once, but where two such share a cell."""
     once, common = np.random.default_rng(18).integers(0, 2**63, (2, 100 << 12)).astype(np.uint64)
