@@ -446,7 +446,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
                 at = (doc ^ doc >> ASKED_BITS) & ((1 << ASKED_BITS) - 1)
                 yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
 
-        asked = docs.mapInArrow(asked_only, "doc_id long, text string")
+        # Dealt out before they are joined: were both steps in one task, each would have a Python worker, and executors keep them all for later tasks.
+        asked = docs.mapInArrow(asked_only, "doc_id long, text string").repartition(buckets, "doc_id")
         parts = asked.join(of_doc, "doc_id").select("doc_id", "text", "asks").mapInArrow(cut_fragments, "leader long, f int, salt int, role int, node long, n long, part binary")
         met = parts.repartition(buckets, "leader", "f", "salt").sortWithinPartitions("leader", "f", "salt", "role", "node").mapInArrow(count_overlaps, "a long, b long, n long, m long, shared long")
         links = met.groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared")).where(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared")))

@@ -150,6 +150,28 @@ def test_sketches_of_several_sizes():
     assert [len(v) for v in jaccard.Sketches([]).within(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))] == [0, 0]
 
 
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    """No plan has two Python steps without an exchange between them: executors keep a worker for each."""
+    seen, written = [], jaccard.written
+
+    def planned(df, name):
+        above = []
+        for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+            depth, node = len(line) - len(line.lstrip(" :+-*()0123456789")), line.lstrip(" :+-*()0123456789")
+            above = [x for x in above if x[0] < depth]
+            if node.startswith("MapInArrow"):
+                seen.append(name)
+                steps = [x for _, x in above]
+                last = max((i for i, x in enumerate(steps) if "Exchange" in x), default=-1)
+                assert not any(x.startswith("MapInArrow") for x in steps[last + 1 :]), f"{name}: {node}"
+            above.append((depth, node))
+        return written(df, name)
+
+    monkeypatch.setattr(jaccard, "written", planned)
+    jaccard.jaccard_components(spark.createDataFrame(documents(), "doc_id long, text string")).collect()
+    assert {"met", "near", "links"} <= set(seen)
+
+
 def test_common_shingles_stand_last_in_a_full_table(spark):
     """100 hashes fall into each cell. What comes 500 times stands after nearly all that comes once, but where two such share a cell."""
     once, common = np.random.default_rng(18).integers(0, 2**63, (2, 100 << 12)).astype(np.uint64)
